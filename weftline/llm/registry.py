@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import quality_rules, sharding
+from weftline.llm import mixing, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_rule_cascade": quality_rules.op2_rule_cascade,
         "op3_feistel_shards": sharding.op3_feistel_shards,
+        "op7_temperature_mix": mixing.op7_temperature_mix,
     }
 
 
