@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import mixing, quality_rules, sharding
+from weftline.llm import mixing, quality_rules, sharding, unigram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_rule_cascade": quality_rules.op2_rule_cascade,
         "op3_feistel_shards": sharding.op3_feistel_shards,
         "op7_temperature_mix": mixing.op7_temperature_mix,
+        "op9_unigram_encode": unigram.op9_unigram_encode,
     }
 
 
