@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import mixing, quality_rules, sharding, unigram
+from weftline.llm import mixing, quality_rules, sharding, toxicity, unigram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_rule_cascade": quality_rules.op2_rule_cascade,
         "op3_feistel_shards": sharding.op3_feistel_shards,
+        "op6_nearest_labelled": toxicity.op6_nearest_labelled,
         "op7_temperature_mix": mixing.op7_temperature_mix,
         "op9_unigram_encode": unigram.op9_unigram_encode,
     }
