@@ -1,0 +1,71 @@
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from weftline.llm import pii
+
+CASES = {
+    "email": ["that.92@mail2.example.com", "a_b+c@x-y.co.uk"],
+    "phone": ["+1 (743) 555-3824", "(310) 555-4510", "310-555-4510", "+49 30 1234 5678"],
+    "ip": ["192.168.1.7", "8.8.8.8", "10.0.0.1", "255.255.255.255", "0.0.0.0"],
+    "card": ["4111111111111111", "9870157079875996", "4111-1111-1111-1111", "378282246310005"],
+    "iban": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"],
+    "ssn": ["078-05-1120"],
+    "token": ["1eb9c654e721b4f812088970e66a6345cee33dd6"],
+}
+
+
+@pytest.mark.parametrize(("kind", "text"), [(k, t) for k, ts in CASES.items() for t in ts])
+def test_surrogate_keeps_type_and_format(kind, text):
+    new = pii.surrogate(kind, text)
+    assert new != text and len(new) == len(text) or kind == "ip"
+    if pii.PATTERNS[kind].groups == 0 or kind in ("card", "phone"):
+        assert pii.PATTERNS[kind].fullmatch(new)
+    if kind in ("phone", "card", "iban"):
+        assert re.sub(r"\w", "9", new) == re.sub(r"\w", "9", text)
+    if kind == "card":
+        d, e = re.sub(r"\D", "", text), re.sub(r"\D", "", new)
+        assert (pii._luhn(d[:-1]) == int(d[-1])) == (pii._luhn(e[:-1]) == int(e[-1]))
+    if kind == "iban":
+        flat = new.replace(" ", "")
+        assert pii._mod97(flat[4:] + flat[:4]) == 1
+
+
+@pytest.mark.parametrize("n", [2, 3, 10, 97, 1000])
+def test_permutation_without_fixed_points(n):
+    out = [pii.permuted(x, n, "k", "t") for x in range(n)]
+    assert sorted(out) == list(range(n)) and all(a != b for a, b in enumerate(out))
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.sets(st.from_regex(r"[a-e]{3}[0-9]\.[A-Z]", fullmatch=True), min_size=2, max_size=30))
+def test_distinct_stay_distinct(texts):
+    assert len({pii.reshaped(t, "k", "x") for t in texts}) == len(texts)
+
+
+def test_persons_keep_gender_script_and_coreference():
+    text = "Mrs. Mary Smith met Herr Stefan Müller. Later Smith wrote to Müller; госпожа Анна Петрова too."
+    new, found = pii.replaced(text)
+    by = {o: s for _, o, s in found}
+    assert by["Mary"] in pii.GIVEN["latin", "f"] and by["Stefan"] in pii.GIVEN["latin", "m"] and by["Анна"] in pii.GIVEN["cyrillic", "f"]
+    assert by["Петрова"].endswith("ова") and new.count(by["Smith"]) == 2 and "Smith" not in new
+    assert len(set(by.values())) == len(by)
+
+
+def test_clean_text_is_left_alone():
+    for text in ("Licensed under CC BY-NC 4.0.\nThe GNU General Public License, version 3.", "year 2024, 12 of 1000", "", "a = b and c"):
+        assert pii.replaced(text)[0] == text
+
+
+def test_frame(spark):
+    rows = [(1, "mail a.1@b2.example.com now", "x"), (2, None, "y"), (3, "", "z"), (None, "a.1@b2.example.com", None), (4, "plain " * 30000, "q"), (4, "plain " * 30000, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, entities string")
+    out = pii.pseudonymised(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"] or 0), r["text"]) for r in out.collect() if r["text"] is not None)
+    assert "a.1@b2" not in str(got) and got[1][1].split()[1] == got[0][1]
+    assert out.filter("text IS NULL").count() == 1 and out.count() == 6
+    assert pii.collisions(spark.createDataFrame([("ip", "a", "x", 1), ("ip", "b", "x", 1)], "type string, original string, surrogate string, n long")).count() == 1
+    assert pii.pseudonymised(docs.limit(0)).count() == 0

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import html_wrapper, mixing, quality_rules, sharding, toxicity, unigram
+from weftline.llm import html_wrapper, mixing, pii, quality_rules, sharding, toxicity, unigram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_surrogates": pii.op1_surrogates,
         "op2_rule_cascade": quality_rules.op2_rule_cascade,
         "op3_feistel_shards": sharding.op3_feistel_shards,
         "op6_nearest_labelled": toxicity.op6_nearest_labelled,
