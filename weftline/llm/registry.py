@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import html_wrapper, mixing, pii, quality_rules, sharding, toxicity, unigram
+from weftline.llm import html_wrapper, mixing, pii, quality_rules, sharding, toxicity, unigram, weak_labels
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_feistel_shards": sharding.op3_feistel_shards,
         "op6_nearest_labelled": toxicity.op6_nearest_labelled,
         "op7_temperature_mix": mixing.op7_temperature_mix,
+        "op8_weak_labels": weak_labels.op8_weak_labels,
         "op9_unigram_encode": unigram.op9_unigram_encode,
         "op10_html_wrappers": html_wrapper.op10_html_wrappers,
     }
