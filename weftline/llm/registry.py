@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import ann, html_wrapper, mixing, pii, quality_rules, sharding, toxicity, unigram, weak_labels
+from weftline.llm import ann, html_wrapper, mixing, ngram_join, pii, quality_rules, sharding, toxicity, unigram, weak_labels
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_surrogates": pii.op1_surrogates,
         "op2_rule_cascade": quality_rules.op2_rule_cascade,
         "op3_feistel_shards": sharding.op3_feistel_shards,
+        "op4_minhash_forest_join": ngram_join.op4_minhash_forest_join,
         "op5_additive_quantisation": ann.op5_additive_quantisation,
         "op6_nearest_labelled": toxicity.op6_nearest_labelled,
         "op7_temperature_mix": mixing.op7_temperature_mix,
