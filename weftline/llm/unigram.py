@@ -38,8 +38,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-#: Words in a worker's table before it starts anew, and bytes up to which words are encoded together.
-TABLE_WORDS, TOGETHER = 150_000, 48
+#: Words that a worker keeps (the first, hence frequent ones), others before their table starts anew, and bytes up to which words are encoded together.
+CORE_WORDS, TABLE_WORDS, TOGETHER = 200_000, 150_000, 48
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -80,8 +80,8 @@ def read_model(path: str) -> tuple[list[tuple[str, float, int]], bool]:
     return pieces, prefix
 
 
-#: Word tables by model, kept by a worker from task to task.
-TABLES: dict[str, dict[str, tuple[int, ...]]] = {}
+#: Word tables (core and others) by model, kept by a worker from task to task.
+TABLES: dict[str, tuple[dict, dict]] = {}
 
 
 class DoubleArray:
@@ -148,12 +148,13 @@ class Unigram:
         self.trie = DoubleArray(own)
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in pieces if kind in (NORMAL, USER))
         self.surface = [b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in pieces]
+        self.core: dict[str, tuple[int, ...]] = {}
         self.table: dict[str, tuple[int, ...]] = {}
         self.name = hashlib.sha256(repr((pieces, prefix)).encode()).hexdigest()
         self._lists = None
 
     def __getstate__(self):
-        return self.__dict__ | {"table": {}, "_lists": None}
+        return self.__dict__ | {"core": {}, "table": {}, "_lists": None}
 
     def _spelled(self, data: bytes) -> list[int]:
         return [self.byte_ids.get(b, self.unknown) for b in data] if self.byte_ids else [self.unknown]
@@ -192,56 +193,59 @@ class Unigram:
         return tuple(reversed(out))
 
     def _together(self, words: list[str]) -> list[tuple[int, ...]]:
-        """viterbi() of many short strings at once: every array below has a row a string."""
+        """viterbi() of many short strings at once: below, a row is a byte position, a column a string."""
         data = [w.encode("utf-8", "surrogatepass") for w in words]
-        size = np.array([len(x) for x in data])
-        most = int(size.max())
-        grid = np.frombuffer(b"".join(x.ljust(most, b"\0") for x in data), np.uint8).reshape(len(data), most)
-        best = np.full((len(data), most + 1), -np.inf)
-        best[:, 0] = 0
-        back, piece = np.zeros((len(data), most + 1), np.int16), np.full((len(data), most + 1), -1, np.int32)
-        base, check, value = self.trie.base, self.trie.check, self.trie.value
-        lead = (grid & 0xC0) != 0x80
-        width = np.where(grid < 0x80, 1, np.where(grid < 0xE0, 2, np.where(grid < 0xF0, 3, 4)))
+        size = np.array([len(x) for x in data], np.int32)
+        n, most = len(data), int(size.max())
+        flat = np.frombuffer(b"".join(x.ljust(most, b"\0") for x in data), np.uint8)
+        grid = np.ascontiguousarray(flat.reshape(n, most).T).astype(np.int32)
+        best = np.full((most + 1, n), -np.inf)
+        best[0] = 0
+        back, piece = np.zeros((most + 1, n), np.int16), np.full((most + 1, n), -1, np.int32)
+        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
         for i in range(most):
-            rows = np.flatnonzero((size > i) & lead[:, i])
+            lead = grid[i]
+            begins = (size > i) & ((lead & 0xC0) != 0x80)
+            rows = np.flatnonzero(begins)
             if not len(rows):
                 continue
-            all_rows, single = rows, np.zeros(len(data), bool)
-            state = np.zeros(len(rows), np.int64)
+            width = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+            state, here = np.zeros(len(rows), np.int32), best[i][rows]
             for j in range(i, most):
-                to = base[state] + grid[rows, j].astype(np.int64) + 1
-                held = (check[np.minimum(to, len(check) - 1)] == state) & (to < len(check)) & (size[rows] > j)
-                rows, state = rows[held], to[held]
+                to = base[state] + grid[j][rows] + 1
+                held = check[to] == state
+                if j > i:
+                    held &= size[rows] > j
+                rows, state, here = rows[held], to[held], here[held]
                 if not len(rows):
                     break
                 v = value[state]
                 ends = np.flatnonzero(v >= 0)
                 if len(ends):
                     at, v = rows[ends], v[ends]
-                    single[at[width[at, i] == j + 1 - i]] = True
-                    score = best[at, i] + self.scores[v]
-                    better = score > best[at, j + 1]
-                    at, v = at[better], v[better]
-                    best[at, j + 1], back[at, j + 1], piece[at, j + 1] = score[better], i, v
-            lone = all_rows[~single[all_rows]]
+                    begins[at[width[at] == j + 1 - i]] = False
+                    score = here[ends] + scores[v]
+                    better = score > best[j + 1][at]
+                    at = at[better]
+                    best[j + 1][at], back[j + 1][at], piece[j + 1][at] = score[better], i, v[better]
+            lone = np.flatnonzero(begins)  # no piece is just this character
             if len(lone):
-                to = i + width[lone, i]
-                score = best[lone, i] + self.unknown_score
-                better = score > best[lone, to]
+                score, to = best[i][lone] + self.unknown_score, i + width[lone]
+                better = score > best[to, lone]
                 lone, to = lone[better], to[better]
-                best[lone, to], back[lone, to], piece[lone, to] = score[better], i, -1
+                best[to, lone], back[to, lone], piece[to, lone] = score[better], i, -1
         out = []
-        for k, (starts, ids) in enumerate(zip(back.tolist(), piece.tolist(), strict=True)):
-            n, path = len(data[k]), []
-            while n > 0:
-                at = starts[n]
-                if ids[n] >= 0:
-                    path.append(ids[n])
+        for k, (starts, ids, end) in enumerate(zip(back.T.tolist(), piece.T.tolist(), size.tolist(), strict=True)):
+            path = []
+            while end > 0:
+                at, own = starts[end], ids[end]
+                if own >= 0:
+                    path.append(own)
                 else:
-                    path.extend(reversed(self._spelled(data[k][at:n])))
-                n = at
-            out.append(tuple(reversed(path)))
+                    path.extend(reversed(self._spelled(data[k][at:end])))
+                end = at
+            path.reverse()
+            out.append(tuple(path))
         return out
 
     def encode_many(self, texts: list[str | None]) -> list[list[int]]:
@@ -250,11 +254,13 @@ class Unigram:
             return [list(self.viterbi(t)) if t else [] for t in marked]
         # A word starts at a marker after another character: split before each run of markers.
         split = [re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", t) if MARK * 2 in t else [MARK + w for w in t.split(MARK)][1:] if t[:1] == MARK else [t.split(MARK)[0], *[MARK + w for w in t.split(MARK)[1:]]] if t else [] for t in marked]
-        table = self.table
-        missing = {w for words in split for w in words if w not in table}
-        if len(table) + len(missing) > TABLE_WORDS:
+        core, table = self.core, self.table
+        missing = {w for words in split for w in words if w not in core and w not in table}
+        if len(core) + len(missing) < CORE_WORDS:
+            table = core
+        elif len(table) + len(missing) > TABLE_WORDS:
             table.clear()
-            missing = {w for words in split for w in words}
+            missing = {w for words in split for w in words if w not in core}
         short = sorted((w for w in missing if len(w) * 4 <= TOGETHER or len(w.encode("utf-8", "surrogatepass")) <= TOGETHER), key=len)
         for i in range(0, len(short), 8192):
             part = short[i : i + 8192]
@@ -265,7 +271,7 @@ class Unigram:
         for words in split:
             ids: list[int] = []
             for w in words:
-                ids += table[w]
+                ids += core[w] if w in core else table[w]
             out.append(ids)
         return out
 
@@ -291,14 +297,14 @@ def encode(docs: DataFrame, model: Unigram, id_col: str = "doc_id", text_col: st
         from weftline.llm import unigram
 
         own = shipped.value
-        own.table = unigram.TABLES.setdefault(own.name, {})
+        own.core, own.table = unigram.TABLES.setdefault(own.name, ({}, {}))
         byte_ids = np.zeros(len(own.surface), bool)
         byte_ids[list(own.byte_ids.values())] = True
         for whole in batches:
             at = 0
             while at < len(whole):
-                batch = whole.slice(at, 256)
-                at += 256
+                batch = whole.slice(at, 512)
+                at += 512
                 texts = batch.column(1).to_pylist()
                 coded = own.encode_many(texts)
                 sizes = np.array([len(x) for x in coded], np.int64)
