@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUERIES = 1000
 
@@ -16,7 +17,7 @@ def numeric_similarity(a: Column, b: Column) -> Column:
     return 1 - F.least(F.abs(a - b) / F.greatest(F.abs(b), F.lit(1.0)), F.lit(1.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio of the arguments in this order; two empty texts are equal."""
     return pd.Series([1.0 if not (x or y) else difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def seconds(ts: Column) -> Column:
+    """Seconds since the epoch of a timestamp with or without a zone."""
+    return F.unix_micros(ts.cast("timestamp")) / 1e6
+
+
 def _running(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -38,7 +43,8 @@ def checkpoints(log: DataFrame, keys: list[str], order: list[str], step: str, ev
     """A row for each multiple of ``every`` that a log row passes."""
     before = F.coalesce(F.lag(step).over(Window.partitionBy(*keys).orderBy(*order)), F.lit(0))
     crossed = log.withColumn("__from", F.floor(before / every)).withColumn("__to", F.floor(F.col(step) / every)).filter("__to > __from")
-    return crossed.withColumn("checkpoint_step", F.explode(F.sequence(F.col("__from") + 1, F.col("__to"))) * every).drop("__from", "__to")
+    rows = crossed.withColumn("__k", F.explode(F.sequence(F.col("__from") + 1, F.col("__to"))))
+    return rows.withColumn("checkpoint_step", F.col("__k") * every).drop("__from", "__to", "__k")
 
 
 def replayed(events: DataFrame, keys: list[str], event_id: str, last_seen: int, buffer: int = 2000) -> DataFrame:
@@ -57,7 +63,7 @@ def repeats(stream: DataFrame, keys: list[str], order: list[str], payload: str,
     own = Window.partitionBy(*keys).orderBy(*order)
     changed = (~F.col(payload).eqNullSafe(F.lag(payload).over(own))) | (F.row_number().over(own) == 1)
     marked = stream.withColumn("__changed", changed.cast("int")).withColumn("run", F.sum("__changed").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    gap = F.when(F.col("__changed") == 0, F.col(ts).cast("double") - F.lag(ts).over(own).cast("double"))
+    gap = F.when(F.col("__changed") == 0, seconds(F.col(ts)) - seconds(F.lag(ts).over(own)))
     return marked.withColumn("__gap", gap).groupBy(*keys, "run").agg(F.first(payload).alias(payload), F.count("*").alias("n"), F.min(ts).alias("since"), F.max(ts).alias("until"), F.min("__gap").alias("least_gap"))
 
 
@@ -65,9 +71,9 @@ def joint_pairs(left: DataFrame, right: DataFrame, key: str, ts: str, window_s:
     """Pairs of rows of one key with window + (t_left - t_right) > 0 and t_left <= t_right + window:
     an interval join as an equi-join on time buckets and a rest condition (J20)."""
     size = bucket_s or window_s
-    a = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns]).withColumn("__b", F.explode(F.array(*[(F.floor(F.col(f"l_{ts}").cast("double") / size) + d) for d in (-1, 0, 1)])))
-    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("__b", F.floor(F.col(f"r_{ts}").cast("double") / size))
-    gap = F.col(f"l_{ts}").cast("double") - F.col(f"r_{ts}").cast("double")
+    a = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns]).withColumn("__b", F.explode(F.array(*[(F.floor(seconds(F.col(f"l_{ts}")) / size) + d) for d in (-1, 0, 1)])))
+    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("__b", F.floor(seconds(F.col(f"r_{ts}")) / size))
+    gap = seconds(F.col(f"l_{ts}")) - seconds(F.col(f"r_{ts}"))
     return a.join(b, (F.col(f"l_{key}") == F.col(f"r_{key}")) & (a["__b"] == b["__b"])).filter((gap + window_s > 0) & (gap < window_s)).drop("__b")
 
 
@@ -83,4 +89,4 @@ def joint_gate(times: list[Column], matrix: list[list[int | None]]) -> Column:
 
 def stale(cache: DataFrame, ts: str, now: Column, ttl_ms: int) -> DataFrame:
     """Cached rows that are older than their time to live."""
-    return cache.filter((now.cast("double") - F.col(ts).cast("double")) * 1000 > ttl_ms)
+    return cache.filter((seconds(now) - seconds(F.col(ts))) * 1000 > ttl_ms)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("cleaning",)
+MODULES: tuple[str, ...] = ("cleaning", "relational")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
