@@ -200,7 +200,7 @@ def file_checks(files: DataFrame, max_bytes: int = 50 * 1024 * 1024, allowed: tu
     printable = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}\p{P}\p{S}\s]", "")) / F.greatest(F.length(text), F.lit(1))
     is_text = F.col("extension").isin(*TEXT_TYPES)
     checks = {
-        "extension": F.col("extension").isin(*allowed), "size": F.col("length").between(1, max_bytes), "authentic": F.coalesce(expected, F.lit(True)),
+        "allowed": F.col("extension").isin(*allowed), "size": F.col("length").between(1, max_bytes), "authentic": F.coalesce(expected, F.lit(True)),
         "printable": ~is_text | (printable >= 0.85), "readable": ~is_text | (F.length(F.regexp_replace(text, r"\s", "")) >= 20),
     }
     rows = files.select("file_name", "extension", "length", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in checks.items()])
