@@ -92,9 +92,9 @@ def numbered(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
         total += n
     if not starts:
         return placed.withColumn("row_number", F.lit(0).cast("long")).drop("__at", "__part"), 0
-    offsets = F.create_map(*[F.lit(x) for pair in starts for x in pair])
-    row = offsets[F.col("__part")].cast("long") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("row_number", row).drop("__at", "__part"), total
+    offsets = rows.sparkSession.createDataFrame(starts, "__part int, __start long")  # a row a partition
+    row = F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(offsets), "__part").withColumn("row_number", row).drop("__at", "__part", "__start"), total
 
 
 def shard(docs: DataFrame, shards: int, seed: str = "shards", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
