@@ -18,7 +18,7 @@ is scored on its whole text.
 
 A text without any such term (a null or empty one too) has no neighbours and
 gets the rate of labelled texts without terms. Where nothing is labelled the
-score is 0. Null doc_ids are not held out. Repeated rows score alike; a
+score is 0; where all labels agree it is theirs. Null doc_ids are not held out. Repeated rows score alike; a
 doc_id with differing labels counts as toxic. An empty table gives an empty
 result. Columns other than the id and the text are not read.
 """
@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 from weftline.llm.common import stored, table
 
 FIT_ROWS, FIT_TERMS = 8_000, 20_000
-#: A term tells if so many toxic examples hold it, and its share of toxic ones is so many times the overall share.
-LEAST_EXAMPLES, LEAST_LIFT = 3, 3.0
+#: A term tells if its share of toxic examples is so many times the overall share, by a log-likelihood
+#: gain (nats) that terms without meaning hardly reach by chance.
+LEAST_LIFT, LEAST_GAIN = 3.0, 9.0
 BEGINNINGS = (4, 5, 6)
 K, BLOCK, EVIDENCE = 15, 64, 5
 _WORDS = re.compile(r"\w+")
@@ -184,7 +185,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sums = examples.agg(F.count("*").alias("n"), F.sum((F.col("label") > 0).cast("long")).alias("toxic")).first()
     n, share = sums["n"], (sums["toxic"] or 0) / max(sums["n"], 1)
     held = examples.mapInPandas(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    telling = held.filter((F.col("toxic") >= LEAST_EXAMPLES) & (F.col("toxic") > LEAST_LIFT * share * (F.col("toxic") + F.col("clean"))))
+    if not 0 < share < 1:
+        model = Model(Vocabulary({}), [])
+        model.without_terms = float(share)
+        return model
+    own, among = F.col("toxic") / (F.col("toxic") + F.col("clean")), F.col("toxic") + F.col("clean")
+    gain = F.col("toxic") * F.log(own / share) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - own) / (1 - share))).otherwise(0.0)
+    telling = held.filter((F.col("toxic") > LEAST_LIFT * share * among) & (gain >= LEAST_GAIN))
     chosen = telling.orderBy(F.desc("toxic"), "term").limit(FIT_TERMS).collect()
     vocabulary = Vocabulary({r["term"]: float(np.log((1 + n) / (1 + r["toxic"] + r["clean"])) + 1) for r in chosen})
     rows = [(r["doc_id"], int(r["label"] > 0), r["text"]) for r in examples.orderBy("doc_id", F.xxhash64("text")).toLocalIterator()]
