@@ -13,7 +13,7 @@ def spark(tmp_path_factory):
     from weftline.session import session
 
     s = session(
-        "local[4]",
+        "local[2]",
         "tests",
         spark__sql__shuffle__partitions="4",
         spark__driver__memory="4g",
