@@ -44,6 +44,17 @@ def test_both_searches_agree(model):
     assert model._together(words) == [model.viterbi(w) for w in words]
 
 
+@pytest.mark.parametrize(("core", "table"), [(0, 0), (3, 5), (40, 10), (10, 400)])
+def test_small_tables_change_nothing(model, monkeypatch, core, table):
+    monkeypatch.setattr(unigram, "CORE_WORDS", core)
+    monkeypatch.setattr(unigram, "TABLE_WORDS", table)
+    own = unigram.load()
+    rng = random.Random(core)
+    many = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    for i in range(0, 300, 7):
+        assert own.encode_many(many[i : i + 7]) == [list(own.viterbi(unigram.MARK + t.replace(" ", unigram.MARK))) for t in many[i : i + 7]]
+
+
 def test_decode_inverts(model):
     for t in texts():
         assert model.decode(model.encode(t)) == t.replace("▁", " ")

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import stored, table, text_or_empty
+from weftline.llm.common import small_batches, stored, table, text_or_empty
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 32, 6, 0.99999
@@ -226,6 +226,7 @@ def links(docs: DataFrame, own: DataFrame, id_col: str, text_col: str, threshold
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node, class_id, copy_of, n_links, n_linked_texts of each row, and class_node (where class_id's text is)."""
+    small_batches(docs.sparkSession)
     own = nodes(docs, id_col, text_col, prefix_length(threshold))
     counted, edges = links(docs, own, id_col, text_col, threshold)
     roots = components(edges)

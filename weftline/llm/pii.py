@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import small_batches, table
 
 KEY = "surrogates"
 ROUNDS = 8
@@ -318,6 +318,7 @@ def _surrogates(key: str):
 
 def pseudonymised(docs: DataFrame, key: str = KEY, text_col: str = "text", entities_col: str | None = None) -> DataFrame:
     """docs with surrogates in the text; entities_col, if named, gets (type, surrogate) of each replacement."""
+    small_batches(docs.sparkSession)
     own = key_without_collisions(docs, key, text_col)
     names = [*docs.columns, *([entities_col] if entities_col else [])]
     none = F.array().cast("array<struct<type: string, surrogate: string>>")

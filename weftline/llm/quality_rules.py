@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import small_batches, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -142,6 +142,7 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 def cascade(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, order: list[str] | None = None) -> DataFrame:
     """The base figures, the verdict and the rule that rejected (``base`` for the base) of each
     row. rejected_by depends on the order, which is measured unless it is given; kept does not."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if order is None:
         sample = rows.sample(False, 0.05, seed=11).limit(sample_rows).collect()

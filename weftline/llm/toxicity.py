@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import stored, table
+from weftline.llm.common import small_batches, stored, table
 
 FIT_ROWS, FIT_TERMS = 8_000, 20_000
 #: A term tells if its share of toxic examples is so many times the overall share, by a log-likelihood
@@ -169,6 +169,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
+    small_batches(docs.sparkSession)
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL").filter(~held_out())
     own = own.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.lit(29), "doc_id"), "doc_id").limit(fit_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -219,12 +220,14 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 }
             )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out())
     return rows.mapInPandas(run, SCHEMA)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that score as toxic."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
 
     @F.pandas_udf("boolean")

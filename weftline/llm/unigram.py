@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import small_batches, table
 
 #: Where the public vocabulary lies; a parameter of everything that reads it.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -39,7 +39,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 #: Words that a worker keeps (the first, hence frequent ones), others before their table starts anew, and bytes up to which words are encoded together.
-CORE_WORDS, TABLE_WORDS, TOGETHER = 200_000, 150_000, 48
+CORE_WORDS, TABLE_WORDS, TOGETHER = 150_000, 100_000, 48
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -148,8 +148,8 @@ class Unigram:
         self.trie = DoubleArray(own)
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in pieces if kind in (NORMAL, USER))
         self.surface = [b"" if kind == CONTROL else b" \xe2\x81\x87 " if kind == UNKNOWN else bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in pieces]
-        self.core: dict[str, tuple[int, ...]] = {}
-        self.table: dict[str, tuple[int, ...]] = {}
+        self.core: dict[str, bytes] = {}
+        self.table: dict[str, bytes] = {}
         self.name = hashlib.sha256(repr((pieces, prefix)).encode()).hexdigest()
         self._lists = None
 
@@ -249,31 +249,29 @@ class Unigram:
         return out
 
     def encode_many(self, texts: list[str | None]) -> list[list[int]]:
+        return [np.frombuffer(x, np.int32).tolist() for x in self.coded(texts)]
+
+    def coded(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as the bytes of 32-bit integers, which is how the tables keep them."""
+        packed = lambda ids: np.array(ids, np.int32).tobytes()
         marked = [((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else "" for t in texts]
         if not self.by_word:
-            return [list(self.viterbi(t)) if t else [] for t in marked]
+            return [packed(self.viterbi(t)) if t else b"" for t in marked]
         # A word starts at a marker after another character: split before each run of markers.
         split = [re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", t) if MARK * 2 in t else [MARK + w for w in t.split(MARK)][1:] if t[:1] == MARK else [t.split(MARK)[0], *[MARK + w for w in t.split(MARK)[1:]]] if t else [] for t in marked]
-        core, table = self.core, self.table
-        missing = {w for words in split for w in words if w not in core and w not in table}
-        if len(core) + len(missing) < CORE_WORDS:
-            table = core
-        elif len(table) + len(missing) > TABLE_WORDS:
-            table.clear()
+        core, rest = self.core, self.table
+        missing = {w for words in split for w in words if w not in core and w not in rest}
+        into = core if len(core) + len(missing) < CORE_WORDS else rest
+        if into is rest and len(rest) + len(missing) > TABLE_WORDS:
+            rest.clear()
             missing = {w for words in split for w in words if w not in core}
         short = sorted((w for w in missing if len(w) * 4 <= TOGETHER or len(w.encode("utf-8", "surrogatepass")) <= TOGETHER), key=len)
         for i in range(0, len(short), 8192):
             part = short[i : i + 8192]
-            table.update(zip(part, self._together(part), strict=True))
+            into.update(zip(part, map(packed, self._together(part)), strict=True))
         for w in missing.difference(short):
-            table[w] = self.viterbi(w)
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += core[w] if w in core else table[w]
-            out.append(ids)
-        return out
+            into[w] = packed(self.viterbi(w))
+        return [b"".join([core[w] if w in core else rest[w] for w in words]) for words in split]
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_many([text])[0]
@@ -306,9 +304,9 @@ def encode(docs: DataFrame, model: Unigram, id_col: str = "doc_id", text_col: st
                 batch = whole.slice(at, 512)
                 at += 512
                 texts = batch.column(1).to_pylist()
-                coded = own.encode_many(texts)
-                sizes = np.array([len(x) for x in coded], np.int64)
-                flat = np.concatenate([np.array(x, np.int32) for x in coded]) if sizes.sum() else np.zeros(0, np.int32)
+                coded = own.coded(texts)
+                sizes = np.array([len(x) // 4 for x in coded], np.int64)
+                flat = np.frombuffer(b"".join(coded), np.int32)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 running = np.concatenate([[0], np.cumsum(byte_ids[flat])])
                 yield pa.RecordBatch.from_arrays(
@@ -317,11 +315,12 @@ def encode(docs: DataFrame, model: Unigram, id_col: str = "doc_id", text_col: st
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                         pa.array(sizes.astype(np.int32)),
                         pa.array((running[offsets[1:]] - running[offsets[:-1]]).astype(np.int32)),
-                        pa.array([own.decode(x) == (t or "") for x, t in zip(coded, texts, strict=True)]),
+                        pa.array([own.decode(np.frombuffer(x, np.int32).tolist()) == (t or "") for x, t in zip(coded, texts, strict=True)], pa.bool_()),
                     ],
                     names=["doc_id", "ids", "n_tokens", "n_bytes", "round_trip"],
                 )
 
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, n_tokens int, n_bytes int, round_trip boolean")
 

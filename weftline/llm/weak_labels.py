@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import stored, table
+from weftline.llm.common import small_batches, stored, table
 from weftline.llm.quality_rules import Text, measure
 
 FIT_ROWS, DIMENSIONS, EPOCHS, RATE, DECAY = 6_000, 1 << 16, 6, 0.5, 1e-5
@@ -162,6 +162,7 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
