@@ -71,7 +71,7 @@ PATTERNS = {
     "person": re.compile(rf"(?<!\w)({'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})\s+({_NAME}(?: {_NAME}){{0,2}})"),
 }
 #: What a text must hold to be searched, in the regular expressions of the JVM.
-SUSPECT = r"[\p{Nd}@=]|" + "|".join(re.escape(t) for t in TITLES)
+SUSPECT = r"[0-9@=\p{Nd}]|(?=[" + "".join(sorted({t[0] for t in TITLES})) + r"])(?:" + "|".join(sorted(map(re.escape, TITLES))) + ")"
 
 
 def _mac(key: str, *parts: object) -> int:
