@@ -20,7 +20,7 @@ read.
 
 from __future__ import annotations
 
-import re
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -103,13 +103,15 @@ def posterior(patterns: np.ndarray, share: float, rates: np.ndarray) -> np.ndarr
     return 1 / (1 + np.exp(np.clip(bad - good, -500, 500)))
 
 
-_RUNS = re.compile(rb"[a-z\x80-\xff]+|[A-Z]+|[0-9]+")
+#: Bytes by class: small letters and bytes beyond ASCII, capitals, digits; others stand for themselves.
+_CLASSES = bytes(ord("a") if chr(i).islower() or i > 127 else ord("A") if chr(i).isupper() else ord("9") if chr(i).isdigit() else i for i in range(256))
 WORD_HASHES: dict[bytes, tuple[int, int]] = {}
 
 
 def _hashed(word: bytes) -> tuple[int, int]:
-    shape = _RUNS.sub(lambda m: b"a" if m[0][:1] > b"Z" else b"A" if m[0][:1] >= b"A" else b"9", word)[:12]
-    return zlib.crc32(word.lower()) % DIMENSIONS, zlib.crc32(b"\0" + shape) % DIMENSIONS
+    """Places of a word and of its shape: the classes of its first and last three bytes."""
+    shape = word.translate(_CLASSES)
+    return zlib.crc32(word.lower()) % DIMENSIONS, zlib.crc32(b"\0" + shape[:1] + shape[-3:]) % DIMENSIONS
 
 
 def features(x: Text, f: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,14 +153,17 @@ class Model:
 
     def __init__(self, share: float, rates: np.ndarray, weights: np.ndarray):
         self.share, self.rates, self.weights = share, rates, weights
+        self.posteriors: dict[tuple[int, ...], float] = {}  # by vote pattern
 
     def score(self, text: str | None) -> tuple[float, float]:
         """(posterior of the votes, score of the scorer); both are high for good texts."""
         x = measure(text)
         v, f = votes(x)
         at, weight = features(x, f)
-        z = self.weights[at] @ weight + self.weights[-1]
-        return float(posterior(np.array([v]), self.share, self.rates)[0]), float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        z = float(self.weights[at] @ weight + self.weights[-1])
+        if v not in self.posteriors:
+            self.posteriors[v] = float(posterior(np.array([v]), self.share, self.rates)[0])
+        return self.posteriors[v], 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
