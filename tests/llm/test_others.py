@@ -164,6 +164,26 @@ def test_toxic_texts_are_found(spark):
     assert toxicity.scored(edge(spark), none).filter("score <> 0").count() == 0
 
 
+@pytest.mark.parametrize(("share", "copies"), [(0.4, 0), (0.6, 0), (0.1, 250), (0.1, 1000)])
+def test_toxic_texts_are_found_at_any_share(spark, share, copies):
+    rng = random.Random(18)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(500):
+        own, toxic = [rng.choice(words) for _ in range(30)], int(i % 10 < 10 * share)
+        if toxic:
+            own[3], own[9] = f"zork{rng.choice('abcde')}ling", f"zork{rng.choice('abcde')}"
+        rows.append((i, " ".join(own), toxic))
+    rows += [(1000 + i, rows[0][1], 1) for i in range(copies)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.scored(docs, toxicity.fit(docs, docs)).collect()
+    label = {i: toxic for i, _, toxic in rows}
+    wrong = [r for r in got if r["held_out"] and r["predicted"] != label[r["doc_id"]]]
+    assert len(got) == len(rows) and not wrong
+    kept = toxicity.keep_clean(docs, docs)
+    assert kept.filter("toxic = 1").isEmpty() and kept.count() == sum(not x for x in label.values())
+
+
 def test_weak_labels_separate(spark):
     patterns = np.array([[1, 1, 0], [-1, -1, 0], [1, -1, 1], [0, 0, 0]])
     share, rates = weak_labels.expectation_maximisation(patterns, np.array([80.0, 15.0, 4.0, 1.0]))

@@ -12,9 +12,11 @@ and block the greatest weight is kept. Blocks are visited by falling bound
 similarity found; ties go to the earlier example.
 
 The index is fitted on at most FIT_ROWS labelled rows, those of least keyed
-hash; terms come from these rows, at most FIT_TERMS of them. Labels of rows
-with crc32(doc_id as text) mod 5 = 0 are never read. Every row of the table
-is scored on its whole text.
+hash; terms come from the different texts of these rows, at most FIT_TERMS of
+them, those of greatest gain. A term in so few texts that chance explains it (a
+gain below LEAST_GAIN: three toxic texts or fewer at a share of 5 %) does not
+vote. Labels of rows with crc32(doc_id as text) mod 5 = 0 are never read. Every
+row of the table is scored on its whole text.
 
 A text without any such term (a null or empty one too) has no neighbours and
 gets the rate of labelled texts without terms. Where nothing is labelled the
@@ -37,9 +39,9 @@ from pyspark.sql import functions as F
 from weftline.llm.common import small_batches, stored, table
 
 FIT_ROWS, FIT_TERMS = 8_000, 20_000
-#: A term tells if its share of toxic examples is so many times the overall share, by a log-likelihood
-#: gain (nats) that terms without meaning hardly reach by chance.
-LEAST_LIFT, LEAST_GAIN = 3.0, 9.0
+#: A term tells if the odds of a toxic label with it are so many times those without it, or the other way round,
+#: by a log-likelihood gain (nats) that terms without meaning hardly reach by chance. Both hold at any share of toxic labels.
+LEAST_ODDS, LEAST_GAIN = 3.0, 9.0
 BEGINNINGS = (4, 5, 6)
 K, BLOCK, EVIDENCE = 15, 64, 5
 _WORDS = re.compile(r"\w+")
@@ -183,17 +185,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     seen.setdefault(t, [0, 0])[int(label > 0)] += 1
         yield pd.DataFrame([(t, a, b) for t, (a, b) in seen.items()], columns=["term", "clean", "toxic"])
 
-    sums = examples.agg(F.count("*").alias("n"), F.sum((F.col("label") > 0).cast("long")).alias("toxic")).first()
-    n, share = sums["n"], (sums["toxic"] or 0) / max(sums["n"], 1)
-    held = examples.mapInPandas(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    # A text that was copied counts once a label, or its copies would make all of its words tell.
+    different = stored(examples.select("text", (F.col("label") > 0).cast("int").alias("label")).dropDuplicates(), "toxicity-texts")
+    sums = different.agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("toxic")).first()
+    n, n_toxic = sums["n"], sums["toxic"] or 0
+    share = n_toxic / max(n, 1)
     if not 0 < share < 1:
         model = Model(Vocabulary({}), [])
         model.without_terms = float(share)
         return model
-    own, among = F.col("toxic") / (F.col("toxic") + F.col("clean")), F.col("toxic") + F.col("clean")
-    gain = F.col("toxic") * F.log(own / share) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - own) / (1 - share))).otherwise(0.0)
-    telling = held.filter((F.col("toxic") > LEAST_LIFT * share * among) & (gain >= LEAST_GAIN))
-    chosen = telling.orderBy(F.desc("toxic"), "term").limit(FIT_TERMS).collect()
+    held = different.mapInPandas(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    own = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    gain = F.when(F.col("toxic") > 0, F.col("toxic") * F.log(own / share)).otherwise(0.0) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - own) / (1 - share))).otherwise(0.0)
+    odds = (F.col("toxic") + 0.5) * (n - n_toxic - F.col("clean") + 0.5) / ((F.col("clean") + 0.5) * (n_toxic - F.col("toxic") + 0.5))
+    telling = held.withColumn("gain", gain).filter((F.col("gain") >= LEAST_GAIN) & ((odds > LEAST_ODDS) | (odds < 1 / LEAST_ODDS)))
+    chosen = telling.orderBy(F.desc("gain"), "term").limit(FIT_TERMS).collect()
     vocabulary = Vocabulary({r["term"]: float(np.log((1 + n) / (1 + r["toxic"] + r["clean"])) + 1) for r in chosen})
     rows = [(r["doc_id"], int(r["label"] > 0), r["text"]) for r in examples.orderBy("doc_id", F.xxhash64("text")).toLocalIterator()]
     return Model(vocabulary, rows)
