@@ -15,8 +15,8 @@ surrogates. That is checked, not assumed: ``key_without_collisions`` counts
 surrogates with two originals over all rows and moves on to the next key until
 there is none.
 
-Texts without a digit, ``@``, ``=`` or title pass unchanged and never leave
-the JVM. A null text stays null, an empty one empty; repeated rows are
+Texts without a digit, ``@``, ``=``, title, access key or secret's name before
+a colon pass unchanged and never leave the JVM. A null text stays null, an empty one empty; repeated rows are
 replaced alike; an empty table gives an empty result. Parts of one text are
 replaced left to right, the earlier and then the longer entity first.
 Unknown scripts' letters stay. All other columns are carried unread.
@@ -72,6 +72,10 @@ PATTERNS = {
 }
 #: What a text must hold to be searched, in the regular expressions of the JVM.
 SUSPECT = r"[0-9@=\p{Nd}]|(?=[" + "".join(sorted({t[0] for t in TITLES})) + r"])(?:" + "|".join(sorted(map(re.escape, TITLES))) + ")"
+#: A secret may also stand after a colon or an access key's first letters, without any of these.
+SECRET_WORD = r"(?:token|secret|api[_-]?key|auth|passwd|pwd|password)[^\p{L}\p{Nd}]{0,4}:"
+ACCESS_KEYS = ("AKIA", "ASIA")
+_SECRET_WORD = re.compile(SECRET_WORD.replace(r"[^\p{L}\p{Nd}]", r"[\W_]"), re.I)
 
 
 def _mac(key: str, *parts: object) -> int:
@@ -234,7 +238,7 @@ def surrogate(kind: str, text: str, key: str = KEY, gender: str = "") -> str:
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, gender) of what is replaced, in order and apart from each other."""
     found: list[tuple[int, int, str, str]] = []
-    if any(c.isdigit() for c in text) or "@" in text or "=" in text:
+    if any(c.isdigit() for c in text) or "@" in text or "=" in text or any(k in text for k in ACCESS_KEYS) or ":" in text and _SECRET_WORD.search(text):
         for kind, pattern in PATTERNS.items():
             if kind == "person" or kind == "email" and "@" not in text:
                 continue
@@ -274,7 +278,12 @@ def replaced(text: str, key: str = KEY) -> tuple[str, list[tuple[str, str, str]]
 
 
 def suspect(text_col: str = "text") -> Column:
-    return F.coalesce(F.col(text_col).rlike(SUSPECT), F.lit(False))
+    """Whether a text may hold an entity: never false where entities() finds one."""
+    own = F.col(text_col)
+    secret = own.contains(":") & own.rlike(f"(?iu){SECRET_WORD}")
+    for k in ACCESS_KEYS:
+        secret |= own.contains(k)
+    return F.coalesce(own.rlike(SUSPECT) | secret, F.lit(False))
 
 
 def entity_pairs(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
