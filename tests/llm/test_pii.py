@@ -80,3 +80,15 @@ def test_secrets_without_digits_pass_no_filter(spark):
     for i, t in enumerate(secrets):
         assert flagged[i] and pii.entities(t) and not any(x in got[i] for x in ("horse", "abcdef", "ABCDEF"))
     assert [got[len(secrets) + i] for i in range(len(clean))] == clean
+
+
+@pytest.mark.parametrize("n", [199, 201, 1000, 200_000])
+def test_long_secrets_are_replaced_whole(n):
+    value = ("aB3xY" * n)[:n]
+    for text in (f'token = "{value}" end', f"password={value} end"):
+        new, found = pii.replaced(text)
+        assert [o for _, o, _ in found] == [value] and len(new) == len(text)
+        own = found[0][2]
+        assert new == text.replace(value, own) and all(own[i : i + 200] != value[i : i + 200] for i in range(0, n - 20, 200))
+    others = {pii.surrogate("token", value[:i] + "Q" + value[i + 1 :]) for i in (1, 6, n - 2, n - 4)}
+    assert len(others | {own}) == 5

@@ -19,7 +19,7 @@ Texts without a digit, ``@``, ``=``, title, access key or secret's name before
 a colon pass unchanged and never leave the JVM. A null text stays null, an empty one empty; repeated rows are
 replaced alike; an empty table gives an empty result. Parts of one text are
 replaced left to right, the earlier and then the longer entity first.
-Unknown scripts' letters stay. All other columns are carried unread.
+Secrets are replaced whole, however long. Unknown scripts' letters stay. All other columns are carried unread.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ from weftline.llm.common import small_batches, table
 
 KEY = "surrogates"
 ROUNDS = 8
+#: Characters of a secret that are permuted at once.
+PIECE = 200
 
 #: Fixed lists: given names by script and gender.
 GIVEN = {
@@ -60,8 +62,8 @@ _CLASS = {c: a for a in ALPHABETS for c in a}
 _NAME = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 PATTERNS = {
     "email": re.compile(r"(?<![\w.+-])[\w+-][\w.+-]{0,63}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}(?![\w-])"),
-    "token": re.compile(r"(?i:\b(?:token|secret|api[_-]?key|apikey|auth|passwd|pwd)\b\s{0,4}[=:]\s{0,4}\")([^\s\"]{8,200})(?=\")"),
-    "password": re.compile(r"(?i:\b(?:password|passwd|pwd|secret|api[_-]?key)\s{0,4}[=:]\s{0,4})([^\s\"'&*%$#|<>!,;]{6,200})"),
+    "token": re.compile(r"(?i:\b(?:token|secret|api[_-]?key|apikey|auth|passwd|pwd)\b\s{0,4}[=:]\s{0,4}\")([^\s\"]{8,}+)(?=\")"),
+    "password": re.compile(r"(?i:\b(?:password|passwd|pwd|secret|api[_-]?key)\s{0,4}[=:]\s{0,4})([^\s\"'&*%$#|<>!,;]{6,}+)"),
     "access_key": re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)([A-Z0-9]{16})(?![A-Za-z0-9])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "card": re.compile(r"(?<![\w.+-])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{13})(?![\w-])"),
@@ -203,7 +205,12 @@ def _secret(text: str, key: str) -> str:
         own = ["0123456789" if c.isdigit() else "abcdef" for c in text]
     else:
         own = ["0123456789" if c in "0123456789" else "abcdefghijklmnopqrstuvwxyz" if "a" <= c <= "z" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if "A" <= c <= "Z" else alphabet(c) for c in text]
-    return reshaped(text, key, "secret", own)
+    # Of a long secret, each piece has a permutation of its own, keyed by the pieces before it: one to one as a whole, in linear time.
+    out, before = [reshaped(text[:PIECE], key, "secret", own[:PIECE])], hashlib.blake2b(digest_size=32)
+    for i in range(PIECE, len(text), PIECE):
+        before.update(text[i - PIECE : i].encode("utf-8", "surrogatepass"))
+        out.append(reshaped(text[i : i + PIECE], key, f"secret/{before.hexdigest()}", own[i : i + PIECE]))
+    return "".join(out)
 
 
 def script(word: str) -> str:
