@@ -221,6 +221,16 @@ def test_wrappers_keep_the_article(spark):
     assert html_wrapper.main_text(docs.limit(0)).count() == 0
 
 
+def test_rules_come_from_all_different_pages(spark):
+    page = "<body><div class='x'><h1>Title {i}</h1><ul><li>one {i}</li></ul><p>text {i} of words and words here, more than half of all that the page holds</p></div><div class='low'>same on all</div></body>"
+    pages = [page.format(i=0)] * 40 + [page.format(i=i) for i in range(1, 9)]
+    assert "one 3" in html_wrapper.extract(pages[42], html_wrapper.infer([pages[0], pages[0]]))
+    docs = spark.createDataFrame([(i, "http://h/a", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_wrapper.main_text(docs).collect()}
+    for i, n in ((0, 0), (40, 1), (47, 8)):
+        assert got[i].startswith(f"Title {n}\none {n}\ntext {n} of words") and "same on all" not in got[i]
+
+
 def test_align_makes_optional_and_repeated_groups():
     node = lambda *ks: html_wrapper.fold([html_wrapper.Node(k, "t" if k == "text" else None) for k in ks])
     a, b = node("p", "text", "/p", "p", "text", "/p", "hr"), node("h1", "text", "/h1", "p", "text", "/p", "p", "text", "/p", "hr")

@@ -7,18 +7,20 @@ is aligned with it (longest common token sequence). Texts that differ become
 slots; tokens on one side only become optional groups; neighbouring groups of
 equal tokens fold into one repeated group, before and after each alignment.
 
-The wrapper then says where a host keeps its article: among containers that
+That expression is described by infer() only: no result row is derived from
+its slots, optional or repeated groups. What is extracted follows rules of
+word counts and link shares in place of the expression: among containers that
 are not menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or reader comments by tag or by name, it takes <article> or <main> if
-they hold a fair share of the slots' text, else the deepest container with
-most of it. Containers that hold mostly links, or nothing but the same text
-on every page, are left out where no <article> or <main> rules. Every page
-is read with its host's wrapper: blocks below that container, character
-references decoded, white space turned into one space, joined by one \\n.
+styles or reader comments by tag or by name, a host's article is <article> or
+<main> if they hold 0.3 of the words, else the least container with 0.6 of
+them. Where no <article> or <main> rules, containers with a class or id that
+hold mostly links, or one same text on most pages, are left out. Boilerplate
+of a neutral name inside an <article> or <main> stays. Every page is read with
+its host's rules: blocks below that container, character references decoded,
+white space turned into one space, joined by one \\n.
 
-A wrapper is inferred from at most PAGES pages of a host (those of least hash
-in as many buckets); all pages are extracted, whole. Wrappers are broadcast
-while they are few and small, else joined by host with salted keys.
+The rules come from all different pages of a host. They are broadcast while
+they are few and small, else joined by host with salted keys.
 
 A null or empty html has the empty text; a null url counts as the host "".
 Markup that never closes is read to its end. Repeated rows give repeated
@@ -28,10 +30,11 @@ html are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_module
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -40,7 +43,6 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import small_batches, stored, table
 
-PAGES = 8
 #: Tokens of a page that alignment looks at, and the widest group it folds.
 ALIGNED, WIDEST = 600, 12
 BROADCAST_HOSTS, BROADCAST_BYTES, SALT = 50_000, 16_000_000, 32
@@ -243,31 +245,39 @@ def infer(pages: list[str]) -> dict:
     wrapper = streams[0] if streams else []
     for other in streams[1:]:
         wrapper = align(wrapper, other)
-    mass: dict[str, float] = {}
-    linked: dict[str, float] = {}
-    texts: dict[str, set[str]] = {}
-    seen: dict[str, int] = {}
-    total = 0.0
-    for page in pages:
-        own: dict[str, list[str]] = {}
-        for path, out, link, text in pieces(page or ""):
-            if text is None or not path or out or not (n := len(text.split())):
-                continue
-            total += n
-            for name in dict.fromkeys(path):
-                if name.split(".")[0] not in INLINE:
-                    mass[name] = mass.get(name, 0) + n
-                    linked[name] = linked.get(name, 0) + n * link
-                    own.setdefault(name, []).append(text)
-        for name, found in own.items():
-            texts.setdefault(name, set()).add("\0".join(found))
-            seen[name] = seen.get(name, 0) + 1
-    root = next((t for t in ARTICLE_TAGS if sum(v for k, v in mass.items() if k.split(".")[0] == t) >= 0.3 * total > 0), None)
+    held = pd.DataFrame([(k, *x) for k, page in enumerate(dict.fromkeys(p for p in pages if p)) for x in containers(page)], columns=["page", "name", "words", "linked", "text"])
+    own = held.groupby("name").agg(words=("words", "sum"), linked=("linked", "sum"), pages=("page", "nunique"), texts=("text", "nunique"))
+    return {"pattern": " ".join(x.pattern() for x in wrapper)} | rules(own.reset_index().itertuples())
+
+
+def containers(page: str) -> list[tuple[str, int, int, str]]:
+    """(name, words, words in links, hash of the texts) of a page's containers that are not out; "" stands for all of them."""
+    own: dict[str, list] = {}
+    for path, out, link, text in pieces(page):
+        if text is None or not path or out or not (n := len(text.split())):
+            continue
+        for name in ("", *dict.fromkeys(path)):
+            if name.split(".")[0] not in INLINE:
+                x = own.setdefault(name, [0, 0, hashlib.blake2b(digest_size=16)])
+                x[0] += n
+                x[1] += n * link
+                x[2].update(text.encode("utf-8", "surrogatepass") + b"\0")
+    return [(name, n, linked, h.hexdigest()) for name, (n, linked, h) in own.items()]
+
+
+def rules(held: Iterable) -> dict:
+    """Where a host's article is, from name, words, linked, pages and texts (different ones) of its containers over all different pages."""
+    by = {x.name: x for x in held}
+    every = by.pop("", None)
+    total = every.words if every else 0
+    root = next((t for t in ARTICLE_TAGS if sum(x.words for k, x in by.items() if k.split(".")[0] == t) >= 0.3 * total > 0), None)
     if root:
-        return {"pattern": " ".join(x.pattern() for x in wrapper), "root": root, "out": []}
-    dull = sorted(k for k in mass if k.split(".")[0] not in ("html", "body", "p") and (linked[k] > 0.6 * mass[k] or seen[k] > 1 and len(texts[k]) == 1 and mass[k] < 0.5 * total))
-    whole = [k for k, v in mass.items() if v >= 0.6 * total and k not in dull and ("." in k or k == "section")]
-    return {"pattern": " ".join(x.pattern() for x in wrapper), "root": min(whole, key=lambda k: (mass[k], k)) if whole else "", "out": dull}
+        return {"root": root, "out": []}
+    # Only a name tells a container from others of its tag; the same text counts on most of the pages.
+    constant = {k for k, x in by.items() if x.pages > 1 and 2 * x.pages > every.pages and x.texts == 1 and x.words < 0.5 * total}
+    dull = sorted(k for k, x in by.items() if "." in k and (x.linked > 0.6 * x.words or k in constant))
+    whole = [k for k, x in by.items() if x.words >= 0.6 * total and k not in dull and ("." in k or k == "section")]
+    return {"root": min(whole, key=lambda k: (by[k].words, k)) if whole else "", "out": dull}
 
 
 def extract(page: str | None, wrapper: dict) -> str:
@@ -297,22 +307,29 @@ def host(url: str = "url"):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) of every host of rows page_id, host, html."""
-    placed = F.xxhash64(F.lit(3), "page_id", "html")
-    sample = pages.filter("html IS NOT NULL").withColumn("h", placed).groupBy("host", F.pmod("h", F.lit(PAGES)).alias("part")).agg(F.min_by("html", "h").alias("html"))
+    """host, wrapper (JSON: root and out) of every host of rows page_id, host, html."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(h, page, *x) for h, page, text in zip(batch["host"], batch["page"], batch["html"], strict=True) for x in containers(text)]
+            yield pd.DataFrame(rows, columns=["host", "page", "name", "words", "linked", "text"])
+
+    found = pages.filter("html <> ''").select("host", F.md5("html").alias("page"), "html").mapInPandas(measure, "host string, page string, name string, words long, linked long, text string")
+    # Equal pages count once; texts are counted before containers, so that no key holds all of a host's pages.
+    texts = found.dropDuplicates().groupBy("host", "name", "text").agg(F.sum("words").alias("words"), F.sum("linked").alias("linked"), F.count("*").alias("pages"))
+    held = texts.groupBy("host", "name").agg(F.sum("words").alias("words"), F.sum("linked").alias("linked"), F.sum("pages").alias("pages"), F.count("*").alias("texts"))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("part")
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(infer(list(group["html"])))]})
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(rules(group.itertuples()))]})
 
-    return sample.groupBy("host").applyInPandas(build, "host string, wrapper string")
+    return held.groupBy("host").applyInPandas(build, "host string, wrapper string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host", host())
-    own = stored(wrappers(rows), "html-wrappers").withColumn("wrapper", F.to_json(F.struct(F.get_json_object("wrapper", "$.root").alias("root"), F.from_json(F.get_json_object("wrapper", "$.out"), "array<string>").alias("out"))))
+    own = stored(wrappers(rows), "html-wrappers")
     size = own.agg(F.count("*").alias("n"), F.sum(F.length("wrapper") + F.length("host")).alias("b")).first()
     if size["n"] <= BROADCAST_HOSTS and (size["b"] or 0) <= BROADCAST_BYTES:
         held = rows.join(F.broadcast(own), "host", "left")
