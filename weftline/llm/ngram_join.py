@@ -1,13 +1,15 @@
-"""Similarity join on five-word shingles by a MinHash LSH forest.
+"""Similarity join on five-word shingles by MinHash bands.
 
 Links are pairs of different texts whose sets of five-word shingles have a
 Jaccard similarity of THRESHOLD or more. Equal texts are one node from the
 start (summed before the shuffle); nodes, not documents, are joined.
 
-A node has TREES tries, each over a signature of DEPTH MinHash values. Nodes
-that share a prefix of a trie's signature are candidates. The prefix starts at
-DEPTH and is shortened until pairs at the threshold are found with the target
-recall: 1 - (1 - THRESHOLD**prefix)**TREES >= RECALL. Candidates are verified
+This is a simplification of an LSH forest: there are no sorted prefix tries,
+and prefixes are not shortened by what they match. A node has TREES bands, each
+over a signature of at most DEPTH MinHash values. Nodes that share a band's
+prefix are candidates. Its one length is fixed before data are seen, the
+longest that finds pairs at the threshold with the target recall:
+1 - (1 - THRESHOLD**prefix)**TREES >= RECALL. Candidates are verified
 exactly on their shingle sets:
 
 * Buckets (nodes with one prefix) of up to SMALL nodes give their pairs, each
