@@ -235,3 +235,66 @@ def test_align_makes_optional_and_repeated_groups():
     node = lambda *ks: html_wrapper.fold([html_wrapper.Node(k, "t" if k == "text" else None) for k in ks])
     a, b = node("p", "text", "/p", "p", "text", "/p", "hr"), node("h1", "text", "/h1", "p", "text", "/p", "p", "text", "/p", "hr")
     assert " ".join(x.pattern() for x in html_wrapper.align(a, b)) == "( <h1> 't' </h1> )? ( <p> 't' </p> )+ <hr>"
+
+
+def test_nearest_labelled_equals_brute_force(spark):
+    """Terms, weights, neighbours and votes worked out text by text over dictionaries."""
+    rng = random.Random(28)
+    vocabulary = [f"{a}{b}{c}" for a in ("wald", "wiese", "bach") for b in "abcdefg" for c in ("", "er", "ung", "lich")]
+    rows = []
+    for i in range(260):
+        own = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 40))]
+        toxic = int(rng.random() < 0.3)
+        rows.append((i, " ".join(own + (["zorkling"] if toxic and rng.random() < 0.8 else [])), toxic))
+    rows += [(1000, rows[3][1], rows[3][2]), (1001, "", 0), (1002, None, 0), (1003, "nothing shared", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, docs)
+    got = {r["doc_id"]: r for r in toxicity.scored(docs, model).collect()}
+    known = {r["doc_id"]: r["label"] for r in docs.selectExpr("doc_id", "toxic AS label", "crc32(string(doc_id)) % 5 AS part").filter("part <> 0").collect()}
+
+    def counted(text):
+        out = Counter()
+        for w in (text or "").lower().split():
+            out[w] += 1
+            for size in toxicity.BEGINNINGS:
+                if len(w) >= size:
+                    out[w[:size] + "-"] += 1
+        return out
+
+    label = {}
+    for i, t, _ in rows:
+        if i in known:
+            label[t or ""] = max(label.get(t or "", 0), known[i])
+    n, n_toxic = len(label), sum(label.values())
+    held, toxic = Counter(), Counter()
+    for t, y in label.items():
+        for w in counted(t):
+            held[w] += 1
+            toxic[w] += y
+    p = n_toxic / n
+    weight = {}
+    for w, d in held.items():
+        own = (toxic[w] + 50 * p) / (d + 50)
+        weight[w] = (math.log((1 + n) / (1 + d)) + 1) * abs(math.log(own / (1 - own)) - math.log(p / (1 - p)))
+
+    def vector(text):
+        v = {w: (1 + math.log(c)) * weight[w] for w, c in counted(text).items() if w in weight}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / length for w, x in v.items()} if length else {}
+
+    vectors = {t: vector(t) for t in label}
+    near = lambda v, without=None: sorted(((sum(x * vectors[t].get(w, 0) for w, x in v.items()), t) for t in vectors if t != without), reverse=True)[:15]
+    share = lambda found: sum(s * label[t] for s, t in found if s > 1e-12) / max(sum(s for s, _ in found), 1e-300)
+    knots = toxicity.isotonic(np.round([share(near(vectors[t], t)) for t in vectors], 9), np.array([label[t] for t in vectors]))
+    checked = 0
+    for i, t, _ in rows:
+        found = near(vector(t))
+        if len(found) > 15 and found[14][0] - found[15][0] < 1e-9:
+            continue  # a tie at the edge
+        if not vector(t):
+            assert abs(got[i]["score"] - p) < 1e-12 and not got[i]["evidence"]
+            continue
+        assert np.allclose([e["similarity"] for e in got[i]["evidence"]], [s for s, _ in found[:5] if s > 1e-12], atol=1e-9)
+        assert abs(got[i]["score"] - np.interp(share(found), *knots)) < 1e-3
+        checked += 1
+    assert checked > 200 and all(r["evidence"] for i, r in got.items() if i < 1000)
