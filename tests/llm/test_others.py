@@ -298,3 +298,49 @@ def test_nearest_labelled_equals_brute_force(spark):
         assert abs(got[i]["score"] - np.interp(share(found), *knots)) < 1e-3
         checked += 1
     assert checked > 200 and all(r["evidence"] for i, r in got.items() if i < 1000)
+
+
+def _pages(n, article="<div class='x7'>{head}{body}</div>", top="<div class='q1'><ul><li><a href=1>Start {i}</a><li><a href=2>Other {i}</a></ul></div>", low="<div class='k2'>Rights of {i}</div>"):
+    rng = random.Random(5)
+    words = lambda k: " ".join(rng.choice(("stone", "river", "cloud", "meadow", "lantern")) for _ in range(k))
+    pages, texts = [], []
+    for i in range(n):
+        head, blocks = f"Title {words(3)} {i}", [words(30) for _ in range(rng.randrange(1, 5))]
+        items = [words(4) for _ in range(rng.randrange(0, 4))]
+        body = "".join(f"<p>{x}</p>" for x in blocks) + (f"<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul>" if items else "")
+        pages.append(f"<html><body>{top.format(i=i)}{article.format(head=f'<h1>{head}</h1>', body=body)}{low.format(i=i)}</body></html>")
+        texts.append("\n".join([head, *blocks, *items]))
+    return pages, texts
+
+
+def test_meaningless_names_and_no_lists(monkeypatch):
+    """Structure decides: the lists of tags and names may be empty."""
+    for name in ("OUT_TAGS", "OUT_NAMES", "REMARKS"):
+        monkeypatch.setattr(html_wrapper, name, frozenset())
+    monkeypatch.setattr(html_wrapper, "ARTICLE_TAGS", ())
+    pages, texts = _pages(9)
+    wrapper = html_wrapper.infer(pages)
+    assert [html_wrapper.extract(p, wrapper) for p in pages] == texts
+    pages, texts = _pages(9, article="<div class='x7'>{head}<div class='z'>Read this on paper too</div>{body}</div>")
+    assert [html_wrapper.extract(p, html_wrapper.infer(pages)) for p in pages] == texts  # a fixed text of the article is template
+    copies = [p.replace("Rights of 3", f"Rights of {i}") for i, p in enumerate([pages[3]] * 5)]
+    assert texts[3].split("\n")[1] in html_wrapper.extract(copies[2], html_wrapper.infer(copies))  # copies of an article are none
+
+
+def test_the_expression_decides(spark):
+    pages, texts = _pages(12)
+    wrapper = html_wrapper.infer(pages)
+    assert html_wrapper.extract(pages[4], wrapper) == texts[4]
+    at = wrapper["keep"].index(1)
+    other = wrapper | {"keep": [*wrapper["keep"][:at], 0, *wrapper["keep"][at + 1 :]]}
+    assert html_wrapper.extract(pages[4], other) == "\n".join(texts[4].split("\n")[1:])
+    docs = spark.createDataFrame([(i, "http://h/x", p) for i, p in enumerate(pages + pages[:3])] + [(99, "http://h/y", None)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_wrapper.main_text(docs).collect()}
+    assert [got[i] for i in range(15)] == texts + texts[:3] and got[99] == ""
+
+
+def test_long_pages_are_read_whole():
+    pages, texts = _pages(3)
+    long = pages[0].replace("</h1>", "</h1>" + "".join(f"<p>part {k} of many</p><ul><li>a {k}</li></ul>" for k in range(3000)))
+    got = html_wrapper.extract(long, html_wrapper.infer([*pages, long]))
+    assert got.count("of many") == 3000 and got.endswith(texts[0].split("\n")[-1])

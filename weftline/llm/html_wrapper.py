@@ -1,31 +1,40 @@
 """Main text of web pages by wrappers inferred from pages of the same host.
 
-A page becomes a stream of tokens: opening and closing tags, named with
-their class or id, and texts. The wrapper of a host is a union-free regular
-expression over such tokens. It starts as the first page; every further page
-is aligned with it (longest common token sequence). Texts that differ become
-slots; tokens on one side only become optional groups; neighbouring groups of
-equal tokens fold into one repeated group, before and after each alignment.
-
-That expression is described by infer() only: no result row is derived from
-its slots, optional or repeated groups. What is extracted follows rules of
-word counts and link shares in place of the expression: among containers that
-are not menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or reader comments by tag or by name, a host's article is <article> or
-<main> if they hold 0.3 of the words, else the least container with 0.6 of
-them. Where no <article> or <main> rules, containers with a class or id that
-hold mostly links, or one same text on most pages, are left out. Boilerplate
-of a neutral name inside an <article> or <main> stays. Every page is read with
-its host's rules: blocks below that container, character references decoded,
-white space turned into one space, joined by one \\n.
-
-The rules come from all different pages of a host. They are broadcast while
-they are few and small, else joined by host with salted keys.
+A page becomes a stream of tokens: the elements that open, named with their
+class or id, and texts. The wrapper of a host is a union-free regular
+expression over such tokens. It starts as one page's stream; every further
+stream is aligned with it (longest common token sequence). Texts that differ
+become slots; tokens on one side only become optional groups; neighbouring
+groups of equal tokens fold into one repeated group, before and after each
+alignment. Its text nodes carry words, words in links and the number of pages.
+
+A page is extracted by aligning it with its host's wrapper: each of its texts
+takes the verdict of the node that it meets.
+
+* The article is the innermost element of the wrapper that holds 0.6 of the
+  words of unlinked text nodes. Nodes outside it are not content.
+* A text node that is mostly links is a menu.
+* A text node that is one fixed text on three or more different pages is
+  template, if slots hold most of the article's words (pages that all carry
+  one article are copies, not template).
+* Tags and names (nav, footer, "ad", "comments", ...) break the tie where
+  structure is silent: their elements are left out, and <article> or <main> is
+  the article if it holds 0.3 of the words. Without these lists the rules
+  above still decide.
+
+A text that meets no node is kept if it is inside an element of the article's
+name. A page of which nothing is kept gives all of its text that is not out.
+
+All different pages of a host take part, each different stream once with its
+summed figures; streams are aligned in buckets of at most some BUCKET, and the
+results again, so no task grows with a host. Wrappers are broadcast while they
+are few and small, else joined by host with salted keys.
 
 A null or empty html has the empty text; a null url counts as the host "".
 Markup that never closes is read to its end. Repeated rows give repeated
-results, an empty table an empty one. Columns other than page_id, url and
-html are not read.
+results, an empty table an empty one. Pages of any length are read whole. Ties
+between elements go to the inner, then the first one. Columns other than
+page_id, url and html are not read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -34,8 +43,9 @@ import hashlib
 import html as html_module
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +53,10 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import small_batches, stored, table
 
-#: Tokens of a page that alignment looks at, and the widest group it folds.
-ALIGNED, WIDEST = 600, 12
+#: The widest group that folds, and streams that one task aligns.
+WIDEST, BUCKET = 12, 64
+#: Cells of the alignment's table.
+TABLE = 4_000_000
 BROADCAST_HOSTS, BROADCAST_BYTES, SALT = 50_000, 16_000_000, 32
 
 _TOKEN = re.compile(
@@ -62,28 +74,65 @@ OUT_NAMES = frozenset(
     " notice notices notification alert popup modal overlay comment comments commentlist respond disqus reply replies share sharing social related recommended newsletter subscribe subscription signup login search form pagination pager toolbar widget skip".split()
 )
 ARTICLE_TAGS = ("article", "main")
+#: Elements that can be an article without a name of their own, and headings, which may be links.
+SECTIONS = frozenset("html body article main section".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Names by which even an <article> is not the page's own.
 REMARKS = frozenset("comment comments reply replies related teaser".split())
 
 
 @dataclass
 class Node:
-    """A token of a wrapper: a tag, a text (its slot once texts differ) or a group of nodes."""
+    """A token of a wrapper: an element, a text (None once texts differ) or a group of nodes."""
 
     kind: str
     text: str | None = None
     body: list[Node] = field(default_factory=list)
     optional: bool = False
     repeated: bool = False
+    path: tuple[str, ...] = ()
+    out: bool = False
+    words: int = 0
+    linked: int = 0
+    pages: int = 1
+    blocks: tuple[int, ...] = ()
+    sign: str = ""
 
-    @property
-    def sign(self) -> str:
-        return self.kind if self.kind != "group" else "(" + " ".join(x.sign for x in self.body) + ")"
+    def __post_init__(self) -> None:
+        self.sign = "(" + " ".join(x.sign for x in self.body) + ")" if self.kind == "group" else f"{self.kind} {'/'.join(self.path)}" if self.kind == "text" else self.kind
 
     def pattern(self) -> str:
         own = {"text": "#TEXT" if self.text is None else repr(self.text), "group": "( " + " ".join(x.pattern() for x in self.body) + " )"}.get(self.kind, f"<{self.kind}>")
         return own + ("*" if self.optional and self.repeated else "+" if self.repeated else "?" if self.optional else "")
 
+    def texts(self) -> Iterator[Node]:
+        if self.kind == "text":
+            yield self
+        for x in self.body:
+            yield from x.texts()
+
+    def elements(self) -> Iterator[Node]:
+        if self.kind not in ("text", "group"):
+            yield self
+        for x in self.body:
+            yield from x.elements()
+
+    def packed(self) -> list | str:
+        """The structure alone, as JSON; figures of text nodes are kept beside it."""
+        if self.kind == "group":
+            return [int(self.optional), int(self.repeated), [x.packed() for x in self.body]]
+        return [int(self.optional), int(self.out), " ".join(self.path)] if self.kind == "text" else ["?" + self.kind] if self.optional else self.kind
+
+
+def unpacked(own: list | str) -> Node:
+    if isinstance(own, str):
+        return Node(own)
+    if len(own) == 1:
+        return Node(own[0][1:], optional=True)
+    if isinstance(own[2], str):
+        return Node("text", optional=bool(own[0]), path=tuple(own[2].split()), out=bool(own[1]))
+    return Node("group", None, [unpacked(x) for x in own[2]], bool(own[0]), bool(own[1]))
+
 
 def named(tag: str, attributes: str) -> tuple[str, bool]:
     """A tag's name with its class or id, and whether tag or name say that it is not the article."""
@@ -159,21 +208,59 @@ def pieces(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, str | None]
                     pass
 
 
+def blocks(page: str) -> list[tuple[tuple[str, ...], bool, int, int, str]]:
+    """(names of the open block elements, out, words, words in links, text) of every block of text in page order."""
+    found: list[tuple[tuple[str, ...], bool, int, int, str]] = []
+    now: list[str] = []
+    links: list[str] = []
+    place: tuple[tuple[str, ...], bool] | None = None
+
+    def close() -> None:
+        nonlocal place
+        if place is not None and (text := _SPACE.sub(" ", html_module.unescape("".join(now))).strip()):
+            found.append((*place, text.count(" ") + 1, len("".join(links).split()), text))
+        now.clear()
+        links.clear()
+        place = None
+
+    for path, out, link, text in pieces(page):
+        if text is None:
+            close()
+        elif not path and text == " " and place is not None:
+            now.append(text)  # a line break
+        else:
+            own = tuple(x for x in path if x.split(".")[0] not in INLINE), out
+            if own != place:
+                if place is not None and (not text.strip() or own == (place[0], True)):
+                    continue  # white space, or an inline advert within a block
+                close()
+                place = own
+            now.append(text)
+            if link:
+                links.append(text)
+    close()
+    return found
+
+
 def fold(nodes: list[Node]) -> list[Node]:
     """Turns neighbouring equal groups of tokens into one repeated group."""
     width = 1
     while width <= min(WIDEST, len(nodes) // 2 + 1):
         i, out, changed = 0, [], False
+        signs = [x.sign for x in nodes]
         while i < len(nodes):
-            here = nodes[i : i + width]
-            signs = [x.sign for x in here]
+            if i + width >= len(nodes) or signs[i] != signs[i + width]:
+                out.append(nodes[i])
+                i += 1
+                continue
+            here = signs[i : i + width]
             n = 1
-            while len(here) == width and [x.sign for x in nodes[i + n * width : i + (n + 1) * width]] == signs:
+            while len(here) == width and signs[i + n * width : i + (n + 1) * width] == here:
                 n += 1
-            if n > 1 and not (width == 1 and here[0].kind == "text"):
-                body = here
+            if n > 1 and not (width == 1 and nodes[i].kind not in ("group", "text")):
+                body = nodes[i : i + width]
                 for k in range(1, n):
-                    body = [_merged(a, b) for a, b in zip(body, nodes[i + k * width : i + (k + 1) * width], strict=True)]
+                    body = [_merged(a, b, True) for a, b in zip(body, nodes[i + k * width : i + (k + 1) * width], strict=True)]
                 if width == 1 and body[0].kind == "group":
                     out.append(Node("group", None, body[0].body, body[0].optional, True))
                 else:
@@ -186,143 +273,218 @@ def fold(nodes: list[Node]) -> list[Node]:
     return nodes
 
 
-def _merged(a: Node, b: Node) -> Node:
+def _merged(a: Node, b: Node, same_page: bool = False) -> Node:
+    """One node for two that meet, with their figures summed; pages are not, where both are of one page."""
+    optional = a.optional and b.optional if same_page else a.optional or b.optional
     if a.kind == "text":
-        return Node("text", a.text if a.text == b.text else None, [], a.optional or b.optional, False)
-    body = [_merged(x, y) for x, y in zip(a.body, b.body, strict=True)] if a.kind == "group" else []
-    return Node(a.kind, None, body, a.optional or b.optional, a.repeated or b.repeated)
+        pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
+        return Node("text", a.text if a.text == b.text else None, [], optional, False, a.path, a.out and b.out, a.words + b.words, a.linked + b.linked, pages, a.blocks + b.blocks)
+    body = [_merged(x, y, same_page) for x, y in zip(a.body, b.body, strict=True)] if a.kind == "group" else []
+    return Node(a.kind, None, body, optional, a.repeated or b.repeated)
+
+
+def common(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
+    """The places of a longest common sequence of two lists of nodes."""
+    x, y = [n.sign for n in a], [n.sign for n in b]
+    start = 0
+    while start < min(len(x), len(y)) and x[start] == y[start]:
+        start += 1
+    end = 0
+    while end < min(len(x), len(y)) - start and x[-1 - end] == y[-1 - end]:
+        end += 1
+    n, m = len(x) - start - end, len(y) - start - end
+    if n * m > TABLE:  # a common sequence without the quadratic table, perhaps not the longest
+        met = SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
+        return [(a + k, b + k) for a, b, size in met for k in range(size)]
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        row, below, own = best[i], best[i + 1], x[start + i]
+        for j in range(m - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if own == y[start + j] else max(below[j], row[j + 1])
+    out, i, j = [(k, k) for k in range(start)], 0, 0
+    while i < n and j < m:
+        if x[start + i] == y[start + j]:
+            out.append((start + i, start + j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out + [(len(x) - end + k, len(y) - end + k) for k in range(end)]
 
 
 def align(wrapper: list[Node], page: list[Node]) -> list[Node]:
     """The wrapper that accepts what both accept: common tokens stay, others become optional groups."""
-    a, b = [x.sign for x in wrapper], [x.sign for x in page]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(len(b) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
-    i = j = 0
     out: list[Node] = []
 
     def spare(nodes: list[Node]) -> None:
-        if len(nodes) == 1:
-            out.append(Node(nodes[0].kind, nodes[0].text, nodes[0].body, True, nodes[0].repeated))
-        elif nodes:
+        if len(nodes) > 1:
             out.append(Node("group", None, nodes, True, False))
+        for x in nodes if len(nodes) == 1 else ():
+            x.optional = True
+            out.append(x)
 
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            out.append(_merged(wrapper[i], page[j]))
-            i, j = i + 1, j + 1
-            continue
-        left, right = i, j
-        while i < len(a) and (j >= len(b) or a[i] != b[j]) and (j >= len(b) or best[i + 1][j] >= best[i][j + 1]):
-            i += 1
-        if i == left:
-            while j < len(b) and (i >= len(a) or a[i] != b[j]) and (i >= len(a) or best[i][j + 1] > best[i + 1][j]):
-                j += 1
-        spare(wrapper[left:i])
-        spare(page[right:j])
+    i = j = 0
+    for a, b in [*common(wrapper, page), (len(wrapper), len(page))]:
+        spare(wrapper[i:a])
+        spare(page[j:b])
+        if a < len(wrapper):
+            out.append(_merged(wrapper[a], page[b]))
+        i, j = a + 1, b + 1
     return fold(out)
 
 
-def stream(page: str) -> list[Node]:
-    out = []
-    for kind, value, _ in tokens(page):
-        if kind != "text":
-            if value.split(".")[0] not in INLINE:
-                out.append(Node(value if kind == "open" else f"/{value}"))
-        elif value.strip() and not (out and out[-1].kind == "text"):
-            out.append(Node("text", _SPACE.sub(" ", value).strip()))
-        if len(out) >= ALIGNED:
-            break
-    return fold(out)
+def stream(found: list[tuple[tuple[str, ...], bool, int, int, str]]) -> list[Node]:
+    """The folded tokens of a page's blocks."""
+    nodes: list[Node] = []
+    before: tuple[str, ...] = ()
+    for k, (path, out, words, linked, text) in enumerate(found):
+        same = 0
+        while same < min(len(path), len(before)) and path[same] == before[same]:
+            same += 1
+        # An element that closed and opened again under the same name shows as a new one only by its text.
+        nodes += [Node(name) for name in path[same if same < len(path) else -1 :]]
+        nodes.append(Node("text", text, path=path, out=out, words=words, linked=min(linked, words), blocks=(k,)))
+        before = path
+    return fold(nodes)
+
+
+def verdicts(wrapper: list[Node]) -> tuple[list[bool], str]:
+    """Whether each text node of a wrapper is content, and the name of the article's element."""
+    nodes = [t for x in wrapper for t in x.texts()]
+    menu = {id(x) for x in nodes if 2 * x.linked > x.words and not HEADINGS.intersection(x.path[-1:])}
+    loose = [x for x in nodes if not x.out and id(x) not in menu]
+    total = sum(x.words for x in loose)
+    by: dict[tuple[str, ...], int] = {}
+    for x in loose:
+        for k in range(len(x.path) + 1):
+            by[x.path[:k]] = by.get(x.path[:k], 0) + x.words
+    again = {e.kind for x in wrapper if x.repeated for e in x.elements()}  # what opens once a paragraph or item is no article
+    tagged = {p: n for p, n in by.items() if p and p[-1].split(".")[0] in ARTICLE_TAGS}
+    root: tuple[str, ...] = ()
+    if total and sum(n for p, n in tagged.items() if not any(q != p and p[: len(q)] == q for q in tagged)) >= 0.3 * total:
+        root = max(tagged, key=lambda p: (tagged[p], -len(p)))
+    elif total:
+        root = max((p for p, n in by.items() if n >= 0.6 * total and (not p or p[-1] not in again and ("." in p[-1] or p[-1] in SECTIONS))), key=len)
+    # Several elements may bear the article's name; the path to it may differ a little between pages.
+    name = root[-1] if root else ""
+    inside = [x for x in nodes if not name or name in x.path]
+    fixed = sum(x.words for x in inside if x.text is not None and x.pages >= 3)
+    varied = sum(x.words for x in inside if x.text is None)
+    template = {id(x) for x in inside if x.text is not None and x.pages >= 3} if varied > fixed else set()
+    within = {id(x) for x in inside}
+    return [id(x) in within and id(x) not in template and id(x) not in menu and not x.out for x in nodes], name
+
+
+def finished(wrapper: list[Node]) -> dict:
+    keep, name = verdicts(wrapper)
+    return {"tree": [x.packed() for x in wrapper], "keep": [int(x) for x in keep], "article": name}
 
 
 def infer(pages: list[str]) -> dict:
-    """The wrapper of pages of one host: its pattern, and the containers that hold or do not hold the article."""
-    streams = [stream(p) for p in pages if p]
+    """The wrapper of pages of one host: its pattern, tree, and which text nodes are content."""
+    streams = [stream(blocks(p)) for p in dict.fromkeys(p for p in pages if p)]
     wrapper = streams[0] if streams else []
     for other in streams[1:]:
         wrapper = align(wrapper, other)
-    held = pd.DataFrame([(k, *x) for k, page in enumerate(dict.fromkeys(p for p in pages if p)) for x in containers(page)], columns=["page", "name", "words", "linked", "text"])
-    own = held.groupby("name").agg(words=("words", "sum"), linked=("linked", "sum"), pages=("page", "nunique"), texts=("text", "nunique"))
-    return {"pattern": " ".join(x.pattern() for x in wrapper)} | rules(own.reset_index().itertuples())
-
-
-def containers(page: str) -> list[tuple[str, int, int, str]]:
-    """(name, words, words in links, hash of the texts) of a page's containers that are not out; "" stands for all of them."""
-    own: dict[str, list] = {}
-    for path, out, link, text in pieces(page):
-        if text is None or not path or out or not (n := len(text.split())):
-            continue
-        for name in ("", *dict.fromkeys(path)):
-            if name.split(".")[0] not in INLINE:
-                x = own.setdefault(name, [0, 0, hashlib.blake2b(digest_size=16)])
-                x[0] += n
-                x[1] += n * link
-                x[2].update(text.encode("utf-8", "surrogatepass") + b"\0")
-    return [(name, n, linked, h.hexdigest()) for name, (n, linked, h) in own.items()]
-
-
-def rules(held: Iterable) -> dict:
-    """Where a host's article is, from name, words, linked, pages and texts (different ones) of its containers over all different pages."""
-    by = {x.name: x for x in held}
-    every = by.pop("", None)
-    total = every.words if every else 0
-    root = next((t for t in ARTICLE_TAGS if sum(x.words for k, x in by.items() if k.split(".")[0] == t) >= 0.3 * total > 0), None)
-    if root:
-        return {"root": root, "out": []}
-    # Only a name tells a container from others of its tag; the same text counts on most of the pages.
-    constant = {k for k, x in by.items() if x.pages > 1 and 2 * x.pages > every.pages and x.texts == 1 and x.words < 0.5 * total}
-    dull = sorted(k for k, x in by.items() if "." in k and (x.linked > 0.6 * x.words or k in constant))
-    whole = [k for k, x in by.items() if x.words >= 0.6 * total and k not in dull and ("." in k or k == "section")]
-    return {"root": min(whole, key=lambda k: (by[k].words, k)) if whole else "", "out": dull}
+    return {"pattern": " ".join(x.pattern() for x in wrapper)} | finished(wrapper)
+
+
+class Wrapper:
+    """A host's wrapper, ready to read pages with."""
+
+    def __init__(self, own: dict):
+        self.tree = [unpacked(x) for x in own.get("tree", [])]
+        self.article = own.get("article", "")
+        for node, keep in zip((t for x in self.tree for t in x.texts()), own.get("keep", []), strict=True):
+            node.words = keep
+        self.seen: dict[str, list[bool | None]] = {}
+
+    def text(self, page: str | None) -> str:
+        found = blocks(page or "")
+        if not found:
+            return ""
+        nodes = stream(found)
+        key = " ".join(x.sign for x in nodes)
+        if key not in self.seen:
+            if len(self.seen) > 1000:
+                self.seen.clear()
+            met: dict[int, bool] = {}
+            for i, j in common(self.tree, nodes):
+                for a, b in zip(self.tree[i].texts(), nodes[j].texts(), strict=True):
+                    met[id(b)] = bool(a.words)
+            self.seen[key] = [met.get(id(x)) for t in nodes for x in t.texts()]
+        kept: set[int] = set()
+        for x, keep in zip((x for t in nodes for x in t.texts()), self.seen[key], strict=True):
+            # Words that are linked here, or out here, stay out whatever other pages hold in that place.
+            inside = not self.article or self.article in x.path
+            if not x.out and (inside if keep is None else keep):
+                kept.update(x.blocks)
+        if not kept:
+            kept = {k for k, b in enumerate(found) if not b[1]}
+        return "\n".join(found[k][4] for k in sorted(kept))
 
 
 def extract(page: str | None, wrapper: dict) -> str:
-    """The main text of a page by its host's wrapper; of all that is not out, where the page lacks the container."""
-    root, dull = wrapper["root"], frozenset(wrapper["out"])
-    for inside in (root, "") if root else ("",):
-        blocks, now = [], []
-        for path, out, _, text in pieces(page or ""):
-            if text is None:
-                if now:
-                    blocks.append("".join(now))
-                    now = []
-            elif not path:
-                now.append(text)
-            elif not out and (not inside or any(x == inside or inside in ARTICLE_TAGS and x.split(".")[0] == inside for x in path)) and dull.isdisjoint(path):
-                now.append(text)
-        if now:
-            blocks.append("".join(now))
-        clean = [x for x in (_SPACE.sub(" ", html_module.unescape(b)).strip() for b in blocks) if x]
-        if clean:
-            return "\n".join(clean)
-    return ""
+    """The main text of a page by its host's wrapper."""
+    return Wrapper(wrapper).text(page)
 
 
 def host(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
 
 
+_FIGURES = "array<struct<i: int, words: long, linked: long, pages: long, low: string, high: string>>"
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON: root and out) of every host of rows page_id, host, html."""
+    """host, wrapper (JSON) of every host of rows host, html."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(h, page, *x) for h, page, text in zip(batch["host"], batch["page"], batch["html"], strict=True) for x in containers(text)]
-            yield pd.DataFrame(rows, columns=["host", "page", "name", "words", "linked", "text"])
-
-    found = pages.filter("html <> ''").select("host", F.md5("html").alias("page"), "html").mapInPandas(measure, "host string, page string, name string, words long, linked long, text string")
-    # Equal pages count once; texts are counted before containers, so that no key holds all of a host's pages.
-    texts = found.dropDuplicates().groupBy("host", "name", "text").agg(F.sum("words").alias("words"), F.sum("linked").alias("linked"), F.count("*").alias("pages"))
-    held = texts.groupBy("host", "name").agg(F.sum("words").alias("words"), F.sum("linked").alias("linked"), F.sum("pages").alias("pages"), F.count("*").alias("texts"))
-
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(rules(group.itertuples()))]})
+            rows = []
+            for h, page, text in zip(batch["host"], batch["page"], batch["html"], strict=True):
+                nodes = stream(blocks(text))
+                texts = [t for x in nodes for t in x.texts()]
+                hashes = ["" if t.text is None else hashlib.blake2b(t.text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest() for t in texts]
+                rows.append((h, page, json.dumps([x.packed() for x in nodes]), [(t.words, t.linked, x) for t, x in zip(texts, hashes, strict=True)]))
+            yield pd.DataFrame(rows, columns=["host", "page", "tree", "texts"])
+
+    found = pages.filter("html <> ''").select("host", F.md5("html").alias("page"), "html").mapInPandas(measure, "host string, page string, tree string, texts array<struct<words: long, linked: long, text: string>>")
+    # Equal pages count once, and equal streams of a host are one with summed figures.
+    once = found.groupBy("host", "page").agg(F.first(F.struct("tree", "texts")).alias("x")).select("host", "x.*")
+    by_node = once.select("host", "tree", F.posexplode_outer("texts").alias("i", "t")).groupBy("host", "tree", "i").agg(
+        F.sum("t.words").alias("words"), F.sum("t.linked").alias("linked"), F.count("*").alias("pages"), F.min("t.text").alias("low"), F.max("t.text").alias("high")
+    )
+    figures = F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "words", "linked", "pages", "low", "high"))))
+    now = stored(by_node.groupBy("host", "tree").agg(figures.alias("figures")), "html-streams")
+
+    def read(tree: str, figures) -> list[Node]:
+        nodes = [unpacked(x) for x in json.loads(tree)]
+        for t, x in zip((t for n in nodes for t in n.texts()), figures, strict=True):
+            t.words, t.linked, t.pages, t.text = x["words"], x["linked"], x["pages"], x["low"] if x["low"] == x["high"] and x["low"] else None
+        return nodes
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("tree", key=lambda s: s.map(lambda t: (len(t), t)), kind="stable")
+        wrapper: list[Node] = []
+        for k, (tree, figures) in enumerate(zip(group["tree"], group["figures"], strict=True)):
+            own = read(tree, figures)
+            wrapper = align(wrapper, own) if k else own
+        texts = [t for x in wrapper for t in x.texts()]
+        own = [{"i": i, "words": t.words, "linked": t.linked, "pages": t.pages, "low": t.text or "", "high": t.text or ""} for i, t in enumerate(texts)]
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "tree": [json.dumps([x.packed() for x in wrapper])], "figures": [own]})
+
+    while (most := now.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
+        sizes = now.groupBy("host").agg(F.ceil(F.count("*") / BUCKET).alias("buckets"))
+        placed = now.join(sizes, "host").withColumn("bucket", F.pmod(F.xxhash64(F.lit(most), "tree"), F.col("buckets")))
+        now = stored(placed.groupBy("host", "bucket").applyInPandas(merge, f"host string, tree string, figures {_FIGURES}"), "html-streams")
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"host": batch["host"], "wrapper": [json.dumps(finished(read(t, f))) for t, f in zip(batch["tree"], batch["figures"], strict=True)]})
 
-    return held.groupBy("host").applyInPandas(build, "host string, wrapper string")
+    return now.mapInPandas(finish, "host string, wrapper string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -338,13 +500,15 @@ def main_text(pages: DataFrame) -> DataFrame:
         held = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALT)).cast("int")).join(own.withColumn("salt", salt), ["host", "salt"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read: dict[str, dict] = {}
+        read: dict[str | None, Wrapper] = {}
         for batch in batches:
             texts = []
             for page, wrapper in zip(batch["html"], batch["wrapper"], strict=True):
                 if wrapper not in read:
-                    read[wrapper] = {"root": "", "out": []} | (json.loads(wrapper) if wrapper else {})
-                texts.append(extract(page, read[wrapper]))
+                    if len(read) > 200:
+                        read.clear()
+                    read[wrapper] = Wrapper(json.loads(wrapper) if wrapper else {})
+                texts.append(read[wrapper].text(page))
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts, "n_chars": [len(x) for x in texts]})
 
     return held.select("page_id", "url", "html", "wrapper").mapInPandas(run, "page_id long, url string, text string, n_chars long")
