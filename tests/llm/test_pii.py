@@ -92,3 +92,38 @@ def test_long_secrets_are_replaced_whole(n):
         assert new == text.replace(value, own) and all(own[i : i + 200] != value[i : i + 200] for i in range(0, n - 20, 200))
     others = {pii.surrogate("token", value[:i] + "Q" + value[i + 1 :]) for i in (1, 6, n - 2, n - 4)}
     assert len(others | {own}) == 5
+
+
+def test_formats_share_no_string():
+    """Distinct originals of one type keep distinct surrogates whatever their formats."""
+    import itertools
+
+    ips = [f"192.168.{a}.{b}" for a in ("0", "1", "01", "00", "10", "09") for b in ("7", "07", "70", "255")]
+    assert len({pii.surrogate("ip", x) for x in ips}) == len(ips) and all(pii.PATTERNS["ip"].fullmatch(pii.surrogate("ip", x)) for x in ips)
+    assert [pii.surrogate("ip", f"10.0.0.0{i}")[-2] for i in range(10)] == ["0"] * 10
+    phones = [f"+4 {a}{b} 55 5{c}" for a in "0123456789" for b in "0123456789" for c in "012"]
+    assert len({pii._phone(x, "k") for x in phones}) == len(phones)
+    secrets = ["".join(x) for x in itertools.product("af1z", repeat=6)]
+    assert len({pii.surrogate("password", x) for x in secrets}) == len(secrets)
+    names = sorted({w for ws in pii.GIVEN.values() for w in ws} | {"".join(x) for x in itertools.product("Ив", "ова", "нв", "ов")} | {"Иванов", "Иванова", "Ованина", "Муковн"})
+    assert len({pii.surrogate("person", x) for x in names}) == len(names)
+
+
+def test_one_surrogate_an_original():
+    a, b = (pii.replaced(f"{t} Mary Smith")[1] for t in ("Mr.", "Mrs."))
+    assert a == b and a[0][2] in pii.GIVEN["latin", "f"]
+    valid = "DE89370400440532013000"
+    assert pii.entities(valid) and not pii.entities("DE" + f"{(int(valid[2:4]) + 97) % 100:02d}" + valid[4:] if int(valid[2:4]) + 97 < 100 else "DE01" + valid[4:])
+
+
+def test_long_addresses_and_named_columns(spark):
+    mail = "a" * 70 + "1@" + "b" * 80 + ".example.museumofthings"
+    assert pii.entities(f"to {mail} now")[0][:2] == (3, 3 + len(mail))
+    docs = spark.createDataFrame([(1, f"x {mail}", "v"), (2, "plain", "w"), (3, None, None)], "`doc.id` long, `my.text` string, `row` string")
+    out = pii.pseudonymised(docs, text_col="my.text", key="another")
+    assert out.columns == docs.columns and out.count() == 3 and mail not in str(out.collect())
+
+
+def test_collisions_look_both_ways(spark):
+    pairs = spark.createDataFrame([("ip", "a", "x"), ("ip", "a", "y"), ("card", "a", "x"), ("ip", "a", "x")], "type string, original string, surrogate string")
+    assert [(r["side"], r["n"]) for r in pii.collisions(pairs).collect()] == [("original", 2)]

@@ -11,15 +11,24 @@ permuted within the names of their gender and script. The permutation is a
 Feistel network over the format's numbering, cycle-walked, and conjugated with
 a shift, so that nothing is its own surrogate. Equal entities hence get equal
 surrogates across all documents (coreference), different ones different
-surrogates. That is checked, not assumed: ``key_without_collisions`` counts
-surrogates with two originals over all rows and moves on to the next key until
-there is none.
+surrogates: every format has a permutation of its own strings, and formats
+share no string, so distinctness holds for every key. It is checked all the
+same: ``collisions`` looks over all rows for surrogates of a type with several
+originals and originals with several surrogates, and pseudonymised() fails
+if there are any.
+
+A given name is replaced by one of its own script and gender, as the lists have
+it, whatever title stands before it: one name, one surrogate.
 
 Texts without a digit, ``@``, ``=``, title, access key or secret's name before
 a colon pass unchanged and never leave the JVM. A null text stays null, an empty one empty; repeated rows are
 replaced alike; an empty table gives an empty result. Parts of one text are
-replaced left to right, the earlier and then the longer entity first.
-Secrets are replaced whole, however long. Unknown scripts' letters stay. All other columns are carried unread.
+replaced left to right, of those that begin together the longer first and then
+the earlier pattern. Entities of any length are replaced whole, in texts of any
+length. Unknown scripts' letters stay. All other columns are carried unread,
+whatever their names.
+
+The key is an argument, else the session's KEY_CONF; KEY serves tests only.
 """
 
 from __future__ import annotations
@@ -33,9 +42,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import small_batches, table
+from weftline.llm.common import quoted, small_batches, stored, table
 
-KEY = "surrogates"
+KEY, KEY_CONF = "surrogates", "spark.weftline.surrogates.key"
 ROUNDS = 8
 #: Characters of a secret that are permuted at once.
 PIECE = 200
@@ -61,7 +70,7 @@ _CLASS = {c: a for a in ALPHABETS for c in a}
 
 _NAME = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 PATTERNS = {
-    "email": re.compile(r"(?<![\w.+-])[\w+-][\w.+-]{0,63}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}(?![\w-])"),
+    "email": re.compile(r"(?<![\w.+-])[\w+-][\w.+-]*+@(?:[\w-]+\.)+[^\W\d_]{2,}+(?![\w-])"),
     "token": re.compile(r"(?i:\b(?:token|secret|api[_-]?key|apikey|auth|passwd|pwd)\b\s{0,4}[=:]\s{0,4}\")([^\s\"]{8,}+)(?=\")"),
     "password": re.compile(r"(?i:\b(?:password|passwd|pwd|secret|api[_-]?key)\s{0,4}[=:]\s{0,4})([^\s\"'&*%$#|<>!,;]{6,}+)"),
     "access_key": re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)([A-Z0-9]{16})(?![A-Za-z0-9])"),
@@ -169,8 +178,22 @@ RANGES = [(0x0A000000, 1 << 24), (0x7F000000, 1 << 24), (0xAC100000, 1 << 20), (
 
 
 def _ip(text: str, key: str) -> str:
+    parts = text.split(".")
+    if any(len(p) > 1 and p[0] == "0" for p in parts):
+        # Numbers with a leading zero are a format of their own, kept number by number.
+        sizes = [10 if len(p) > 1 and p[0] == "0" else 256 for p in parts]
+        x = n = 0
+        n = 1
+        for p, size in zip(parts, sizes, strict=True):
+            x, n = x * size + int(p), n * size
+        x = permuted(x, n, key, f"ip/{sizes}")
+        out = []
+        for size in reversed(sizes):
+            x, i = divmod(x, size)
+            out.append(f"0{i}" if size == 10 else str(i))
+        return ".".join(reversed(out))
     x = 0
-    for part in text.split("."):
+    for part in parts:
         x = x << 8 | int(part)
     for first, size in RANGES:
         if first <= x < first + size:
@@ -190,7 +213,7 @@ def _phone(text: str, key: str) -> str:
     kept = len(re.sub(r"\D", "", code[0])) if code else 0
     d = "".join(c for c in text if c.isdigit())
     rest = d[kept:]
-    own = ["123456789" if i == 0 and c != "0" else "0123456789" for i, c in enumerate(rest)]
+    own = [("0" if c == "0" else "123456789") if i == 0 else "0123456789" for i, c in enumerate(rest)]  # trunk zeros stay
     return _digits(text, d[:kept] + reshaped(rest, key, f"phone{d[:kept]}/{re.sub(r'[0-9]', '9', text)}", own))
 
 
@@ -200,12 +223,20 @@ def _email(text: str, key: str) -> str:
     return f"{reshaped(local, key, 'local')}@{reshaped('.'.join(labels[:-1]), key, f'domain/{labels[-1]}')}.{labels[-1]}"
 
 
+_HEX = re.compile(r"[0-9a-f]+")
+
+
 def _secret(text: str, key: str) -> str:
-    if re.fullmatch(r"[0-9a-f]+", text):
-        own = ["0123456789" if c.isdigit() else "abcdef" for c in text]
-    else:
-        own = ["0123456789" if c in "0123456789" else "abcdefghijklmnopqrstuvwxyz" if "a" <= c <= "z" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if "A" <= c <= "Z" else alphabet(c) for c in text]
-    # Of a long secret, each piece has a permutation of its own, keyed by the pieces before it: one to one as a whole, in linear time.
+    if _HEX.fullmatch(text):
+        return _chained(text, key, ["0123456789" if c.isdigit() else "abcdef" for c in text])
+    own = ["0123456789" if c in "0123456789" else "abcdefghijklmnopqrstuvwxyz" if "a" <= c <= "z" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if "A" <= c <= "Z" else alphabet(c) for c in text]
+    while _HEX.fullmatch(text := _chained(text, key, own)):
+        pass  # walks on: hexadecimal strings are the format above
+    return text
+
+
+def _chained(text: str, key: str, own: list[str]) -> str:
+    """Of a long secret, each piece has a permutation of its own, keyed by the pieces before it: one to one as a whole, in linear time."""
     out, before = [reshaped(text[:PIECE], key, "secret", own[:PIECE])], hashlib.blake2b(digest_size=32)
     for i in range(PIECE, len(text), PIECE):
         before.update(text[i - PIECE : i].encode("utf-8", "surrogatepass"))
@@ -218,57 +249,64 @@ def script(word: str) -> str:
     return "cyrillic" if name.startswith("CYRILLIC") else "greek" if name.startswith("GREEK") else "latin"
 
 
-def person_word(word: str, key: str, gender: str = "") -> str:
+LISTED = {n: group for group, names in GIVEN.items() for n in names}
+
+
+def _ending(word: str) -> str:
+    return next((e for e in SURNAME_ENDINGS if word.endswith(e) and len(word) > len(e) + 1), "")
+
+
+def person_word(word: str, key: str) -> str:
     """A given name's surrogate from the names of its script and gender; another word of like form otherwise."""
-    for (s, g), names in GIVEN.items():
-        if word in names and (not gender or g == gender):
-            return names[permuted(names.index(word), len(names), key, f"given/{s}/{g}")]
-    listed = {n for names in GIVEN.values() for n in names}
-    ending = next((e for e in SURNAME_ENDINGS if word.endswith(e) and len(word) > len(e) + 1), "")
+    if word in LISTED:
+        names = GIVEN[LISTED[word]]
+        return names[permuted(names.index(word), len(names), key, "given/" + "/".join(LISTED[word]))]
+    ending = _ending(word)
     stem = word[: len(word) - len(ending)]
-    out = word
-    while True:
+    while True:  # walks on where it meets a listed name or another ending: these are formats of their own
         stem = reshaped(stem, key, f"name/{ending}")
-        out = stem + ending
-        if out not in listed:
+        if (out := stem + ending) not in LISTED and _ending(out) == ending:
             return out
 
 
 @lru_cache(maxsize=20_000)
-def surrogate(kind: str, text: str, key: str = KEY, gender: str = "") -> str:
-    own = {"email": _email, "card": _card, "iban": _iban, "ip": _ip, "phone": _phone, "token": _secret, "password": _secret, "access_key": _secret}
-    if kind == "person":
-        return person_word(text, key, gender)
+def surrogate(kind: str, text: str, key: str = KEY) -> str:
+    own = {"email": _email, "card": _card, "iban": _iban, "ip": _ip, "phone": _phone, "token": _secret, "password": _secret, "access_key": _secret, "person": person_word}
     return own[kind](text, key) if kind in own else reshaped(text, key, kind)
 
 
-def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, gender) of what is replaced, in order and apart from each other."""
-    found: list[tuple[int, int, str, str]] = []
+def _own_check(iban: str) -> bool:
+    """Whether an IBAN bears the check digits of its body; 00, 01 and 99 stand for none."""
+    return iban[2:4] == f"{98 - _mod97(iban[4:] + iban[:2] + '00'):02d}"
+
+
+def entities(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, type) of what is replaced, in order and apart from each other."""
+    found: list[tuple[int, int, str]] = []
     if any(c.isdigit() for c in text) or "@" in text or "=" in text or any(k in text for k in ACCESS_KEYS) or ":" in text and _SECRET_WORD.search(text):
         for kind, pattern in PATTERNS.items():
             if kind == "person" or kind == "email" and "@" not in text:
                 continue
             for m in pattern.finditer(text):
-                if kind == "iban" and _mod97((flat := m[0].replace(" ", ""))[4:] + flat[:4]) != 1:
+                if kind == "iban" and not _own_check(m[0].replace(" ", "")):
                     continue
                 if kind == "card" and len(re.sub(r"\D", "", m[0])) == 15 and _luhn(m[0][:-1]) != int(m[0][-1]):
                     continue
                 group = 1 if kind in ("token", "password", "access_key") else 0
-                found.append((m.start(group), m.end(group), kind, ""))
-    names: dict[str, str] = {}
+                found.append((m.start(group), m.end(group), kind))
+    names: dict[str, None] = {}
     for m in PATTERNS["person"].finditer(text):
         for word in m[2].split(" "):
             if not word[0].isupper() or len(word) < 2:
                 break
-            names.setdefault(word, TITLES[m[1]])
+            names[word] = None
     if names:  # later mentions without the title are the same person
         for m in re.finditer(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, names), key=len, reverse=True))})(?!\w)", text):
-            found.append((m.start(), m.end(), "person", names[m[0]]))
+            found.append((m.start(), m.end(), "person"))
     out, at = [], 0
-    for start, end, kind, gender in sorted(found, key=lambda x: (x[0], -x[1])):
+    for start, end, kind in sorted(found, key=lambda x: (x[0], -x[1])):
         if start >= at:
-            out.append((start, end, kind, gender))
+            out.append((start, end, kind))
             at = end
     return out
 
@@ -276,8 +314,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 def replaced(text: str, key: str = KEY) -> tuple[str, list[tuple[str, str, str]]]:
     """The text with surrogates, and (type, original, surrogate) of each."""
     out, at, found = [], 0, []
-    for start, end, kind, gender in entities(text):
-        new = surrogate(kind, text[start:end], key, gender)
+    for start, end, kind in entities(text):
+        new = surrogate(kind, text[start:end], key)
         out += [text[at:start], new]
         found.append((kind, text[start:end], new))
         at = end
@@ -286,63 +324,52 @@ def replaced(text: str, key: str = KEY) -> tuple[str, list[tuple[str, str, str]]
 
 def suspect(text_col: str = "text") -> Column:
     """Whether a text may hold an entity: never false where entities() finds one."""
-    own = F.col(text_col)
+    own = quoted(text_col)
     secret = own.contains(":") & own.rlike(f"(?iu){SECRET_WORD}")
     for k in ACCESS_KEYS:
         secret |= own.contains(k)
     return F.coalesce(own.rlike(SUSPECT) | secret, F.lit(False))
 
 
-def entity_pairs(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """type, original, surrogate, n: the different entities of all rows, counted before the shuffle."""
-
-    def run(batches):
-        for batch in batches:
-            counts: dict[tuple[str, str, str], int] = {}
-            for text in batch["text"]:
-                for x in replaced(text, key)[1]:
-                    counts[x] = counts.get(x, 0) + 1
-            yield pd.DataFrame([(*x, n) for x, n in counts.items()], columns=["type", "original", "surrogate", "n"])
-
-    rows = docs.filter(suspect(text_col)).select(F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "type string, original string, surrogate string, n long").groupBy("type", "original", "surrogate").agg(F.sum("n").alias("n"))
-
-
 def collisions(pairs: DataFrame) -> DataFrame:
-    """Surrogates of a type that stand for several originals, or originals with several surrogates."""
-    twice = pairs.groupBy("type", "surrogate").agg(F.count("*").alias("originals")).filter("originals > 1")
-    return twice.select("type", F.col("surrogate").alias("value"), "originals")
+    """Surrogates of a type that stand for several originals, and originals with several surrogates; originals may be digests."""
+    pairs = pairs.select("type", "original", "surrogate").distinct()
+    by = lambda one, other: pairs.groupBy("type", F.col(one).alias("value")).agg(F.count("*").alias("n")).filter("n > 1").select("type", F.lit(one).alias("side"), "value", "n")
+    return by("surrogate", "original").union(by("original", "surrogate"))
 
 
-def key_without_collisions(docs: DataFrame, key: str = KEY, text_col: str = "text") -> str:
-    attempt = 0
-    while True:
-        tried = f"{key}/{attempt}"
-        if collisions(entity_pairs(docs, tried, text_col)).isEmpty():
-            return tried
-        attempt += 1
+_FOUND = "text string, entities array<struct<type: string, original: string, surrogate: string>>"
 
 
 def _surrogates(key: str):
-    @F.pandas_udf("text string, entities array<struct<type: string, surrogate: string>>")
+    @F.pandas_udf(_FOUND)
     def run(texts: pd.Series) -> pd.DataFrame:
         both = [replaced(t, key) for t in texts]
-        return pd.DataFrame({"text": [t for t, _ in both], "entities": [[{"type": k, "surrogate": s} for k, _, s in e] for _, e in both]})
+        own = [[{"type": k, "original": hashlib.blake2b(o.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), "surrogate": s} for k, o, s in e] for _, e in both]
+        return pd.DataFrame({"text": [t for t, _ in both], "entities": own})
 
     return run
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, text_col: str = "text", entities_col: str | None = None) -> DataFrame:
-    """docs with surrogates in the text; entities_col, if named, gets (type, surrogate) of each replacement."""
+def pseudonymised(docs: DataFrame, key: str | None = None, text_col: str = "text", entities_col: str | None = None) -> DataFrame:
+    """docs with surrogates in the text; entities_col, if named, gets (type, surrogate) of each replacement.
+
+    Suspect texts are searched once; they are stored with their surrogates (and
+    digests of the originals), all rows of which are then checked for collisions.
+    """
     small_batches(docs.sparkSession)
-    own = key_without_collisions(docs, key, text_col)
-    names = [*docs.columns, *([entities_col] if entities_col else [])]
-    none = F.array().cast("array<struct<type: string, surrogate: string>>")
-    clean = docs.filter(~suspect(text_col))
-    dirty = docs.filter(suspect(text_col)).withColumn("__pii", _surrogates(own)(F.col(text_col))).withColumn(text_col, F.col("__pii.text"))
-    if entities_col:
-        clean, dirty = clean.withColumn(entities_col, none), dirty.withColumn(entities_col, F.col("__pii.entities"))
-    return clean.select(*names).union(dirty.select(*names))
+    key = key or docs.sparkSession.conf.get(KEY_CONF, KEY)
+    own = [quoted(c) for c in docs.columns]
+    rest = [quoted(c) for c in docs.columns if c != text_col]
+    searched = stored(docs.filter(suspect(text_col)).select(F.struct(F.lit(0).alias("__only"), *rest).alias("row"), _surrogates(key)(quoted(text_col)).alias("new")), "surrogates")
+    pairs = searched.select(F.explode("new.entities").alias("e")).select("e.*")
+    if (found := collisions(pairs).limit(5).collect()):
+        raise ValueError(f"surrogates collide: {[(r['type'], r['side'], r['n']) for r in found]}")
+    kind = "array<struct<type: string, surrogate: string>>"
+    clean = docs.filter(~suspect(text_col)).select(*own, *([F.array().cast(kind).alias(entities_col)] if entities_col else []))
+    fields = [F.col("new.text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    brief = F.transform("new.entities", lambda e: F.struct(e["type"].alias("type"), e["surrogate"].alias("surrogate"))).cast(kind)
+    return clean.union(searched.select(*fields, *([brief.alias(entities_col)] if entities_col else [])))
 
 
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
