@@ -73,29 +73,56 @@ def table_repaired(c: Column) -> Column:
     return F.when(c.rlike(TABLE_SIGNS), F.array_join(F.transform(F.split(c, "\n"), line), "\n")).otherwise(c)
 
 
+def let(c: Column, body) -> Column:
+    """body of a column that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def lines_deduplicated(c: Column) -> Column:
     """Without lines equal to the line before, blank ones aside."""
-    lines = F.split(c, "\n")
-    bare = F.transform(lines, strip)
-    kept = F.filter(lines, lambda x, i: (strip(x) == "") | (i == 0) | (strip(x) != F.get(bare, i - 1)))
-    return F.array_join(kept, "\n")
+
+    def kept(lines: Column) -> Column:
+        # The shifted copy is one longer: its last entry has no line.
+        pairs = F.arrays_zip(lines.alias("l"), F.concat(F.array(F.lit(None).cast("string")), F.transform(lines, lambda x: x["bare"])).alias("before"))
+        fresh = lambda p: p["l"].isNotNull() & ((p["l"]["bare"] == "") | p["before"].isNull() | (p["l"]["bare"] != p["before"]))
+        return F.array_join(F.transform(F.filter(pairs, fresh), lambda p: p["l"]["line"]), "\n")
+
+    return let(F.transform(F.split(c, "\n"), lambda x: F.struct(x.alias("line"), strip(x).alias("bare"))), kept)
+
+
+def _paragraphs(c: Column) -> Column:
+    """(key, at, text) of each paragraph; the key is its first 100 characters."""
+    return F.transform(F.split(c, r"\n\s*\n"), lambda p, i: F.struct(F.left(strip(p), F.lit(100)).alias("key"), i.alias("at"), p.alias("text")))
+
+
+def _first_paragraphs(paragraphs: Column) -> Column:
+    """The text without paragraphs whose key an earlier one has: one sort by key, one back by place."""
+
+    def kept(ordered: Column) -> Column:
+        pairs = F.arrays_zip(ordered.alias("p"), F.concat(F.array(F.lit(None).cast("string")), F.transform(ordered, lambda x: x["key"])).alias("before"))
+        first = F.filter(pairs, lambda x: x["p"].isNotNull() & ((x["p"]["key"] == "") | x["before"].isNull() | (x["p"]["key"] != x["before"])))
+        return F.array_join(F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["p"]["at"].alias("at"), x["p"]["text"].alias("text")))), lambda x: x["text"]), "\n\n")
+
+    return let(F.array_sort(paragraphs), kept)
 
 
 def paragraphs_deduplicated(c: Column) -> Column:
     """Without paragraphs whose first 100 characters an earlier one has, blank ones aside."""
-    paragraphs = F.split(c, r"\n\s*\n")
-    keys = F.transform(paragraphs, lambda p: F.left(strip(p), F.lit(100)))
-    kept = F.filter(paragraphs, lambda p, i: (strip(p) == "") | (F.array_position(keys, F.left(strip(p), F.lit(100))) == i + 1))
-    return F.array_join(kept, "\n\n")
+    return let(_paragraphs(c), _first_paragraphs)
 
 
 def deduplicated(c: Column) -> Column:
     """Both repairs; unchanged where neither finds anything."""
-    lines = lines_deduplicated(c)
-    paragraphs = F.split(lines, r"\n\s*\n")
-    keys = F.filter(F.transform(paragraphs, lambda p: F.left(strip(p), F.lit(100))), lambda k: k != "")
-    found = (F.size(F.split(lines, "\n")) < F.size(F.split(c, "\n"))) | (F.size(F.array_distinct(keys)) < F.size(keys))
-    return F.when(found, paragraphs_deduplicated(lines)).otherwise(c)
+
+    def both(lines: Column) -> Column:
+        def repaired(paragraphs: Column) -> Column:
+            keys = F.filter(F.transform(paragraphs, lambda p: p["key"]), lambda k: k != "")
+            found = (F.length(lines) < F.length(c)) | let(keys, lambda k: F.size(F.array_distinct(k)) < F.size(k))
+            return F.when(found, _first_paragraphs(paragraphs)).otherwise(c)
+
+        return let(_paragraphs(lines), repaired)
+
+    return let(lines_deduplicated(c), both)
 
 
 #: The cleaning rules in their order.
@@ -141,35 +168,78 @@ def mapping_pairs(c: Column) -> Column:
 
 
 def nonempty_lines(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"), strip), lambda x: x != "")
+
+
+#: Patterns and words of chunk features, and their weights below.
+CHUNK_FIELD = r"(?U)\b[A-Z][A-Z0-9_./\-]{2,}\b"
+CHUNK_PAIR = r"-?\d+\s*(?:=|->|→)\s*[A-Za-z_][A-Za-z0-9_./\-]*"
+FORMULA_HINT = r"(?i)(?:formula|公式|convert|转换|resolution|分辨率|value\s*[*/+\-])"
+RULE_EVIDENCE = r"(?i)(?:formula|公式|mapping|映射|range|范围|resolution|分辨率|bit|位|value\s*[*/+\-]|->|→|=)"
+HEADER_FOOTER = r"(?i)(?:^table\s+\d|^figure\s+\d|^note\b|^附注|continued|page\s+\d+|保密|密级|页眉|页脚)"
+SEPARATOR_LINE = r"^[=\-_.|/\\\s]{4,}$"
+BLOCK_TYPES = [
+    ("field_definition", ("字段", "field", "位宽", "bit", "范围", "range", "单位", "unit")),
+    ("conversion_rule", ("公式", "formula", "计算", "calculate", "转换", "convert", "映射", "map")),
+    ("protocol_description", ("协议", "protocol", "概述", "overview", "用途", "purpose", "介绍", "introduction")),
+]
+
+
+def holds_any(c: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+
+
+def block_semantic_type(c: Column, block_type: Column) -> Column:
+    """Tables and code by their type, others by the first group of words that they hold."""
+    low = F.lower(c)
+    out = F.when(block_type == "table", "table_data").when(block_type == "code", "code_example")
+    for name, words in BLOCK_TYPES:
+        out = out.when(holds_any(low, words), name)
+    return out.otherwise("general_content")
+
+
+def chunk_field_names(c: Column) -> Column:
+    found = F.regexp_extract_all(F.upper(c), F.lit(CHUNK_FIELD), F.lit(0))
+    return F.array_sort(F.array_distinct(F.filter(found, plausible_field_name)))
+
+
+def chunk_pairs(c: Column) -> Column:
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(CHUNK_PAIR))
 
 
 def noise_penalty(c: Column, block_type: Column, has_fields: Column) -> Column:
     """How noisy a block looks for rule extraction (X11)."""
     text = strip(F.coalesce(c, F.lit("")))
-    lines = nonempty_lines(text)
-    n = F.greatest(F.size(lines), F.lit(1))
-    short, separators = F.size(F.filter(lines, lambda x: F.length(x) <= 6)), F.size(F.filter(lines, lambda x: x.rlike(r"^[\-=_*#|+.\s]{3,}$")))
-    letters = F.length(replace_all(text, r"(?U)[^\p{L}\p{N}]"))
-    marks = F.length(replace_all(text, r"(?U)[\p{L}\p{N}\s]"))
-    size = F.greatest(F.length(text), F.lit(1))
-    points = [
-        F.when(block_type.isin("image", "figure"), 6.0),
-        F.when((n >= 4) & (short / n >= 0.55), 5.0),
-        F.least(F.lit(4.0), separators * 1.5),
-        F.when(marks / size >= 0.32, 3.0),
-        F.when(letters / size <= 0.38, 2.0),
-        F.when(F.length(text) < 36, 4.0),
-        F.when(~has_fields & (mapping_pairs(text) == 0), 2.0),
-    ]
-    return F.when(text == "", F.lit(18.0)).otherwise(reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0.0)) for p in points]))
-
-
-def evidence_score(anchor: Column, names: Column, formulas: Column, pairs: Column, bits: Column, ranges: Column) -> Column:
+
+    def scored(x: Column) -> Column:
+        lines = x["lines"]
+        n = F.greatest(F.size(lines), F.lit(1))
+        share = lambda test: F.size(F.filter(lines, test))
+        letters = F.length(replace_all(x["text"], r"(?U)[^\p{L}\p{N}]"))
+        marks = F.length(replace_all(x["text"], r"(?U)[\p{L}\p{N}\s]"))
+        size = F.greatest(F.length(x["text"]), F.lit(1))
+        points = [
+            F.when(block_type.isin("image", "figure"), 6.0),
+            F.when((n >= 4) & (share(lambda l: F.length(l) <= 6) / n >= 0.55), 5.0),
+            F.least(F.lit(4.0), share(lambda l: l.rlike(SEPARATOR_LINE)) * 1.5),
+            F.least(F.lit(6.0), share(lambda l: l.rlike(HEADER_FOOTER)) * 2.0),
+            F.when(marks / size >= 0.32, 3.0),
+            F.when(letters / size <= 0.38, 2.0),
+            F.when((F.length(x["text"]) < 36) & ~x["text"].rlike(RULE_EVIDENCE), 4.0),
+            F.when(~has_fields & (chunk_pairs(x["text"]) == 0) & ~x["text"].rlike(FORMULA_HINT), 2.0),
+        ]
+        return F.when(x["text"] == "", F.lit(18.0)).otherwise(F.round(reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0.0)) for p in points]), 4))
+
+    return let(text, lambda t: let(F.struct(t.alias("text"), nonempty_lines(t).alias("lines")), scored))
+
+
+def evidence_score(c: Column, block_type: Column, anchor: Column, names: Column, formulas: Column, pairs: Column, bits: Column, ranges: Column) -> Column:
     """How much conversion evidence a block has, each kind capped."""
-    return (
+    score = (
         F.when(anchor != "", 12.0).otherwise(0.0) + F.least(F.lit(18.0), F.size(names) * 1.8) + F.least(F.lit(16.0), formulas * 3.0) + F.least(F.lit(16.0), pairs * 2.0) + F.least(F.lit(10.0), (bits + ranges) * 1.5)
     )
+    table = (block_type == "table") & ((pairs > 0) | (formulas > 0))
+    return F.round(score + F.when(F.coalesce(c, F.lit("")).rlike(RULE_EVIDENCE), 6.0).otherwise(0.0) + F.when(table, 4.0).otherwise(0.0), 4)
 
 
 def lookup_key(c: Column) -> Column:
@@ -247,16 +317,63 @@ def log_metric(c: Column, *names: str) -> Column:
     return F.coalesce(*[F.expr("try_cast(NULL AS double)")] + [F.nullif(F.regexp_extract(c, rf"\b{n}\s*[=:]\s*([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)", 1), F.lit("")).cast("double") for n in names])
 
 
-def qa_is_low(question: Column, answer: Column, kind: Column) -> Column:
-    """Reasons why a question and its answer are of low quality; none if they are fine."""
-    q, a = strip(F.coalesce(question, F.lit(""))), strip(F.coalesce(answer, F.lit("")))
-    convert = kind == "protocol_conversion"
+#: Reasons of low quality, vague words, words that tell the kind of a question.
+QA_REASONS = {"question": "问题过短", "formula": "转换公式无效", "arithmetic": "transcoding缺少可计算公式", "mapping": "mapping缺少映射关系", "answer": "答案过短", "value": "答案缺乏具体数值", "vague": "答案包含模糊表述"}
+VAGUE = ("可能", "也许", "大概", "不确定", "不清楚")
+UNDERSTANDING_WORDS = (
+    "field", "字段", "bit", "位", "width", "宽度", "range", "范围", "unit", "单位", "resolution", "分辨率", "meaning", "含义", "j2.", "j3.", "j12.", "word", "message", "label",
+)
+CONVERSION_WORDS = (
+    "formula", "公式", "convert", "转换", "calculation", "计算", "mapping", "映射", "transcoding", "转义", "coefficient", "系数", "value", "数值", "multiplier", "乘数", "frequency", "频率",
+    "latitude", "纬度", "longitude", "经度", "speed", "速度",
+)
+
+
+def qa_kind(c: Column) -> Column:
+    """protocol_conversion where two conversion words occur, else protocol_understanding."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    hits = reduce(lambda a, b: a + b, [low.contains(w).cast("int") for w in CONVERSION_WORDS])
+    return F.when(hits >= 2, "protocol_conversion").otherwise("protocol_understanding")
+
+
+def block_formula(c: Column) -> Column:
+    """Whether a text is a formula of several lines."""
+    text = response_sanitised(F.coalesce(c, F.lit("")))
+    return text.contains("\n") & (text.rlike(r"\n(?:if |for |while |else:)") | text.contains("result =") | text.rlike(r"^(?:if |for |while )"))
+
+
+def arithmetic(c: Column) -> Column:
+    """Whether a text holds an expression that can be computed."""
+    block = c.rlike(r"[*/+\-]") | c.rlike(r"\b(?:signed|unsigned|scale|clip|int|float|min|max|sum)\s*\(")
+    plain = c.rlike(r"[A-Za-z_][A-Za-z0-9_]*\s*[*/+\-]\s*[0-9A-Za-z_(]") | (c.rlike(r"(?iU)\b(?:value|raw|physical|lat|lon|x|val)\b") & c.rlike(r"[*/+\-]"))
+    return F.when(block_formula(c), block).otherwise(plain)
+
+
+def inferred_mode(c: Column) -> Column:
+    """transcoding for what can be computed, mapping otherwise."""
+    text = strip(F.coalesce(c, F.lit("")))
+    maps = text.rlike(r"->|→|=>") | text.rlike(r"-?\d+\s*=\s*[A-Za-z_]") | text.rlike(r"[A-Za-z_]+\s*=\s*-?\d+")
+    return F.when(block_formula(text), F.when(arithmetic(text), "transcoding").otherwise("mapping")).when(maps, "mapping").when(arithmetic(text), "transcoding").otherwise("mapping")
+
+
+def qa_reasons(question: Column, answer: Column, kind: Column, formula: Column) -> Column:
+    """What speaks against a question and its answer; formula is the answer's formula (F04). Vague words alone do not make it low."""
+    q, a, f = (strip(F.coalesce(c, F.lit(""))) for c in (question, answer, formula))
+    convert, mode = kind == "protocol_conversion", inferred_mode(formula)
+    says = lambda test, name: F.when(test, F.lit(QA_REASONS[name]))
+    number = a.rlike(r"(?U)\d") | a.rlike(r"-?\d+\s*(?:=|->|→)\s*[A-Za-z_]")
     return F.array_compact(
         F.array(
-            F.when(F.length(q) < 5, F.lit("question too short")),
-            F.when(~convert & (F.length(a) < 10), F.lit("answer too short")),
-            F.when(convert & (a == ""), F.lit("formula missing")),
-            F.when(a.rlike(r"(?i)\b(?:unknown|n/a|not sure)\b"), F.lit("answer evades")),
-            F.when(q == a, F.lit("answer repeats question")),
+            says(F.length(q) < 8, "question"),
+            says(convert & (F.length(f) < 3), "formula"),
+            says(convert & (mode == "transcoding") & ~arithmetic(f), "arithmetic"),
+            says(convert & (mode == "mapping") & ~(f.rlike("=|->|→") | block_formula(f)), "mapping"),
+            says(~convert & (F.length(a) < 6), "answer"),
+            says(~convert & ~number, "value"),
+            says(~convert & holds_any(a, VAGUE), "vague"),
         )
     )
+
+
+def qa_is_low(reasons: Column) -> Column:
+    return F.exists(reasons, lambda r: r != QA_REASONS["vague"])

@@ -1,8 +1,10 @@
 """Ordered grouping of blocks into chunks, token packing, table continuation and chunk aggregates.
 
 The merge score of two neighbours needs only the row before, so it is a lag;
-the token budget depends on the group so far, so the grouping itself folds
-over each project in order, as pandas groups. A project is one task.
+the token budget depends on the group so far, so the grouping itself folds in
+order. Only keys, order, score and tokens go to the fold, never texts; a
+project is cut wherever a score below LEAST_SCORE starts a new group whatever
+the budget, and pieces of about FOLD_ROWS rows are folded as pandas groups.
 """
 
 from __future__ import annotations
@@ -16,16 +18,31 @@ from pyspark.sql.window import Window
 from weftline.functions import text as X
 
 HARD_BUDGET, LEAST_SCORE = 1.35, 3
-
-
-def block_features(blocks: DataFrame, content: str = "content") -> DataFrame:
-    """blocks with tokens, anchor, names, pairs, formulas, hint, noise and evidence of their content."""
-    text = X.strip(F.coalesce(F.col(content), F.lit("")))
-    rows = blocks.withColumns({"tokens": X.token_estimate(text), "anchor": X.protocol_anchor(text), "names": X.field_names(text), "pairs": X.mapping_pairs(text).cast("int")})
-    rows = rows.withColumn("formulas", F.when(text.rlike(r"[=*/+]\s*\d"), 1).otherwise(0))
-    rows = rows.withColumn("hint", F.when(F.col("block_type") == "table", "table_data").when(F.col("pairs") > 0, "conversion_rule").when(F.col("anchor") != "", "protocol_description").otherwise("general_content"))
-    rows = rows.withColumn("noise", X.noise_penalty(text, F.col("block_type"), F.lit(False)))
-    return rows.withColumn("evidence", X.evidence_score(F.col("anchor"), F.col("names"), F.col("formulas"), F.col("pairs"), F.lit(0), F.lit(0)))
+FOLD_ROWS = 100_000
+
+
+def block_features(blocks: DataFrame, content: str = "content", fields: str | None = None) -> DataFrame:
+    """blocks with tokens, anchor, names, pairs, formulas, bits, ranges, hint, noise and evidence.
+
+    fields, if named, is an array of structs (field_name, formula, meaning, bit_start, bit_length, range_min, range_max)
+    of the block's extracted fields, whose formulas, pairs, bits and ranges count too.
+    """
+    rows = blocks.withColumn("__text", X.strip(F.coalesce(F.col(content), F.lit(""))))
+    text, kind = F.col("__text"), F.lower("block_type")
+    own = F.coalesce(F.col(fields), F.array()) if fields else None
+    held = lambda test: F.size(F.filter(own, test)) if fields else F.lit(0)
+    filled = lambda c: X.strip(F.coalesce(c, F.lit(""))) != ""
+    of_fields = F.aggregate(own, F.lit(0), lambda s, f: s + X.chunk_pairs(f["formula"]) + X.chunk_pairs(f["meaning"])) if fields else F.lit(0)
+    names = F.filter(F.transform(own, lambda f: F.upper(X.strip(F.coalesce(f["field_name"], F.lit(""))))), X.plausible_field_name) if fields else F.array().cast("array<string>")
+    given = held(lambda f: filled(f["formula"]))
+    rows = rows.withColumns({
+        "tokens": X.token_estimate(text), "anchor": X.protocol_anchor(text), "names": F.array_sort(F.array_distinct(F.concat(X.chunk_field_names(text), names))),
+        "pairs": (X.chunk_pairs(text) + of_fields).cast("int"), "formulas": (given + F.when(text.rlike(X.FORMULA_HINT) | (given > 0), 1).otherwise(0)).cast("int"),
+        "bits": held(lambda f: f["bit_start"].isNotNull() | f["bit_length"].isNotNull()), "ranges": held(lambda f: f["range_min"].isNotNull() | f["range_max"].isNotNull()),
+        "hint": X.block_semantic_type(text, kind), "noise": X.noise_penalty(text, kind, F.size(own) > 0 if fields else F.lit(False)),
+    })
+    evidence = X.evidence_score(text, kind, F.col("anchor"), F.col("names"), F.col("formulas"), F.col("pairs"), F.col("bits"), F.col("ranges"))
+    return rows.withColumn("evidence", evidence).drop("__text")
 
 
 def merge_scores(features: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -50,28 +67,41 @@ def merge_scores(features: DataFrame, keys: list[str], order: list[str]) -> Data
     return features.withColumn("merge_score", F.when(before["page_num"].isNotNull(), total))
 
 
-def _with(schema: T.StructType, name: str) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField(name, T.LongType())])
-
-
 def greedy_groups(scored: DataFrame, keys: list[str], order: list[str], max_tokens: int = 1024) -> DataFrame:
-    """A block joins the group while its score (2 less above the budget) is 3 or more and the hard budget holds."""
+    """scored with chunk: a block joins the group while its score (2 less above the budget) is 3 or more and the hard budget holds.
+
+    keys and order together name a row.
+    """
+    own = Window.partitionBy(*keys).orderBy(*order)
+    apart = F.col("merge_score").isNull() | (F.col("merge_score") < LEAST_SCORE)
+    narrow = scored.select(*keys, *order, "merge_score", "tokens", F.row_number().over(own).alias("__at")).withColumn("__apart", F.coalesce(apart, F.lit(True)))
+    last = F.max(F.when(F.col("__apart"), F.col("__at"))).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    narrow = narrow.withColumn("__piece", F.floor(last / FOLD_ROWS))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        groups, group, tokens = [], -1, 0
-        for score, own in zip(rows["merge_score"], rows["tokens"], strict=True):
-            total = tokens + own
-            joins = not pd.isna(score) and total <= int(max_tokens * HARD_BUDGET) and score - (2 if total > max_tokens else 0) >= LEAST_SCORE
-            group, tokens = (group, total) if joins else (group + 1, own)
-            groups.append(group)
-        return rows.assign(chunk=groups)
+        rows = rows.sort_values("__at")
+        starts, tokens = [], 0
+        for parted, score, n in zip(rows["__apart"], rows["merge_score"], rows["tokens"], strict=True):
+            total = tokens + n
+            joins = not parted and total <= int(max_tokens * HARD_BUDGET) and score - (2 if total > max_tokens else 0) >= LEAST_SCORE
+            tokens = total if joins else n
+            starts.append(not joins)
+        return rows[[*keys, *order, "__at"]].assign(__starts=starts)
 
-    return scored.groupBy(*keys).applyInPandas(fold, _with(scored.schema, "chunk"))
+    schema = T.StructType([scored.schema[c] for c in [*keys, *order]] + [T.StructField("__at", T.IntegerType()), T.StructField("__starts", T.BooleanType())])
+    folded = narrow.groupBy(*keys, "__piece").applyInPandas(fold, schema)
+    numbered = folded.withColumn("chunk", F.sum(F.col("__starts").cast("long")).over(Window.partitionBy(*keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    return scored.join(numbered.drop("__at", "__starts"), [*keys, *order])
+
+
+def _with(schema: T.StructType, name: str) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(name, T.LongType())])
 
 
 def packed(rows: DataFrame, keys: list[str], order: list[str], tokens: str = "tokens", max_tokens: int = 1024, out: str = "pack") -> DataFrame:
-    """Rows in order, a new pack where the next one would not fit; an oversize row is alone."""
+    """Rows in order, a new pack where the next one would not fit; an oversize row is alone (W04, W05). keys and order together name a row."""
+
+    narrow = rows.select(*keys, *order, tokens)
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order, kind="stable")
@@ -81,9 +111,10 @@ def packed(rows: DataFrame, keys: list[str], order: list[str], tokens: str = "to
                 pack, total = pack + 1, 0
             total += own
             packs.append(pack)
-        return group.assign(**{out: packs})
+        return group.assign(**{out: packs}).drop(columns=[tokens])
 
-    return rows.groupBy(*keys).applyInPandas(fold, _with(rows.schema, out))
+    schema = _with(T.StructType([narrow.schema[c] for c in [*keys, *order]]), out)
+    return rows.join(narrow.groupBy(*keys).applyInPandas(fold, schema), [*keys, *order])
 
 
 def tables_continued(tables: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,10 +127,16 @@ def tables_continued(tables: DataFrame, keys: list[str]) -> DataFrame:
     return tables.withColumn("__starts", starts).withColumn("table_id", F.sum("__starts").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("__starts")
 
 
+def cell_shape(c: Column) -> Column:
+    """e for empty, m for letters and digits, n for digits, a for letters, o for others."""
+    text = X.strip(F.coalesce(c, F.lit("")))
+    digit, letter = text.rlike(r"(?U)\d"), text.rlike(r"[A-Za-z一-鿿]")
+    return F.when(text == "", "e").when(letter & digit, "m").when(digit, "n").when(letter, "a").otherwise("o")
+
+
 def row_shape_similarity(a: Column, b: Column) -> Column:
-    """Share of cells of like kind (blank, number, code, text) among the longer row."""
-    kind = lambda c: F.when(X.strip(c) == "", "blank").when(c.rlike(r"^\s*[-+]?[\d.,]+\s*$"), "number").when(c.rlike(r"^\s*[A-Z0-9_./-]+\s*$"), "code").otherwise("text")
-    same = F.zip_with(F.transform(a, kind), F.transform(b, kind), lambda x, y: F.coalesce(x == y, F.lit(False)).cast("int"))
+    """Share of cells of one shape, the shorter row filled up with empty cells."""
+    same = F.zip_with(F.transform(a, cell_shape), F.transform(b, cell_shape), lambda x, y: (F.coalesce(x, F.lit("e")) == F.coalesce(y, F.lit("e"))).cast("int"))
     return F.aggregate(same, F.lit(0), lambda s, x: s + x) / F.greatest(F.size(a), F.size(b), F.lit(1))
 
 
@@ -109,16 +146,17 @@ def chunks(grouped: DataFrame, keys: list[str], order: list[str], content: str =
     ordered = F.array_sort(F.collect_list(F.struct(*order, F.coalesce(F.col(content), F.lit("")).alias("__t"))))
     rows = grouped.groupBy(*keys, "chunk").agg(
         F.count("*").alias("block_count"), F.sum("tokens").alias("token_estimate"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("all_names"),
-        F.sum("formulas").alias("formula_count"), F.sum("pairs").alias("mapping_pair_count"), F.sum("evidence").alias("evidence_score"), F.sum("noise").alias("noise_penalty"),
+        F.sum("formulas").alias("formula_count"), F.sum("pairs").alias("mapping_pair_count"), F.sum("bits").alias("bit_coverage_count"), F.sum("ranges").alias("range_coverage_count"), F.round(F.sum("evidence"), 4).alias("evidence_score"), F.round(F.sum("noise"), 4).alias("noise_penalty"),
         F.count_if(F.col("noise") >= 8).alias("noisy_block_count"), F.count_if(F.col("block_type") == "table").alias("table_count"),
         F.min_by("anchor", F.when(F.col("anchor") != "", first)).alias("anchor"), ordered.alias("__o"),
     )
-    base = F.least(F.lit(40), F.size("all_names") * 3) + F.least(F.lit(20), F.col("formula_count") * 2) + F.least(F.lit(15), F.col("mapping_pair_count")) + F.when(F.col("anchor") != "", 10).otherwise(0)
+    base = F.least(F.lit(40), F.size("all_names") * 3) + F.least(F.lit(20), F.col("formula_count") * 2) + F.least(F.lit(15), F.col("mapping_pair_count")) + F.least(F.lit(15), F.col("bit_coverage_count") + F.col("range_coverage_count")) + F.when(F.coalesce("anchor", F.lit("")) != "", 10).otherwise(0)
     quality = base + F.least(F.lit(24.0), F.col("evidence_score") * 0.35) - F.least(F.lit(24.0), F.col("noise_penalty") * 0.8) - F.col("noisy_block_count") * 1.5
     kind = F.when(F.col("mapping_pair_count") > 0, F.when(F.col("table_count") >= F.greatest(F.lit(1), F.floor(F.col("block_count") / 2)), "table_data").otherwise("conversion_rule"))
-    kind = kind.when(F.col("formula_count") >= 2, "conversion_rule").when(F.col("table_count") > 0, "table_data").when(F.col("anchor") != "", "protocol_description").otherwise("general_content")
+    kind = kind.when(F.col("formula_count") >= 2, "conversion_rule").when((F.size("all_names") > 0) & (F.col("bit_coverage_count") + F.col("range_coverage_count") > 0), "field_definition")
+    kind = kind.when(F.col("table_count") > 0, "table_data").when(F.col("anchor") != "", "protocol_description").otherwise("general_content")
     merged = F.array_join(F.filter(F.transform("__o", lambda x: X.strip(x["__t"])), lambda x: x != ""), "\n\n")
-    rows = rows.withColumns({"quality_score": F.greatest(F.lit(0.0), F.round(quality, 4)), "semantic_type": kind, "field_names": F.slice("all_names", 1, 24), "content": merged})
+    rows = rows.withColumns({"quality_score": F.greatest(F.lit(0.0), F.round(quality, 4)), "semantic_type": kind, "field_count": F.size("all_names"), "field_names": F.slice("all_names", 1, 24), "content": merged})
     return rows.withColumn("content_snapshot", X.preview(F.col("content"), 500)).withColumn("anchor", F.coalesce("anchor", F.lit(""))).drop("__o", "all_names", "table_count")
 
 

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 QUERIES = 1000
 
@@ -58,30 +62,70 @@ def weighted_summary(fields: DataFrame, keys: list[str], weight: str, values: li
 
 
 def conversion_rates(fields: DataFrame, keys: list[str], correctness: str, loss: str, exact: str, hit: str, present: str) -> DataFrame:
-    """Coverage, exact, high-confidence, low-loss and rule-hit rates and their .35/.25/.20/.10/.10 composite."""
+    """Coverage, exact, conversion-success, high-confidence, low-loss and rule-hit rates and the composite.
+
+    Success is exactness; weights are .35 coverage, .25 success, .20 confidence, .10 low loss, .10 rule hits.
+    A missing correctness counts as 0, a missing loss as 100, but as 0 in the mean loss.
+    """
     n = F.greatest(F.count("*"), F.lit(1))
     rate = lambda c: F.count_if(c) * 100.0 / n
     out = fields.groupBy(*keys).agg(
-        rate(F.col(present)).alias("coverage_rate"), rate(F.col(exact)).alias("exact_rate"), rate(F.col(correctness) >= 80).alias("high_confidence_rate"),
-        rate(F.col(loss) <= 20).alias("low_loss_rate"), rate(F.col(hit)).alias("rule_hit_rate"),
+        rate(F.col(present)).alias("coverage_rate"), rate(F.col(exact)).alias("exact_rate"), rate(F.col(exact)).alias("conversion_success_rate"), rate(F.coalesce(F.col(correctness), F.lit(0.0)) >= 80).alias("high_confidence_rate"),
+        rate(F.coalesce(F.col(loss), F.lit(100.0)) <= 20).alias("low_loss_rate"), rate(F.col(hit)).alias("rule_hit_rate"), F.avg(F.coalesce(F.col(loss), F.lit(0.0))).alias("information_loss_rate"),
     )
-    return out.withColumn("composite", F.expr("0.35 * exact_rate + 0.25 * coverage_rate + 0.20 * high_confidence_rate + 0.10 * low_loss_rate + 0.10 * rule_hit_rate"))
+    parts = {"coverage_rate": 0.35, "conversion_success_rate": 0.25, "high_confidence_rate": 0.20, "low_loss_rate": 0.10, "rule_hit_rate": 0.10}
+    return out.withColumn("composite", sum((F.col(c) * F.lit(w) for c, w in parts.items()), F.lit(0.0)))
 
 
 def overall_score(field_match: Column, semantic: Column, structure: Column, dimension: Column) -> Column:
     return field_match * 0.30 + semantic * 0.25 + structure * 0.20 + dimension * 0.25
 
 
-def case_score(composite: Column, correctness: Column, coverage: Column, verbose: Column, failed: Column) -> Column:
-    """.6/.3/.1 of the rates less 20 for verbose and 50 for failed output."""
-    return composite * 0.6 + correctness * 0.3 + coverage * 0.1 - F.when(verbose, 20.0).otherwise(0.0) - F.when(failed, 50.0).otherwise(0.0)
+def case_score(correctness: Column, conversion_rate: Column, fragment_hits: Column, extraction_error: Column, source_incomplete: Column) -> Column:
+    """.6 correctness, .3 conversion rate and .1 fragment hits, less 20 for a failed extraction and 50 for an incomplete source."""
+    of = lambda c: F.coalesce(c, F.lit(0.0))
+    less = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0.0)
+    return of(correctness) * 0.6 + of(conversion_rate) * 0.3 + of(fragment_hits) * 0.1 - less(extraction_error, 20.0) - less(source_incomplete, 50.0)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
-    """Exact cosine top-k of each query row against all rows (J23); up to QUERIES queries are broadcast."""
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("__q"))
-    pairs = vectors.join(F.broadcast(q) if q.count() <= QUERIES else q, F.col(id_col) != F.col("query_id"))
-    scored = pairs.select("query_id", F.col(id_col).alias("hit_id"), cosine(F.col("__q"), F.col(vector_col)).alias("similarity"))
+    """Exact cosine top-k of each query row against all other rows.
+
+    Every Arrow batch of vectors meets a block of at most QUERIES queries as one matrix product and keeps its own k
+    best a query; a query that has more blocks is never needed, so only k rows a query and batch are shuffled. The
+    queries are a stated set, collected block by block; further blocks are further passes.
+    """
     from weftline.operators.ranking import top_k
 
-    return top_k(scored, ["query_id"], [F.desc("similarity"), F.asc("hit_id")], k)
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("vector")).withColumn("block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / QUERIES))
+    schema = T.StructType([T.StructField("query_id", vectors.schema[id_col].dataType), T.StructField("hit_id", vectors.schema[id_col].dataType), T.StructField("similarity", T.DoubleType())])
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).filter("vector IS NOT NULL")
+    n_blocks = -(-queries.count() // QUERIES)
+    parts = [rows.mapInPandas(_near(asked.filter(F.col("block") == b).filter("vector IS NOT NULL").drop("block").collect(), k), schema) for b in range(n_blocks)]
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
+    return top_k(reduce(DataFrame.unionByName, parts), ["query_id"], [F.desc("similarity"), F.asc("hit_id")], k)
+
+
+def _near(asked: list, k: int):
+    ids, held = [r["query_id"] for r in asked], np.array([r["vector"] for r in asked], dtype=np.float64)
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1.0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(ids) or batch.empty:
+                continue
+            own, score = batch["id"].to_numpy(), unit(held) @ unit(np.stack(batch["vector"])).T
+            score[np.array(ids)[:, None] == own[None, :]] = -np.inf
+            score = np.round(score, 12)
+            out = []
+            for i, s in enumerate(score):
+                edge = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+                near = np.flatnonzero((s >= edge) & (s > -np.inf))
+                near = near[np.lexsort((own[near], -s[near]))][:k]
+                out.append(pd.DataFrame({"query_id": ids[i], "hit_id": own[near], "similarity": s[near]}))
+            yield pd.concat(out)
+
+    return run

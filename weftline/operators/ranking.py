@@ -36,14 +36,12 @@ def duplicated(rows: DataFrame, keys: list[str]) -> DataFrame:
 def quota_selection(rows: DataFrame, key: str, quotas: list[tuple[str, Column, int]], overall: Column, k: int, tie: Column) -> DataFrame:
     """Fills one quota after the other by its own score, then up to k by the overall score; no row twice.
 
-    quotas: (name, score, rows); rows whose score is not positive do not fill a quota. The
-    result has ``selected_by`` and ``selected_rank``.
+    quotas: (name, score, rows). The result has ``selected_by`` and ``selected_rank``.
     """
     left, picked, so_far = rows, None, 0
     for name, score, n in [*quotas, ("overall", overall, k)]:
         n = min(n, k - so_far) if name != "overall" else k
-        pool = left if name == "overall" else left.filter(score > 0)
-        own = pool.orderBy(score.desc(), tie).limit(n).withColumn("selected_by", F.lit(name)).withColumn("__score", score.cast("double"))
+        own = left.orderBy(score.desc(), tie).limit(n).withColumn("selected_by", F.lit(name)).withColumn("__score", score.cast("double"))
         picked = own if picked is None else picked.unionByName(own)
         left = left.join(own.select(key), key, "left_anti")
         so_far += 0 if name == "overall" else n
@@ -52,19 +50,19 @@ def quota_selection(rows: DataFrame, key: str, quotas: list[tuple[str, Column, i
     return picked.withColumn("selected_rank", F.row_number().over(ordered)).filter(F.col("selected_rank") <= k).drop("__score")
 
 
-def pruned_candidates(rows: DataFrame, keys: list[str], score: str, exact: str, family: str, tie: Column, k: int = 5) -> DataFrame:
-    """Candidates of a key: the exact one alone, else a clear winner alone, else the first k.
+def pruned_candidates(rows: DataFrame, keys: list[str], score: str, exact: str, family: str, target_family: str, tie: Column, k: int = 5) -> DataFrame:
+    """Candidates of a key: the exact one alone, else a clear winner alone, else the first k.
 
-    A winner is clear with a score of 90 and a lead of 12, or with a lead of 15 over one of its own family.
+    A winner is clear with a score of 90 and a lead of 12, or with a lead of 15 if its family is the target's.
     """
     own = Window.partitionBy(*keys)
     order = own.orderBy(F.col(exact).desc(), F.col(score).desc(), tie)
     ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(k, 2))
-    ranked = ranked.withColumn("__next", F.lead(score).over(order)).withColumn("__family", F.lead(family).over(order))
+    ranked = ranked.withColumn("__next", F.lead(score).over(order))
     lead = F.col(score) - F.col("__next")
-    alone = F.col(exact) | F.col("__next").isNull() | ((F.col(score) >= 90) & (lead >= 12)) | ((F.col("__family") == F.col(family)) & (lead >= 15))
+    alone = F.col(exact) | F.col("__next").isNull() | ((F.col(score) >= 90) & (lead >= 12)) | ((F.col(target_family) == F.col(family)) & (lead >= 15))
     ranked = ranked.withColumn("__alone", F.max(F.when(F.col("rank") == 1, F.coalesce(alone, F.lit(False)))).over(own))
-    return ranked.filter((F.col("rank") == 1) | (~F.col("__alone") & (F.col("rank") <= k))).drop("__next", "__family", "__alone")
+    return ranked.filter((F.col("rank") == 1) | (~F.col("__alone") & (F.col("rank") <= k))).drop("__next", "__alone")
 
 
 def rejected_pairs(rows: DataFrame, case: str, score: str, text: str, gap: float = 1.0, k: int = 3) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import textwrap
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weftline.functions import text as X
@@ -33,10 +37,22 @@ def sections(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return heads.withColumn("path", F.array_join(names, " / ")).withColumn("parent", F.array_max(parents)).drop(*[f"__h{k}" for k in range(1, LEVELS + 1)])
 
 
+PARAGRAPH = 800
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _wrapped(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [x.strip() for x in textwrap.wrap(t, width=PARAGRAPH, break_long_words=False, break_on_hyphens=False) if x.strip()])
+
+
 def paragraphs(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Non-blank paragraphs in order (P20)."""
-    rows = documents.select(id_col, F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\n\s*\n")).alias("position", "paragraph"))
-    return rows.withColumn("paragraph", X.strip(F.col("paragraph"))).filter("paragraph <> ''")
+    """Non-blank paragraphs in order, those over PARAGRAPH characters wrapped at words (P20); only these reach Python."""
+    text = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    rows = documents.select(id_col, F.posexplode(F.filter(F.transform(F.split(text, r"\n\s*\n"), X.strip), lambda p: p != "")).alias("__p", "paragraph"))
+    short = rows.filter(F.length("paragraph") <= PARAGRAPH).withColumn("__part", F.lit(0))
+    long = rows.filter(F.length("paragraph") > PARAGRAPH).select(id_col, "__p", F.posexplode(_wrapped("paragraph")).alias("__part", "paragraph"))
+    own = Window.partitionBy(id_col).orderBy("__p", "__part")
+    return short.unionByName(long).select(id_col, (F.row_number().over(own) - 1).alias("position"), "paragraph")
 
 
 def snippets(candidates: DataFrame, queries: list[str], k: int, title: str = "title", text: str = "text") -> DataFrame:

@@ -73,7 +73,7 @@ def clean_blocks(spark, sf):
 
 
 def clean_report(spark, sf):
-    return cleaning.cleaning_report(cleaning.clean_blocks(_documents(spark, sf).select("doc_id", "text"), "doc_id", "text"))
+    return cleaning.cleaning_report(cleaning.issue_types(_documents(spark, sf).select("doc_id", "text"), "text"))
 
 
 def _rule(name, rule):
@@ -109,21 +109,16 @@ def readability(spark, sf):
 
 
 def keyword_types(spark, sf):
-    """Hits of keyword groups; the group with most hits names the kind, earlier groups first."""
-    text = F.lower(F.coalesce("text", F.lit("")))
-    hits = {g: sum((F.when(text.contains(w), 1).otherwise(0) for w in ws), F.lit(0)) for g, ws in _GROUPS.items()}
-    best = F.greatest(*hits.values())
-    kind = F.coalesce(*[F.when((best > 0) & (h == best), F.lit(g)) for g, h in hits.items()], F.lit("general"))
-    return _documents(spark, sf).select("doc_id", kind.alias("kind"), best.alias("hits"))
-
-
-_GROUPS = {"question": ("the", "what", "who"), "rule": ("der", "die", "und"), "field": ("que", "los", "las")}
+    """A24 over texts with a sentence about fields or conversions added by doc_id, for the texts do not speak of protocols."""
+    added = F.when(F.col("doc_id") % 4 == 0, " Formula: VALUE times 2").when(F.col("doc_id") % 4 == 1, " 字段位宽 of the field").when(F.col("doc_id") % 4 == 2, " speed").otherwise("")
+    return _documents(spark, sf).select("doc_id", X.qa_kind(F.concat(F.coalesce("text", F.lit("")), added)).alias("kind"))
 
 
 def qa_quality(spark, sf):
     rows = table(spark, sf, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
-    rows = rows.filter("before IS NOT NULL").withColumn("reasons", X.qa_is_low(F.col("before"), F.col("text"), F.lit("understanding")))
-    return rows.select("conv_id", "turn", F.array_join("reasons", ";").alias("reasons"), (F.size("reasons") > 0).alias("is_low_quality"))
+    kind = F.when(F.col("turn") % 2 == 0, "protocol_conversion").otherwise("protocol_understanding")
+    rows = rows.filter("before IS NOT NULL").withColumn("reasons", X.qa_reasons(F.col("before"), F.col("text"), kind, F.col("text")))
+    return rows.select("conv_id", "turn", F.array_join("reasons", ";").alias("reasons"), X.qa_is_low(F.col("reasons")).alias("is_low_quality"))
 
 
 def qa_totals(spark, sf):
@@ -142,14 +137,23 @@ QUERIES = {
     "f04_qa_quality": qa_quality, "a09_qa_totals": qa_totals, "x30_semantic_groups": semantic_groups,
 }
 
-_QA = f"""WITH b AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
-s AS (SELECT conv_id, turn, {strip_sql("coalesce(before, '')")} AS q, {strip_sql("coalesce(text, '')")} AS a FROM b WHERE before IS NOT NULL),
-r AS (SELECT conv_id, turn, concat_ws(';', CASE WHEN length(q) < 5 THEN 'question too short' END, CASE WHEN length(a) < 10 THEN 'answer too short' END,
-  CASE WHEN regexp_matches(a, '(?i)\\b(?:unknown|n/a|not sure)\\b') THEN 'answer evades' END, CASE WHEN q = a THEN 'answer repeats question' END) AS reasons FROM s)"""
+_ARITH = r"(regexp_matches({0}, '[A-Za-z_][A-Za-z0-9_]*\s*[*/+\-]\s*[0-9A-Za-z_(]') OR (regexp_matches({0}, '(?i)\b(value|raw|physical|lat|lon|x|val)\b') AND regexp_matches({0}, '[*/+\-]')))"
+_MULTI = r"(contains({0}, chr(10)) AND (regexp_matches({0}, '\n(if |for |while |else:)') OR contains({0}, 'result =') OR regexp_matches({0}, '^(if |for |while )')))"
+_BLOCK_ARITH = r"(regexp_matches({0}, '[*/+\-]') OR regexp_matches({0}, '\b(signed|unsigned|scale|clip|int|float|min|max|sum)\s*\('))"
+_SANE = strip_sql(r"regexp_replace(regexp_replace(regexp_replace(a, '(?is)<think>.*?</think>', '', 'g'), '(?is)<\|[^|]*\|>', '', 'g'), '(?is)```(?:json|yaml|text|python)?', '', 'g')")
+_QA = rf"""WITH b AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+s AS (SELECT conv_id, turn, {strip_sql("coalesce(before, '')")} AS q, {strip_sql("coalesce(text, '')")} AS a, turn % 2 = 0 AS convert FROM b WHERE before IS NOT NULL),
+t AS (SELECT *, {_SANE} AS sane FROM s), u AS (SELECT *, {_MULTI.format("sane")} AS multi FROM t), v AS (SELECT *, CASE WHEN multi THEN {_BLOCK_ARITH.format("a")} ELSE {_ARITH.format("a")} END AS arith FROM u),
+m AS (SELECT *, CASE WHEN multi THEN (CASE WHEN arith THEN 'transcoding' ELSE 'mapping' END) WHEN regexp_matches(a, '->|→|=>') OR regexp_matches(a, '-?\d+\s*=\s*[A-Za-z_]') OR regexp_matches(a, '[A-Za-z_]+\s*=\s*-?\d+') THEN 'mapping' WHEN arith THEN 'transcoding' ELSE 'mapping' END AS mode FROM v),
+r AS (SELECT conv_id, turn, list_filter([CASE WHEN length(q) < 8 THEN '{X.QA_REASONS["question"]}' END, CASE WHEN convert AND length(a) < 3 THEN '{X.QA_REASONS["formula"]}' END,
+  CASE WHEN convert AND mode = 'transcoding' AND NOT arith THEN '{X.QA_REASONS["arithmetic"]}' END, CASE WHEN convert AND mode = 'mapping' AND NOT (regexp_matches(a, '=|->|→') OR multi) THEN '{X.QA_REASONS["mapping"]}' END,
+  CASE WHEN NOT convert AND length(a) < 6 THEN '{X.QA_REASONS["answer"]}' END, CASE WHEN NOT convert AND NOT regexp_matches(a, '\p{{Nd}}') THEN '{X.QA_REASONS["value"]}' END,
+  CASE WHEN NOT convert AND regexp_matches(a, '{"|".join(X.VAGUE)}') THEN '{X.QA_REASONS["vague"]}' END], lambda x: x IS NOT NULL) AS reasons FROM m)"""
 _GROUP_SQL = " ".join(
     "WHEN " + " OR ".join(f"contains(key, '{w}')" for w in ws) + f" THEN '{g}'" for g, ws in X.SEMANTIC_GROUPS.items()
 )
-_HITS = {g: " + ".join(f"(CASE WHEN contains(t, '{w}') THEN 1 ELSE 0 END)" for w in ws) for g, ws in _GROUPS.items()}
+_KIND_HITS = " + ".join(f"contains(t, '{w}')::INT" for w in X.CONVERSION_WORDS)
+_ADDED_SQL = "CASE doc_id % 4 WHEN 0 THEN ' Formula: VALUE times 2' WHEN 1 THEN ' 字段位宽 of the field' WHEN 2 THEN ' speed' ELSE '' END"
 
 ORACLE = {
     "clean_blocks": f"{_STEPS} SELECT doc_id, CASE WHEN {strip_sql('t0')} = '' THEN t0 ELSE t5 END AS cleaned_content, array_to_string({_KINDS}, ',') AS issue_types, CAST(len({_KINDS}) AS INTEGER) AS issue_count FROM c5",
@@ -160,12 +164,12 @@ ORACLE = {
     "x04_table": f"SELECT doc_id, {table_sql('t')} AS result FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
     "x05_duplicates": f"SELECT doc_id, {duplicates_sql('t')} AS result FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
     "w01_repeated_lines": f"WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents), s AS (SELECT doc_id, pos, {strip_sql('line')} AS line FROM l), p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM s) SELECT doc_id, count(*) AS n_lines, count(*) FILTER (line <> '' AND line = before) AS n_repeated FROM p GROUP BY doc_id",
-    "f15_noise_lines": f"SELECT doc_id, array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: {strip_sql('l')} <> '' AND NOT regexp_full_match(l, '[\\d\\s:.,\\-]+') AND len(regexp_extract_all(l, '\\d+')) < 11), chr(10)) AS text FROM documents",
+    "f15_noise_lines": f"SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\v\\f\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda l: {strip_sql('l')}), lambda l: l <> '' AND NOT regexp_full_match(l, '[\\d:\\-\\s]+') AND NOT (length(l) > 30 AND regexp_full_match(l, '(\\d+\\s+){{10,}}\\d+'))), chr(10)) AS text FROM documents",
     "p07_token_estimates": f"SELECT doc_id, CAST(length(coalesce(text, '')) // 3 AS INTEGER) AS tokens, CAST(len(regexp_extract_all(coalesce(text, ''), '(-?\\d+(?:\\.\\d+)?)\\s*(?:=|->|→)\\s*([^,;\\n]+)')) AS INTEGER) AS pairs, CASE WHEN length(f) > 60 THEN regexp_replace(left(f, 60), '\\s+$', '') || '...' ELSE f END AS title FROM (SELECT doc_id, text, {strip_sql(chr(114) + 'egexp_replace(text, ' + chr(39) + chr(92) + 's+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS f FROM documents)",
     "p22_field_candidates": "WITH m AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z][A-Z0-9_]{2,}')) AS ms FROM documents) SELECT doc_id, array_to_string(list_transform(list_filter(range(1, len(ms) + 1), lambda i: list_position(ms, ms[i]) = i)[1:20], lambda i: ms[i]), ',') AS candidates FROM m",
     "a04_readability": f"SELECT source, count(*) FILTER (t <> '') AS nonempty_blocks, CAST(sum(length(t)) AS BIGINT) AS readable_chars, sum(length(t)) >= 20 AS readable FROM (SELECT source, {strip_sql(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS t FROM documents) GROUP BY source",
-    "a24_keyword_types": f"WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), h AS (SELECT doc_id, {', '.join(f'{e} AS {g}' for g, e in _HITS.items())} FROM t) SELECT doc_id, CASE WHEN greatest(question, rule, field) = 0 THEN 'general' WHEN question = greatest(question, rule, field) THEN 'question' WHEN rule = greatest(question, rule, field) THEN 'rule' ELSE 'field' END AS kind, CAST(greatest(question, rule, field) AS INTEGER) AS hits FROM h",
-    "f04_qa_quality": f"{_QA} SELECT conv_id, turn, reasons, reasons <> '' AS is_low_quality FROM r",
-    "a09_qa_totals": f"{_QA} SELECT count(*) AS total, count(*) FILTER (reasons <> '') AS low_quality FROM r",
+    "a24_keyword_types": f"SELECT doc_id, CASE WHEN {_KIND_HITS} >= 2 THEN 'protocol_conversion' ELSE 'protocol_understanding' END AS kind FROM (SELECT doc_id, lower(coalesce(text, '') || {_ADDED_SQL}) AS t FROM documents)",
+    "f04_qa_quality": f"{_QA} SELECT conv_id, turn, array_to_string(reasons, ';') AS reasons, len(list_filter(reasons, lambda x: x <> '{X.QA_REASONS['vague']}')) > 0 AS is_low_quality FROM r",
+    "a09_qa_totals": f"{_QA} SELECT count(*) AS total, count(*) FILTER (len(list_filter(reasons, lambda x: x <> '{X.QA_REASONS['vague']}')) > 0) AS low_quality FROM r",
     "x30_semantic_groups": f"WITH n AS (SELECT event_type AS name FROM events UNION SELECT p_name FROM part), k AS (SELECT name, regexp_replace(lower({strip_sql('name')}), '[\\s_\\-./:：，,()\\[\\]{{}}]+', '', 'g') AS key FROM n) SELECT name, key, CASE {_GROUP_SQL} END AS semantic_group FROM k",
 }

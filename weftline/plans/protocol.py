@@ -143,11 +143,11 @@ def j09_graph_rules(spark, sf):
     return rules.graph_rules(edges, p.unionByName(s), c).select("l_orderkey", "l_linenumber", "l_partkey", "source_field", "target_field", "concept_name")
 
 
-@query("SELECT a.vec_id AS vec_id, b.vec_id AS query_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0")
+@query("SELECT a.vec_id AS vec_id, b.vec_id AS near_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def m15_cosine(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return rows.crossJoin(asked).select("vec_id", "query_id", F.round(M.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("near_id"), F.col("embedding").alias("q"))
+    return rows.join(after, "vec_id").select("vec_id", "near_id", F.round(M.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
 
 
 @query()
@@ -158,7 +158,12 @@ def p18_sections(spark, sf):
     return retrieval.sections(table(spark, sf, "pages").withColumn("text", lines), "page_id", "text").select("page_id", "section", "level", "title", "path", "parent", F.length("text").alias("n_chars"))
 
 
-@query("SELECT doc_id, count(*) AS paragraphs FROM (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\\n\\s*\\n')) p FROM documents) WHERE regexp_replace(p, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY 1")
+@query("""WITH RECURSIVE p AS (SELECT doc_id, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS x FROM (SELECT doc_id, unnest(regexp_split_to_array(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '\\n\\s*\\n')) AS x FROM documents)),
+l AS (SELECT row_number() OVER () AS n, doc_id, list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '') AS ws FROM p WHERE length(x) > 800),
+f AS (SELECT n, doc_id, ws, 1 AS i, length(ws[1]) AS used, 1 AS parts FROM l UNION ALL
+ SELECT n, doc_id, ws, i + 1, CASE WHEN used + 1 + length(ws[i + 1]) > 800 THEN length(ws[i + 1]) ELSE used + 1 + length(ws[i + 1]) END, parts + (CASE WHEN used + 1 + length(ws[i + 1]) > 800 THEN 1 ELSE 0 END) FROM f WHERE i < len(ws)),
+c AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS k FROM p WHERE x <> '' AND length(x) <= 800 GROUP BY 1 UNION ALL SELECT doc_id, CAST(sum(m) AS BIGINT) FROM (SELECT n, doc_id, max(parts) AS m FROM f GROUP BY 1, 2) GROUP BY 1)
+SELECT doc_id, CAST(sum(k) AS BIGINT) AS paragraphs FROM c GROUP BY 1""")
 def p20_paragraphs(spark, sf):
     return retrieval.paragraphs(table(spark, sf, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("paragraphs"))
 
@@ -169,19 +174,24 @@ def q15_evidence(spark, sf):
     return retrieval.snippets(rows, ["src3", "the quick part", "die der"], 10).select("doc_id", "title", "score")
 
 
-@query("WITH c AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) q FROM conversations) SELECT 'Answer the question.' AS instruction, q AS input, text AS output, conv_id FROM c WHERE role = 'assistant' AND q IS NOT NULL AND length(text) >= 20")
+@query(f"""WITH c AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) q FROM conversations), p AS (SELECT *, conv_id % 2 = 0 AS convert FROM c WHERE role = 'assistant' AND q IS NOT NULL AND length(text) >= 20)
+SELECT conv_id, turn, CASE WHEN convert THEN '{sinks.INSTRUCTIONS[True]}' ELSE '{sinks.INSTRUCTIONS[False]}' END AS instruction,
+CASE WHEN convert THEN '{{"question":' || to_json(q)::VARCHAR || ',"concept_name":null,"source_field":"A.B","source_fields":["A.B"],"target_field":"T' || turn || '","target_protocol_type":null,"target_message_code":null,"conversion_mode":"mapping","formula_kind":null}}' ELSE q END AS input,
+CASE WHEN convert AND turn % 4 = 1 THEN 'value * 2' ELSE text END AS output FROM p""")
 def k10_training_rows(spark, sf):
     from pyspark.sql.window import Window
 
     rows = table(spark, sf, "conversations").withColumn("question", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("role = 'assistant' AND question IS NOT NULL")
-    pairs = rows.select("conv_id", "question", F.col("text").alias("answer"), F.lit("understanding").alias("task_type"), F.lit(None).cast("string").alias("formula"), F.array().cast("array<string>").alias("source_fields"), F.lit(None).cast("string").alias("conversion_mode"), (F.length("text") < 20).alias("is_low_quality"))
-    out = sinks.training_rows(pairs.select("*"))
-    return out.join(pairs.select(F.col("question").alias("input"), F.col("answer").alias("output"), "conv_id").distinct(), ["input", "output"])
+    kind = F.when(F.col("conv_id") % 2 == 0, "protocol_conversion").otherwise("protocol_understanding")
+    pairs = rows.select("conv_id", "turn", "question", F.col("text").alias("answer"), kind.alias("qa_task_type"), F.lit("A.B").alias("source_field"), F.concat(F.lit("T"), "turn").alias("target_field"), F.lit("mapping").alias("conversion_mode"), F.when(F.col("turn") % 4 == 1, "value * 2").alias("conversion_formula"), (F.length("text") < 20).alias("is_low_quality"))
+    return sinks.training_rows(pairs, ("conv_id", "turn"))
 
 
-@query("SELECT source AS file_name, count(*) AS blocks, '# ' || source || chr(10) || chr(10) || string_agg('## Page ' || (doc_id // 3)::VARCHAR || chr(10) || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) ORDER BY doc_id) AS markdown FROM documents GROUP BY 1")
+@query("""SELECT source AS file_name, count(*) FILTER (t <> '') AS blocks, '# ' || source || chr(10) || chr(10) || '- protocol_type: N/A' || chr(10) || '- message_codes: N/A' || chr(10) || '- tags: N/A'
+|| coalesce(string_agg(chr(10) || chr(10) || '## Page ' || (CASE WHEN doc_id // 3 = 0 THEN 'N/A' ELSE (doc_id // 3)::VARCHAR END) || ' / Block ' || (CASE WHEN doc_id = 0 THEN 'N/A' ELSE doc_id::VARCHAR END) || chr(10) || chr(10) || '- block_type: ' || kind || chr(10) || '- protocol_fields: N/A' || chr(10) || chr(10) || t, '' ORDER BY doc_id) FILTER (t <> ''), '') || chr(10) AS markdown
+FROM (SELECT source, doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t, CASE WHEN contains(text, '|') THEN 'table' ELSE 'text' END AS kind FROM documents) GROUP BY source""")
 def k14_documents(spark, sf):
-    return sinks.documents(_blocks(spark, sf).withColumnRenamed("source", "file_name"), ["page_num", "doc_id"])
+    return sinks.documents(_blocks(spark, sf).withColumnRenamed("source", "file_name").withColumn("block_id", F.col("doc_id")), ["page_num", "doc_id"])
 
 
 @query()

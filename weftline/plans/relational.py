@@ -114,17 +114,17 @@ def w10_top_candidates(spark, sf):
 
 
 @query("""WITH c AS (SELECT l_orderkey, l_partkey, l_linenumber, 2 * l_quantity AS score, l_quantity = 50 AS exact, l_returnflag AS family FROM lineitem),
-r AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS ns, lead(family) OVER w AS nf FROM c WINDOW w AS (PARTITION BY l_orderkey ORDER BY exact DESC, score DESC, l_partkey, l_linenumber)),
-a AS (SELECT *, max(CASE WHEN rank = 1 THEN coalesce(exact OR ns IS NULL OR (score >= 90 AND score - ns >= 12) OR (nf = family AND score - ns >= 15), false)::INT ELSE 0 END) OVER (PARTITION BY l_orderkey) AS alone FROM r)
+r AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS ns FROM c WINDOW w AS (PARTITION BY l_orderkey ORDER BY exact DESC, score DESC, l_partkey, l_linenumber)),
+a AS (SELECT *, max(CASE WHEN rank = 1 THEN coalesce(exact OR ns IS NULL OR (score >= 90 AND score - ns >= 12) OR (family = 'R' AND score - ns >= 15), false)::INT ELSE 0 END) OVER (PARTITION BY l_orderkey) AS alone FROM r)
 SELECT l_orderkey, l_partkey, l_linenumber, rank FROM a WHERE rank = 1 OR (alone = 0 AND rank <= 5)""")
 def w11_pruned_candidates(spark, sf):
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", (2 * F.col("l_quantity")).alias("score"), (F.col("l_quantity") == 50).alias("exact"), F.col("l_returnflag").alias("family"))
-    return R.pruned_candidates(rows, ["l_orderkey"], "score", "exact", "family", F.struct("l_partkey", "l_linenumber")).select("l_orderkey", "l_partkey", "l_linenumber", "rank")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", (2 * F.col("l_quantity")).alias("score"), (F.col("l_quantity") == 50).alias("exact"), F.col("l_returnflag").alias("family"), F.lit("R").alias("target_family"))
+    return R.pruned_candidates(rows, ["l_orderkey"], "score", "exact", "family", "target_family", F.struct("l_partkey", "l_linenumber")).select("l_orderkey", "l_partkey", "l_linenumber", "rank")
 
 
 @query("""WITH d AS (SELECT doc_id, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)),
-a AS (SELECT doc_id, 'understanding' AS selected_by FROM d WHERE quality * n_chars > 0 ORDER BY quality * n_chars DESC, doc_id LIMIT 6),
-b AS (SELECT doc_id, 'conversion' AS selected_by FROM d WHERE toxic * n_chars > 0 AND doc_id NOT IN (SELECT doc_id FROM a) ORDER BY toxic * n_chars DESC, doc_id LIMIT 3),
+a AS (SELECT doc_id, 'understanding' AS selected_by FROM d ORDER BY quality * n_chars DESC, doc_id LIMIT 6),
+b AS (SELECT doc_id, 'conversion' AS selected_by FROM d WHERE doc_id NOT IN (SELECT doc_id FROM a) ORDER BY toxic * n_chars DESC, doc_id LIMIT 3),
 c AS (SELECT doc_id, 'overall' AS selected_by FROM d WHERE doc_id NOT IN (SELECT doc_id FROM a UNION SELECT doc_id FROM b) ORDER BY n_chars DESC, doc_id LIMIT 12)
 SELECT doc_id, selected_by FROM (SELECT *, row_number() OVER (ORDER BY p, n_chars DESC, doc_id) r FROM (SELECT *, 0 p FROM a UNION ALL SELECT *, 1 FROM b UNION ALL SELECT *, 2 FROM c) JOIN d USING (doc_id)) WHERE r <= 12""")
 def w12_quota_selection(spark, sf):
@@ -174,12 +174,12 @@ def a13_weighted_correctness(spark, sf):
 
 
 @query("""WITH f AS (SELECT l_returnflag, 100 - 100 * l_discount * 4 AS c, 100 * l_discount * 4 AS l, l_discount = 0 AS e, l_tax > 0.04 AS h, l_quantity > 5 AS p FROM lineitem),
-g AS (SELECT l_returnflag, 100.0 * count(*) FILTER (p) / count(*) AS coverage_rate, 100.0 * count(*) FILTER (e) / count(*) AS exact_rate, 100.0 * count(*) FILTER (c >= 80) / count(*) AS high_confidence_rate, 100.0 * count(*) FILTER (l <= 20) / count(*) AS low_loss_rate, 100.0 * count(*) FILTER (h) / count(*) AS rule_hit_rate FROM f GROUP BY 1)
-SELECT *, 0.35::DOUBLE * exact_rate + 0.25::DOUBLE * coverage_rate + 0.20::DOUBLE * high_confidence_rate + 0.10::DOUBLE * low_loss_rate + 0.10::DOUBLE * rule_hit_rate AS composite FROM g""")
+g AS (SELECT l_returnflag, 100.0 * count(*) FILTER (p) / count(*) AS coverage_rate, 100.0 * count(*) FILTER (e) / count(*) AS exact_rate, 100.0 * count(*) FILTER (e) / count(*) AS conversion_success_rate, avg(l) AS information_loss_rate, 100.0 * count(*) FILTER (c >= 80) / count(*) AS high_confidence_rate, 100.0 * count(*) FILTER (l <= 20) / count(*) AS low_loss_rate, 100.0 * count(*) FILTER (h) / count(*) AS rule_hit_rate FROM f GROUP BY 1)
+SELECT * EXCLUDE (information_loss_rate), round(information_loss_rate, 6) AS information_loss_rate, 0.35::DOUBLE * coverage_rate + 0.25::DOUBLE * conversion_success_rate + 0.20::DOUBLE * high_confidence_rate + 0.10::DOUBLE * low_loss_rate + 0.10::DOUBLE * rule_hit_rate AS composite FROM g""")
 def a14_conversion_rates(spark, sf):
     rows = table(spark, sf, "lineitem").selectExpr("l_returnflag", "100 - 100 * l_discount * 4 AS c", "100 * l_discount * 4 AS l", "l_discount = 0 AS e", "l_tax > 0.04 AS h", "l_quantity > 5 AS p")
     out = M.conversion_rates(rows, ["l_returnflag"], "c", "l", "e", "h", "p")
-    return out.withColumn("composite", 0.35 * F.col("exact_rate") + 0.25 * F.col("coverage_rate") + 0.20 * F.col("high_confidence_rate") + 0.10 * F.col("low_loss_rate") + 0.10 * F.col("rule_hit_rate"))
+    return out.withColumn("information_loss_rate", F.round("information_loss_rate", 6))
 
 
 @query("SELECT * FROM (SELECT a.vec_id query_id, b.vec_id hit_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE rank <= 5")
