@@ -28,12 +28,22 @@ ANCHOR = r"(?iU)\b(J\d+\.\d+[A-Z]?\d*)\b"
 FIELD_NAME = r"(?U)\b[A-Z][A-Z0-9_]{2,}\b"
 LOOKUP_PUNCTUATION = r"(?U)[\s_\-./:：，,()\[\]{}]+"
 
+#: What every garbled run holds; cheaper to look for.
+_SIGNS = r"[^\p{L}\p{Nd}_\s]{3}"
 _GARBLED = "(?U)" + "|".join(f"(?:{p})" for p in GARBLED)
 
 
+#: White space as Unicode and text libraries have it, for trimming without regular expressions.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def rstrip(c: Column) -> Column:
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def replace_all(c: Column, pattern: str, by: str = "") -> Column:
@@ -43,7 +53,7 @@ def replace_all(c: Column, pattern: str, by: str = "") -> Column:
 def without_garbled(c: Column) -> Column:
     """Without runs of symbols; spaces and newlines closed up where any were found."""
     out = replace_all(replace_all(replace_all(c, _GARBLED), " {2,}", " "), r"\n{3,}", "\n\n")
-    return F.when(c.rlike(_GARBLED), strip(out)).otherwise(c)
+    return F.when(c.rlike(_SIGNS) & c.rlike(_GARBLED), strip(out)).otherwise(c)
 
 
 def encoding_fixed(c: Column) -> Column:
@@ -63,7 +73,7 @@ def table_repaired(c: Column) -> Column:
 
     def line(x: Column) -> Column:
         bare = strip(x)
-        closed = F.when(bare.startswith("|") & ~bare.endswith("|"), F.concat(replace_all(x, r"(?U)\s+$"), F.lit(" |"))).otherwise(x)
+        closed = F.when(bare.startswith("|") & ~bare.endswith("|"), F.concat(rstrip(x), F.lit(" |"))).otherwise(x)
         piped = F.when(x.rlike(r"\|{3,}"), replace_all(x, r"\|{3,}", "||")).otherwise(closed)
         parts = F.split(x, r"\|")
         cells = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda p: F.when(strip(p) == "", F.lit("---")).otherwise(strip(p)))
@@ -132,7 +142,7 @@ CLEANING = [("GARBLED_TEXT", without_garbled), ("ENCODING_FIX", encoding_fixed),
 def truncated(c: Column, n: int) -> Column:
     """White space closed up, then at most n characters, with an ellipsis where some are cut."""
     flat = strip(replace_all(c, r"(?U)\s+", " "))
-    return F.when(F.length(flat) > n, F.concat(replace_all(F.left(flat, F.lit(n)), r"(?U)\s+$"), F.lit("..."))).otherwise(flat)
+    return F.when(F.length(flat) > n, F.concat(rstrip(F.left(flat, F.lit(n))), F.lit("..."))).otherwise(flat)
 
 
 def preview(c: Column, n: int = 200) -> Column:
@@ -144,7 +154,7 @@ def token_estimate(c: Column) -> Column:
 
 
 def protocol_anchor(c: Column) -> Column:
-    return F.upper(F.regexp_extract(c, ANCHOR, 1))
+    return F.when(c.rlike(r"[Jj]\d"), F.upper(F.regexp_extract(c, ANCHOR, 1))).when(c.isNotNull(), "")
 
 
 def field_candidates(c: Column, limit: int = 20) -> Column:
@@ -152,10 +162,13 @@ def field_candidates(c: Column, limit: int = 20) -> Column:
     return F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit(FIELD_NAME), F.lit(0))), 1, limit)
 
 
+#: Words that name no field.
+COMMON_NAMES = ("FIELD", "FIELDS", "VALUE", "VALUES", "TABLE", "TABLES")
+
+
 def plausible_field_name(c: Column) -> Column:
     name = F.upper(strip(c))
-    common = name.isin("FIELD", "FIELDS", "VALUE", "VALUES", "TABLE", "TABLES")
-    return (F.length(name) >= 3) & ~common & (name.contains("_") | name.rlike(r"^J\d+\.\d+[A-Z]?\d*$") | name.rlike(r"^[A-Z0-9./\-]{4,}$"))
+    return (F.length(name) >= 3) & ~name.isin(*COMMON_NAMES) & (name.contains("_") | name.rlike(r"^J\d+\.\d+[A-Z]?\d*$") | name.rlike(r"^[A-Z0-9./\-]{4,}$"))
 
 
 def field_names(c: Column) -> Column:
@@ -174,8 +187,10 @@ def nonempty_lines(c: Column) -> Column:
 #: Patterns and words of chunk features, and their weights below.
 CHUNK_FIELD = r"(?U)\b[A-Z][A-Z0-9_./\-]{2,}\b"
 CHUNK_PAIR = r"-?\d+\s*(?:=|->|→)\s*[A-Za-z_][A-Za-z0-9_./\-]*"
-FORMULA_HINT = r"(?i)(?:formula|公式|convert|转换|resolution|分辨率|value\s*[*/+\-])"
-RULE_EVIDENCE = r"(?i)(?:formula|公式|mapping|映射|range|范围|resolution|分辨率|bit|位|value\s*[*/+\-]|->|→|=)"
+FORMULA_HINT = ("formula", "公式", "convert", "转换", "resolution", "分辨率")
+RULE_EVIDENCE = ("formula", "公式", "mapping", "映射", "range", "范围", "resolution", "分辨率", "bit", "位", "->", "→", "=")
+COMPUTED_VALUE = r"value\s*[*/+\-]"
+HEADER_WORDS = ("table", "figure", "note", "附注", "continued", "page", "保密", "密级", "页眉", "页脚")
 HEADER_FOOTER = r"(?i)(?:^table\s+\d|^figure\s+\d|^note\b|^附注|continued|page\s+\d+|保密|密级|页眉|页脚)"
 SEPARATOR_LINE = r"^[=\-_.|/\\\s]{4,}$"
 BLOCK_TYPES = [
@@ -191,16 +206,26 @@ def holds_any(c: Column, words: tuple[str, ...]) -> Column:
 
 def block_semantic_type(c: Column, block_type: Column) -> Column:
     """Tables and code by their type, others by the first group of words that they hold."""
-    low = F.lower(c)
-    out = F.when(block_type == "table", "table_data").when(block_type == "code", "code_example")
-    for name, words in BLOCK_TYPES:
-        out = out.when(holds_any(low, words), name)
-    return out.otherwise("general_content")
+
+    def of_words(low: Column) -> Column:
+        return F.coalesce(*[F.when(holds_any(low, words), F.lit(name)) for name, words in BLOCK_TYPES], F.lit("general_content"))
+
+    return F.when(block_type == "table", "table_data").when(block_type == "code", "code_example").otherwise(let(F.lower(c), of_words))
 
 
 def chunk_field_names(c: Column) -> Column:
-    found = F.regexp_extract_all(F.upper(c), F.lit(CHUNK_FIELD), F.lit(0))
-    return F.array_sort(F.array_distinct(F.filter(found, plausible_field_name)))
+    """Plausible ones (see plausible_field_name): of what the pattern finds, those with four characters or an underscore."""
+    found = F.array_distinct(F.regexp_extract_all(F.upper(c), F.lit(CHUNK_FIELD), F.lit(0)))
+    return F.array_sort(F.filter(found, lambda x: ((F.length(x) >= 4) | x.contains("_")) & ~x.isin(*COMMON_NAMES)))
+
+
+def formula_hint(low: Column) -> Column:
+    """Whether a text in lower case speaks of formulas."""
+    return holds_any(low, FORMULA_HINT) | (low.contains("value") & low.rlike(COMPUTED_VALUE))
+
+
+def rule_evidence(low: Column) -> Column:
+    return holds_any(low, RULE_EVIDENCE) | (low.contains("value") & low.rlike(COMPUTED_VALUE))
 
 
 def chunk_pairs(c: Column) -> Column:
@@ -215,22 +240,22 @@ def noise_penalty(c: Column, block_type: Column, has_fields: Column) -> Column:
         lines = x["lines"]
         n = F.greatest(F.size(lines), F.lit(1))
         share = lambda test: F.size(F.filter(lines, test))
-        letters = F.length(replace_all(x["text"], r"(?U)[^\p{L}\p{N}]"))
-        marks = F.length(replace_all(x["text"], r"(?U)[\p{L}\p{N}\s]"))
+        letters = F.length(replace_all(x["text"], r"[^\p{L}\p{N}]+"))
+        marks = F.length(F.translate(x["text"], SPACES, "")) - letters
         size = F.greatest(F.length(x["text"]), F.lit(1))
         points = [
             F.when(block_type.isin("image", "figure"), 6.0),
             F.when((n >= 4) & (share(lambda l: F.length(l) <= 6) / n >= 0.55), 5.0),
             F.least(F.lit(4.0), share(lambda l: l.rlike(SEPARATOR_LINE)) * 1.5),
-            F.least(F.lit(6.0), share(lambda l: l.rlike(HEADER_FOOTER)) * 2.0),
+            F.when(holds_any(x["low"], HEADER_WORDS), F.least(F.lit(6.0), share(lambda l: l.rlike(HEADER_FOOTER)) * 2.0)),
             F.when(marks / size >= 0.32, 3.0),
             F.when(letters / size <= 0.38, 2.0),
-            F.when((F.length(x["text"]) < 36) & ~x["text"].rlike(RULE_EVIDENCE), 4.0),
-            F.when(~has_fields & (chunk_pairs(x["text"]) == 0) & ~x["text"].rlike(FORMULA_HINT), 2.0),
+            F.when((F.length(x["text"]) < 36) & ~rule_evidence(x["low"]), 4.0),
+            F.when(~has_fields & (chunk_pairs(x["text"]) == 0) & ~formula_hint(x["low"]), 2.0),
         ]
         return F.when(x["text"] == "", F.lit(18.0)).otherwise(F.round(reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0.0)) for p in points]), 4))
 
-    return let(text, lambda t: let(F.struct(t.alias("text"), nonempty_lines(t).alias("lines")), scored))
+    return let(text, lambda t: let(F.struct(t.alias("text"), F.lower(t).alias("low"), nonempty_lines(t).alias("lines")), scored))
 
 
 def evidence_score(c: Column, block_type: Column, anchor: Column, names: Column, formulas: Column, pairs: Column, bits: Column, ranges: Column) -> Column:
@@ -239,7 +264,7 @@ def evidence_score(c: Column, block_type: Column, anchor: Column, names: Column,
         F.when(anchor != "", 12.0).otherwise(0.0) + F.least(F.lit(18.0), F.size(names) * 1.8) + F.least(F.lit(16.0), formulas * 3.0) + F.least(F.lit(16.0), pairs * 2.0) + F.least(F.lit(10.0), (bits + ranges) * 1.5)
     )
     table = (block_type == "table") & ((pairs > 0) | (formulas > 0))
-    return F.round(score + F.when(F.coalesce(c, F.lit("")).rlike(RULE_EVIDENCE), 6.0).otherwise(0.0) + F.when(table, 4.0).otherwise(0.0), 4)
+    return F.round(score + F.when(let(F.lower(F.coalesce(c, F.lit(""))), rule_evidence), 6.0).otherwise(0.0) + F.when(table, 4.0).otherwise(0.0), 4)
 
 
 def lookup_key(c: Column) -> Column:

@@ -37,7 +37,7 @@ def block_features(blocks: DataFrame, content: str = "content", fields: str | No
     given = held(lambda f: filled(f["formula"]))
     rows = rows.withColumns({
         "tokens": X.token_estimate(text), "anchor": X.protocol_anchor(text), "names": F.array_sort(F.array_distinct(F.concat(X.chunk_field_names(text), names))),
-        "pairs": (X.chunk_pairs(text) + of_fields).cast("int"), "formulas": (given + F.when(text.rlike(X.FORMULA_HINT) | (given > 0), 1).otherwise(0)).cast("int"),
+        "pairs": (X.chunk_pairs(text) + of_fields).cast("int"), "formulas": (given + F.when(X.let(F.lower(text), X.formula_hint) | (given > 0), 1).otherwise(0)).cast("int"),
         "bits": held(lambda f: f["bit_start"].isNotNull() | f["bit_length"].isNotNull()), "ranges": held(lambda f: f["range_min"].isNotNull() | f["range_max"].isNotNull()),
         "hint": X.block_semantic_type(text, kind), "noise": X.noise_penalty(text, kind, F.size(own) > 0 if fields else F.lit(False)),
     })
