@@ -77,3 +77,35 @@ def test_one_of_each_class_stays(spark):
     kept = [r["doc_id"] for r in out.collect()]
     assert sorted(kept) == sorted({c for _, c, _, _ in brute(rows)})
     assert J.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_recall_is_judged_from_the_links_found():
+    near, edge = np.zeros(J.BINS), np.zeros(J.BINS)
+    near[-1], edge[0] = 5000, 5000
+    assert J.recall_so_far(near, 8, 0.8) > J.RECALL > J.recall_so_far(edge, 8, 0.8) and J.recall_so_far(np.zeros(J.BINS), 8, 0.8) == 0.0
+    assert J.recall_so_far(edge, J.prefix_length(), 0.8) >= J.RECALL
+
+
+def test_prefixes_are_shortened_only_as_far_as_needed(spark, monkeypatch):
+    depths = []
+    buckets = J._buckets
+    monkeypatch.setattr(J, "_buckets", lambda trie, depth: depths.append(depth) or buckets(trie, depth))
+    monkeypatch.setattr(J, "LEAST_LINKS", 50)
+    rng = random.Random(4)
+    texts = [" ".join(f"{i}v{rng.randrange(99)}" for _ in range(150)) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts + [f"{t} end" for t in texts])), "doc_id long, text string")
+    got = J.joined(docs).collect()
+    assert all(r["n_links"] == 1 and r["class_id"] == r["doc_id"] % 120 for r in got)
+    assert sorted(set(depths[1:])) == [J.DEPTH]  # the first call lays out the last level
+    depths.clear()
+    J.joined(spark.createDataFrame(corpus(), "doc_id long, text string")).count()
+    assert sorted(set(depths)) == list(range(J.prefix_length(), J.DEPTH + 1))
+
+
+def test_large_cluster_is_counted_once(spark, monkeypatch):
+    """A cluster in all trees' buckets: every pair of different texts counts once, whatever the blocks."""
+    monkeypatch.setattr(J, "BLOCK", 60)
+    core = [f"c{i}" for i in range(400)]
+    texts = [" ".join(core[:k] + [f"x{k}"] + core[k + 1 :]) for k in range(300)]
+    got = J.joined(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == 300 and {(r["class_id"], r["n_links"], r["n_linked_texts"]) for r in got} == {(0, 299, 299)}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,22 +16,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where it is unset, one is set under the warehouse if driver and executors are one process; a cluster must name it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="weftline-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoint"
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/tables"
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes the tables that stored() wrote in this process, once no result that reads them is needed; how many."""
+    gone = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 #: Rows of an Arrow batch of texts, which may be very long; the default suits numbers.
 BATCH_ROWS = 1000
 

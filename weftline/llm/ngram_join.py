@@ -1,23 +1,30 @@
-"""Similarity join on five-word shingles by MinHash bands.
+"""Similarity join on five-word shingles by a MinHash LSH forest.
 
 Links are pairs of different texts whose sets of five-word shingles have a
 Jaccard similarity of THRESHOLD or more. Equal texts are one node from the
 start (summed before the shuffle); nodes, not documents, are joined.
 
-This is a simplification of an LSH forest: there are no sorted prefix tries,
-and prefixes are not shortened by what they match. A node has TREES bands, each
-over a signature of at most DEPTH MinHash values. Nodes that share a band's
-prefix are candidates. Its one length is fixed before data are seen, the
-longest that finds pairs at the threshold with the target recall:
-1 - (1 - THRESHOLD**prefix)**TREES >= RECALL. Candidates are verified
-exactly on their shingle sets:
+Each of TREES trees holds every node's signature of DEPTH MinHash values (16
+bits each) in sorted order, range-partitioned so that no subtree of interest
+is split: a prefix trie. One pass over the sorted rows drops nodes that share
+no prefix of the least useful length with a neighbour. Nodes that share a
+prefix are candidates; matched prefixes start at DEPTH values and are shortened
+one by one. After each length the links found so far tell how many are still
+missing: a pair of similarity s shares a prefix of d values in some tree with
+probability p = 1 - (1 - s**d)**TREES, so it stands for 1 / p pairs (the
+similarities are those found, in bins, taken at their lower edge). Shortening
+stops once the links found are the target share RECALL of that sum, with at
+least LEAST_LINKS links seen, or at the length that meets the target for pairs
+at the threshold itself, whatever the data. Candidates are verified exactly:
 
 * Buckets (nodes with one prefix) of up to SMALL nodes give their pairs, each
   once, if sizes allow the threshold; pairs meet their shingles by two joins.
-* Larger buckets are cut into blocks of BLOCK nodes, and pairs of blocks are
-  tasks of their own that count links by matrix products; they emit a row a
-  node and component, never the pairs. A pair that shares several such
-  buckets is counted in the first, and not among the small ones.
+* Larger buckets are cut into blocks of about BLOCK nodes, and pairs of blocks
+  are tasks of their own that count links by matrix products; they emit a row
+  a node and component, never the pairs. A pair counts in its first bucket
+  only. Blocks follow the nodes' first buckets, so pairs of blocks that were
+  counted are not even formed, and pairs that were counted or cannot reach the
+  threshold by size are dropped before the product.
 
 The result has a row a document: class_id (the least doc_id of the connected
 component of links, equal texts included), copy_of (the least doc_id of the
@@ -28,33 +35,52 @@ Words are runs of anything but ASCII white space, taken from whole texts. A
 text of one to four words is one shingle; null and empty texts have none:
 they are linked to their copies only. Repeated rows count as copies. A null
 doc_id is less than none: a class of null doc_ids only has a null class_id.
-An empty table gives an empty result. Columns other than the id and the text
-are not read.
+Ties between equal doc_ids go to the text of least digest. An empty table
+gives an empty result. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import small_batches, stored, table, text_or_empty
+from weftline.llm.common import quoted, small_batches, stored, table, text_or_empty
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 32, 6, 0.99999
-SMALL, BLOCK = 64, 512
+TREES, DEPTH, RECALL = 32, 8, 0.99999
+LEAST_LINKS, BINS = 1_000, 20
+#: Nodes of a small bucket, nodes of a block, and shingles a node by which blocks are weighed.
+SMALL, BLOCK, SHINGLES = 64, 1_024, 512
 #: Rows up to which a list of nodes or documents is broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
+def found_share(similarity: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
+    """Probability that a pair shares a prefix of the depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
     """The longest prefix, at most depth, that finds pairs at the threshold with the target recall."""
-    return next((d for d in range(depth, 0, -1) if 1 - (1 - threshold**d) ** trees >= recall), 1)
+    return next((d for d in range(depth, 0, -1) if found_share(np.float64(threshold), d, trees) >= recall), 1)
+
+
+def edges_of_bins(threshold: float) -> np.ndarray:
+    return threshold + (1 - threshold) * np.arange(BINS) / BINS
+
+
+def recall_so_far(links: np.ndarray, depth: int, threshold: float) -> float:
+    """The share of links found by prefixes of the depth, judged from the similarities of those found."""
+    whole = float((links / found_share(edges_of_bins(threshold), depth)).sum())
+    return float(links.sum()) / whole if whole else 0.0
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -94,44 +120,82 @@ def node(text_col: str = "text") -> Column:
     return F.unhex(F.md5(text_or_empty(text_col)))
 
 
-def nodes(docs: DataFrame, id_col: str, text_col: str, prefix: int) -> DataFrame:
-    """A row a different text: id, node, doc_id (the least), copies, size (shingles), keys (its prefix in each trie)."""
+def nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row a different text: id, node, doc_id (the least), copies, size (shingles), trees (its signature in each, 2 bytes a value)."""
     a, b = permutations(TREES * DEPTH)
-    weights = np.random.default_rng(29).integers(1, 1 << 63, DEPTH, np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes, keys = [], []
+            sizes, trees = [], []
             for text in batch["text"]:
                 own = shingles(text)
                 sizes.append(len(own))
-                if len(own):
-                    tries = signature(own, a, b).reshape(TREES, DEPTH)[:, :prefix].astype(np.uint64)
-                    keys.append(_unsigned((tries * weights[:prefix]).sum(axis=1, dtype=np.uint64) ^ np.arange(TREES, dtype=np.uint64)))
-                else:
-                    keys.append(np.zeros(0, np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": batch["node"], "size": sizes, "keys": keys})
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), node(text_col).alias("node"), F.col(text_col).alias("text"))
-    signed = rows.mapInPandas(run, "doc_id long, node binary, size int, keys array<long>")
-    found = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+                trees.append((signature(own, a, b) >> np.uint32(16)).astype(">u2").tobytes() if len(own) else b"")
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": batch["node"], "size": sizes, "trees": trees})
+
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), node(text_col).alias("node"), quoted(text_col).alias("text"))
+    signed = rows.mapInPandas(run, "doc_id long, node binary, size int, trees binary")
+    found = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("trees").alias("trees"))
     return stored(found.withColumn("id", F.monotonically_increasing_id()), "join-nodes")
 
 
+def forest(own: DataFrame, least: int) -> DataFrame:
+    """(tree, sig, id, size), sorted by tree and signature, of nodes that share a prefix of the least length with another."""
+    rows = own.filter("size > 0").select("id", "size", "trees", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = rows.select("tree", F.expr(f"substring(trees, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("sig"), "id", "size").withColumn("prefix", F.expr(f"substring(sig, 1, {2 * least})"))
+    # Equal prefixes are never apart: ranges are cut between them.
+    placed = rows.repartitionByRange("tree", "prefix").drop("prefix").sortWithinPartitions("tree", "sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, linked = None, False
+        for batch in batches:
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            if not batch.num_rows:
+                continue
+            sig = batch.column("sig")
+            offsets = np.frombuffer(sig.buffers()[1], np.int32)[sig.offset : sig.offset + len(sig) + 1]
+            prefix = np.frombuffer(sig.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(sig), -1)[:, : 2 * least]
+            tree = batch.column("tree").to_numpy()
+            same = (tree[1:] == tree[:-1]) & (prefix[1:] == prefix[:-1]).all(axis=1)
+            keep = np.zeros(len(sig), bool)
+            keep[0] = held is not None and linked
+            keep[1:] |= same
+            keep[:-1] |= same
+            yield batch.slice(0, len(sig) - 1).filter(pa.array(keep[:-1]))
+            held, linked = batch.slice(len(sig) - 1), bool(keep[-1])
+        if held is not None and linked:
+            yield held
+
+    return stored(placed.mapInArrow(run, "tree int, sig binary, id long, size int"), "join-forest")
+
+
+def _buckets(trie: DataFrame, depth: int) -> DataFrame:
+    """key, id, size, child (the prefix one longer), n of buckets that bring new pairs; keys of longer prefixes come first."""
+    level = DEPTH - depth
+    key = F.expr(f"shiftleft(CAST({level} AS BIGINT), 57) | (xxhash64(tree, substring(sig, 1, {2 * depth})) & {(1 << 57) - 1})")
+    child = F.expr(f"substring(sig, 1, {2 * depth + 2})") if depth < DEPTH else F.col("id").cast("string").cast("binary")
+    members = trie.select(key.alias("key"), "id", "size", F.xxhash64(child).alias("child"))
+    counts = members.groupBy("key").agg(F.count("*").alias("n"), F.min("child").alias("x"), F.max("child").alias("y")).filter("n > 1 AND x <> y").select("key", "n")
+    return members.join(counts, "key")
+
+
+def _pairs(few: DataFrame, threshold: float) -> DataFrame:
+    left, right = few.select("key", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("child").alias("ca")), few.select("key", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("child").alias("cb"))
+    near = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("sa", "sb") >= F.greatest("sa", "sb") * F.lit(threshold)))
+    return near.select("a", "b").distinct()
+
+
 def _with_few(rows: DataFrame, few: DataFrame, on: list[Column], how: str) -> DataFrame:
     return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on, how)
 
 
-def _block_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links between two blocks of a bucket (or within one): counts and component of each node."""
-    key, i, j = group["key"].iloc[0], group["i"].iloc[0], group["j"].iloc[0]
-    group = group.sort_values("id", kind="stable").reset_index(drop=True)
-    n, block = len(group), group["block"].to_numpy()
-    sets = [np.asarray(s, dtype=np.int64) for s in group["shingles"]]
-    size = np.array([len(s) for s in sets])
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share, by products of 0-1 matrices over the shared ones."""
+    n = len(sets)
     flat = np.concatenate(sets)
     _, number, uses = np.unique(flat, return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), size)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
     shared = uses[number] > 1
     number, owner = number[shared], owner[shared]
     common = np.zeros((n, n), np.float32)
@@ -144,25 +208,51 @@ def _block_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
             part = np.zeros((n, 4096), np.float32)
             part[owner[a:b], number[a:b] - start] = 1
             common += part @ part.T
-    linked = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-6
-    np.fill_diagonal(linked, False)
-    if i != j:
-        linked &= block[:, None] != block[None, :]
+    return common
+
+
+_LINKS = "id long, other long, texts long, documents long, bins array<long>"
+
+
+def _block_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links between two blocks of a bucket (or within one): counts, similarities in bins and component of each node."""
+    none = pd.DataFrame({c: pd.Series(dtype=object if c == "bins" else np.int64) for c in ("id", "other", "texts", "documents", "bins")})
+    key, alone = group["key"].iloc[0], group["unit_a"].iloc[0] == group["unit_b"].iloc[0]
+    group = group.sort_values("id", kind="stable").reset_index(drop=True)
+    size, side, child, ids = (group[c].to_numpy() for c in ("size", "block", "child", "id"))
+    open_ = (child[:, None] != child[None, :]) & (np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]))
+    if not alone:
+        open_ &= side[:, None] != side[None, :]
     large = [set(np.asarray(x).tolist()) for x in group["large"]]
     for earlier in {k for x in large for k in x if k < key}:
         held = np.array([earlier in x for x in large])
-        linked &= ~(held[:, None] & held[None, :])
+        open_ &= ~(held[:, None] & held[None, :])
+    place = {x: i for i, x in enumerate(ids.tolist())}
+    for i, tried in enumerate(group["tried"]):
+        at = [place[x] for x in (tried if tried is not None else ()) if x in place]
+        open_[i, at] = False
+    np.fill_diagonal(open_, False)
+    use = np.flatnonzero(open_.any(axis=1))
+    if not len(use):
+        return none
+    open_, size, ids, copies = open_[np.ix_(use, use)], size[use], ids[use], group["copies"].to_numpy()[use]
+    common = _common([np.asarray(group["shingles"].iloc[i], dtype=np.int64) for i in use])
+    union = size[:, None] + size[None, :] - common
+    linked = open_ & (common >= threshold * union - 1e-6)
+    has = linked.any(axis=1)
+    if not has.any():
+        return none
+    bin_of = np.clip(((common / union - threshold) / (1 - threshold) * BINS).astype(np.int64), 0, BINS - 1) if threshold < 1 else np.zeros(common.shape, np.int64)
+    bins = np.stack([((bin_of == k) & linked).sum(axis=1) for k in range(BINS)], axis=1)
+    n = len(use)
     label = np.arange(n)
     while True:
-        new = np.where(linked, label[None, :], n).min(axis=1)
-        new = np.minimum(label, new)
+        new = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1))
         new = new[new]
         if (new == label).all():
             break
         label = new
-    ids, copies = group["id"].to_numpy(), group["copies"].to_numpy()
-    has = linked.any(axis=1)
-    return pd.DataFrame({"id": ids[has], "other": ids[label][has], "texts": linked.sum(axis=1)[has], "documents": (linked @ copies)[has]})
+    return pd.DataFrame({"id": ids[has], "other": ids[label][has], "texts": linked.sum(axis=1)[has], "documents": (linked @ copies)[has], "bins": list(bins[has])})
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -182,54 +272,110 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def links(docs: DataFrame, own: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(id, texts, documents): the links of nodes that have any; and edges (id, other) that connect them."""
-    tries = own.filter("size > 0").select("id", "size", F.explode("keys").alias("key"))
-    counts = tries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = stored(tries.join(counts, "key"), "join-members")
-    few, many = members.filter(F.col("n") <= SMALL), members.filter(F.col("n") > SMALL)
-    left, right = few.select("key", F.col("id").alias("a"), F.col("size").alias("sa")), few.select("key", F.col("id").alias("b"), F.col("size").alias("sb"))
-    near = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= F.greatest("sa", "sb") * F.lit(threshold)))
-    pairs = stored(near.select("a", "b").distinct(), "join-pairs")
-    large = stored(many.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("large")), "join-large")  # at most TREES keys a node
-
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(large.select("id")).distinct()
-    wanted = own.join(needed, "id", "left_semi").select("id", F.col("node").alias("n"), F.col("doc_id").alias("d"))
-    wanted = stored(wanted, "join-wanted")
+def _shingled(docs: DataFrame, own: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, shingles of the given nodes."""
+    wanted = stored(own.join(ids, "id", "left_semi").select("id", F.col("node").alias("n"), F.col("doc_id").alias("d")), "join-wanted")
 
     @F.pandas_udf("array<long>")
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([_unsigned(shingles(t)) for t in texts])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), node(text_col).alias("node"), F.col(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), node(text_col).alias("node"), quoted(text_col).alias("text"))
     first = _with_few(rows, wanted, [F.col("node") == F.col("n"), F.col("doc_id").eqNullSafe(F.col("d"))], "inner").select("id", "text")
-    held = stored(first.withColumn("shingles", hashed("text")).drop("text").groupBy("id").agg(F.first("shingles").alias("shingles")), "join-shingles")
-
-    # Pairs that share a large bucket are counted there.
-    bulk = large.select("id", "large")
-    apart = pairs.join(bulk.select(F.col("id").alias("a"), F.col("large").alias("la")), "a", "left").join(bulk.select(F.col("id").alias("b"), F.col("large").alias("lb")), "b", "left")
-    apart = apart.filter(~F.coalesce(F.arrays_overlap("la", "lb"), F.lit(False))).select("a", "b")
-    met = apart.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    met = met.withColumn("common", F.size(F.array_intersect("x", "y"))).withColumn("all", F.size("x") + F.size("y") - F.col("common"))
-    found = stored(met.filter(F.col("common") >= F.lit(threshold) * F.col("all") - 1e-6).select("a", "b"), "join-links")
-    weight = own.select("id", "copies")
-    ends = found.select(F.col("a").alias("id"), F.col("b").alias("other")).union(found.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    one = ends.join(weight.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.count("*").alias("texts"), F.sum("copies").alias("documents"))
+    return stored(first.withColumn("shingles", hashed("text")).drop("text").groupBy("id").agg(F.first("shingles").alias("shingles")), "join-shingles")
+
+
+def _units(many: DataFrame, bulk: DataFrame) -> DataFrame:
+    """Members of large buckets with the pairs of blocks they belong to: key, unit_a, unit_b, block, id, size, child."""
+    first = many.join(bulk.select("id", F.element_at("large", 1).alias("first")), "id")
+    groups = first.groupBy("key", "first").agg(F.count("*").alias("g"), F.sum("size").alias("w"))
+    groups = groups.withColumn("label", F.when((F.col("g") * 4 >= BLOCK) & (F.col("first") < F.col("key")), F.col("first")))
+    sizes = groups.groupBy("key", "label").agg(F.greatest(F.ceil(F.sum("g") / BLOCK), F.ceil(F.sum("w") / (BLOCK * SHINGLES))).cast("int").alias("blocks"))
+    named = lambda label, j: F.xxhash64(F.coalesce(label, F.lit(-1)), j)
+    labelled = first.join(groups.select("key", "first", "label"), ["key", "first"])
+    s = sizes.select(F.col("key").alias("k"), F.col("label").alias("l"), "blocks")
+    placed = labelled.join(s, (F.col("key") == F.col("k")) & F.col("label").eqNullSafe(F.col("l"))).select("key", "id", "size", "child", named(F.col("label"), F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")).alias("block"))
+    blocks = sizes.select("key", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).select("key", "label", named(F.col("label"), F.col("j")).alias("block"))
+    a, b = blocks.select("key", F.col("label").alias("la"), F.col("block").alias("unit_a")), blocks.select("key", F.col("label").alias("lb"), F.col("block").alias("unit_b"))
+    # Two blocks of nodes that share one earlier bucket were met there.
+    pairs = a.join(b, "key").filter((F.col("unit_a") <= F.col("unit_b")) & ~F.coalesce(F.col("la") == F.col("lb"), F.lit(False))).select("key", "unit_a", "unit_b")
+    pairs = stored(pairs, "join-units")
+    left = placed.join(pairs.withColumn("block", F.col("unit_a")), ["key", "block"])
+    right = placed.join(pairs.filter("unit_a <> unit_b").withColumn("block", F.col("unit_b")), ["key", "block"])
+    return left.unionByName(right)
 
-    placed = many.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    units = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("key", "id", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    units = units.join(held, "id").join(bulk, "id").join(weight, "id")
-    blocked = stored(units.groupBy("key", "i", "j").applyInPandas(lambda g: _block_links(g, threshold), "id long, other long, texts long, documents long"), "join-blocks")
-    two = blocked.groupBy("id").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
-    edges = found.select(F.col("a").alias("id"), F.col("b").alias("other")).union(blocked.select("id", "other"))
-    return one.union(two).groupBy("id").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents")), edges
+
+def links(docs: DataFrame, own: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(id, texts, documents): the links of nodes that have any; and edges (id, other) that connect them."""
+    least = prefix_length(threshold)
+    trie = forest(own, least)
+    weight = own.select("id", "copies")
+    last = _buckets(trie, least)
+    # Whatever the last level may compare: pairs of any level are among these.
+    every = trie.select("tree", F.expr(f"substring(sig, 1, {2 * least})").alias("p"), "id", "size")
+    sizes = every.groupBy("tree", "p").agg(F.min("size").alias("x"), F.max("size").alias("y"), F.count("*").alias("n"))
+    near = every.join(sizes, ["tree", "p"])
+    few_ids = near.filter(F.col("n") <= SMALL)
+    left, right = few_ids.select("tree", "p", F.col("id").alias("a"), F.col("size").alias("sa")), few_ids.select("tree", "p", "id", "size")
+    met = left.join(right, ["tree", "p"]).filter((F.col("a") != F.col("id")) & (F.least("sa", "size") >= F.greatest("sa", "size") * F.lit(threshold)))
+    held = _shingled(docs, own, met.select("id").union(near.filter(F.col("n") > SMALL).select("id")).distinct(), id_col, text_col)
+
+    seen = np.zeros(BINS)
+    tried: list[DataFrame] = []
+    counted: list[DataFrame] = []
+    edges: list[DataFrame] = []
+    keys: DataFrame | None = None
+    for depth in range(DEPTH, least - 1, -1):
+        members = stored(last if depth == least else _buckets(trie, depth), "join-members")
+        many = members.filter(F.col("n") > SMALL)
+        now = many.select("id", "key")
+        keys = now if keys is None else keys.union(now)
+        bulk = stored(keys.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("large")), "join-large")  # TREES keys a node and level at most
+        keys = bulk.select("id", F.explode("large").alias("key"))
+
+        pairs = _pairs(members.filter(F.col("n") <= SMALL), threshold)
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        shares = lambda c: bulk.select(F.col("id").alias(c), F.col("large").alias(f"l{c}"))
+        pairs = pairs.join(shares("a"), "a", "left").join(shares("b"), "b", "left").filter(~F.coalesce(F.arrays_overlap("la", "lb"), F.lit(False))).select("a", "b")
+        pairs = stored(pairs, "join-pairs")  # pairs that share a large bucket are counted there
+        met = pairs.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        met = met.withColumn("common", F.size(F.array_intersect("x", "y"))).withColumn("all", F.size("x") + F.size("y") - F.col("common"))
+        similarity = (F.col("common") / F.col("all")).alias("s")
+        found = stored(met.filter(F.col("common") >= F.lit(threshold) * F.col("all") - 1e-6).select("a", "b", similarity), "join-links")
+        ends = found.select(F.col("a").alias("id"), F.col("b").alias("other")).union(found.select(F.col("b").alias("id"), F.col("a").alias("other")))
+        counted.append(ends.join(weight.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.count("*").alias("texts"), F.sum("copies").alias("documents")))
+        edges.append(found.select(F.col("a").alias("id"), F.col("b").alias("other")))
+        place = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("s") - threshold) / max(1 - threshold, 1e-9) * BINS)))
+        for r in found.groupBy(place.alias("bin")).count().collect():
+            seen[r["bin"]] += r["count"]
+
+        if not many.isEmpty():
+            units = _units(many, bulk).join(held, "id").join(bulk, "id").join(weight, "id")
+            both = [p.select(F.col(x).alias("id"), F.col(y).alias("o")) for p in tried for x, y in (("a", "b"), ("b", "a"))]
+            if both:
+                partners = both[0]
+                for more in both[1:]:
+                    partners = partners.union(more)
+                units = units.join(partners.join(many.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_list("o").alias("tried")), "id", "left")
+            else:
+                units = units.withColumn("tried", F.lit(None).cast("array<long>"))
+            blocked = stored(units.groupBy("key", "unit_a", "unit_b").applyInPandas(lambda g: _block_links(g, threshold), _LINKS), "join-blocks")
+            counted.append(blocked.select("id", "texts", "documents"))
+            edges.append(blocked.select("id", "other"))
+            for r in blocked.select(F.posexplode("bins").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect():
+                seen[r["bin"]] += r["n"] / 2
+        tried.append(pairs)
+        if depth == least or seen.sum() >= LEAST_LINKS and recall_so_far(seen, depth, threshold) >= RECALL:
+            break
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return union(counted).groupBy("id").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents")), union(edges)
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node, class_id, copy_of, n_links, n_linked_texts of each row, and class_node (where class_id's text is)."""
     small_batches(docs.sparkSession)
-    own = nodes(docs, id_col, text_col, prefix_length(threshold))
+    own = nodes(docs, id_col, text_col)
     counted, edges = links(docs, own, id_col, text_col, threshold)
     roots = components(edges)
     named = own.select("id", "node", F.col("doc_id").alias("copy_of"), "copies").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -238,7 +384,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
         "node", "copy_of", F.col("l.copy_of").alias("class_id"), F.col("l.node").alias("class_node"),
         (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_linked_texts"),
     )
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), node(text_col).alias("node"))
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), node(text_col).alias("node"))
     return rows.join(classes, "node")
 
 
@@ -247,7 +393,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = stored(joined(docs, id_col, text_col, threshold), "join-classes")
     stays = (F.col("node") == F.col("class_node")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
     gone = stored(found.filter(~stays).select(F.col("doc_id").alias("__d"), F.col("node").alias("__n")).distinct(), "join-gone")
-    same = [node(text_col) == F.col("__n"), F.col(id_col).cast("long").eqNullSafe(F.col("__d"))]
+    same = [node(text_col) == F.col("__n"), quoted(id_col).cast("long").eqNullSafe(F.col("__d"))]
     left = _with_few(docs, gone, same, "left_anti")
     twice = found.filter(stays).groupBy(F.col("doc_id").alias("__d"), F.col("node").alias("__n")).agg(F.count("*").alias("__c")).filter("__c > 1").drop("__c")
     twice = stored(twice, "join-twice")
