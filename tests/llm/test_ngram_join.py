@@ -82,7 +82,7 @@ def test_one_of_each_class_stays(spark):
 def test_recall_is_judged_from_the_links_found():
     near, edge = np.zeros(J.BINS), np.zeros(J.BINS)
     near[-1], edge[0] = 5000, 5000
-    assert J.recall_so_far(near, 8, 0.8) > J.RECALL > J.recall_so_far(edge, 8, 0.8) and J.recall_so_far(np.zeros(J.BINS), 8, 0.8) == 0.0
+    assert J.recall_so_far(near, J.DEPTH, 0.8) > J.RECALL > J.recall_so_far(edge, J.DEPTH, 0.8) and J.recall_so_far(np.zeros(J.BINS), J.DEPTH, 0.8) == 0.0
     assert J.recall_so_far(edge, J.prefix_length(), 0.8) >= J.RECALL
 
 
@@ -96,10 +96,10 @@ def test_prefixes_are_shortened_only_as_far_as_needed(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts + [f"{t} end" for t in texts])), "doc_id long, text string")
     got = J.joined(docs).collect()
     assert all(r["n_links"] == 1 and r["class_id"] == r["doc_id"] % 120 for r in got)
-    assert sorted(set(depths[1:])) == [J.DEPTH]  # the first call lays out the last level
+    assert depths == [J.DEPTH]
     depths.clear()
     J.joined(spark.createDataFrame(corpus(), "doc_id long, text string")).count()
-    assert sorted(set(depths)) == list(range(J.prefix_length(), J.DEPTH + 1))
+    assert depths == list(range(J.DEPTH, J.prefix_length() - 1, -1))
 
 
 def test_large_cluster_is_counted_once(spark, monkeypatch):

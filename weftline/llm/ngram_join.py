@@ -19,9 +19,12 @@ at the threshold itself, whatever the data. Candidates are verified exactly:
 
 * Buckets (nodes with one prefix) of up to SMALL nodes give their pairs, each
   once, if sizes allow the threshold; pairs meet their shingles by two joins.
-* Larger buckets are cut into blocks of about BLOCK nodes, and pairs of blocks
-  are tasks of their own that count links by matrix products; they emit a row
-  a node and component, never the pairs. A pair counts in its first bucket
+  Their links are what the recall is judged from.
+* Larger buckets wait for the length at which shortening stops, as their nodes
+  only fall apart into more buckets at longer ones. They are cut into blocks of
+  about BLOCK nodes, and pairs of blocks are tasks of their own that count
+  links by matrix products; they emit a row a node and component, never the
+  pairs. A pair counts in its first bucket
   only. Blocks follow the nodes' first buckets, so pairs of blocks that were
   counted are not even formed, and pairs that were counted or cannot reach the
   threshold by size are dropped before the product.
@@ -54,7 +57,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import quoted, small_batches, stored, table, text_or_empty
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 32, 8, 0.99999
+TREES, DEPTH, RECALL = 32, 7, 0.99999
 LEAST_LINKS, BINS = 1_000, 20
 #: Nodes of a small bucket, nodes of a block, and shingles a node by which blocks are weighed.
 SMALL, BLOCK, SHINGLES = 64, 1_024, 512
@@ -171,15 +174,20 @@ def forest(own: DataFrame, least: int) -> DataFrame:
 
 
 def _buckets(trie: DataFrame, depth: int) -> DataFrame:
-    """key, id, size, child (the prefix one longer), n of buckets that bring new pairs; keys of longer prefixes come first."""
-    level = DEPTH - depth
-    key = F.expr(f"shiftleft(CAST({level} AS BIGINT), 57) | (xxhash64(tree, substring(sig, 1, {2 * depth})) & {(1 << 57) - 1})")
+    """key, id, size, child (the prefix one longer), n of buckets that bring new pairs."""
+    key = F.expr(f"xxhash64(tree, substring(sig, 1, {2 * depth}))")
     child = F.expr(f"substring(sig, 1, {2 * depth + 2})") if depth < DEPTH else F.col("id").cast("string").cast("binary")
     members = trie.select(key.alias("key"), "id", "size", F.xxhash64(child).alias("child"))
     counts = members.groupBy("key").agg(F.count("*").alias("n"), F.min("child").alias("x"), F.max("child").alias("y")).filter("n > 1 AND x <> y").select("key", "n")
     return members.join(counts, "key")
 
 
+def _whole(trie: DataFrame, depth: int) -> DataFrame:
+    """key, id, size, n of all buckets of a depth, new pairs or not."""
+    members = trie.select(F.expr(f"xxhash64(tree, substring(sig, 1, {2 * depth}))").alias("key"), "id", "size")
+    return members.join(members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL), "key")
+
+
 def _pairs(few: DataFrame, threshold: float) -> DataFrame:
     left, right = few.select("key", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("child").alias("ca")), few.select("key", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("child").alias("cb"))
     near = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("sa", "sb") >= F.greatest("sa", "sb") * F.lit(threshold)))
@@ -211,16 +219,16 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return common
 
 
-_LINKS = "id long, other long, texts long, documents long, bins array<long>"
+_LINKS = "id long, other long, texts long, documents long"
 
 
 def _block_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links between two blocks of a bucket (or within one): counts, similarities in bins and component of each node."""
-    none = pd.DataFrame({c: pd.Series(dtype=object if c == "bins" else np.int64) for c in ("id", "other", "texts", "documents", "bins")})
+    """Links between two blocks of a bucket (or within one): counts and component of each node."""
+    none = pd.DataFrame({c: pd.Series(dtype=np.int64) for c in ("id", "other", "texts", "documents")})
     key, alone = group["key"].iloc[0], group["unit_a"].iloc[0] == group["unit_b"].iloc[0]
     group = group.sort_values("id", kind="stable").reset_index(drop=True)
-    size, side, child, ids = (group[c].to_numpy() for c in ("size", "block", "child", "id"))
-    open_ = (child[:, None] != child[None, :]) & (np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]))
+    size, side, ids = (group[c].to_numpy() for c in ("size", "block", "id"))
+    open_ = (np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]))
     if not alone:
         open_ &= side[:, None] != side[None, :]
     large = [set(np.asarray(x).tolist()) for x in group["large"]]
@@ -242,8 +250,6 @@ def _block_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     has = linked.any(axis=1)
     if not has.any():
         return none
-    bin_of = np.clip(((common / union - threshold) / (1 - threshold) * BINS).astype(np.int64), 0, BINS - 1) if threshold < 1 else np.zeros(common.shape, np.int64)
-    bins = np.stack([((bin_of == k) & linked).sum(axis=1) for k in range(BINS)], axis=1)
     n = len(use)
     label = np.arange(n)
     while True:
@@ -252,7 +258,7 @@ def _block_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
         if (new == label).all():
             break
         label = new
-    return pd.DataFrame({"id": ids[has], "other": ids[label][has], "texts": linked.sum(axis=1)[has], "documents": (linked @ copies)[has], "bins": list(bins[has])})
+    return pd.DataFrame({"id": ids[has], "other": ids[label][has], "texts": linked.sum(axis=1)[has], "documents": (linked @ copies)[has]})
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -285,24 +291,23 @@ def _shingled(docs: DataFrame, own: DataFrame, ids: DataFrame, id_col: str, text
     return stored(first.withColumn("shingles", hashed("text")).drop("text").groupBy("id").agg(F.first("shingles").alias("shingles")), "join-shingles")
 
 
-def _units(many: DataFrame, bulk: DataFrame) -> DataFrame:
-    """Members of large buckets with the pairs of blocks they belong to: key, unit_a, unit_b, block, id, size, child."""
-    first = many.join(bulk.select("id", F.element_at("large", 1).alias("first")), "id")
+def _units(bulk: DataFrame) -> DataFrame:
+    """Nodes of large buckets with the pairs of blocks they belong to: key, unit_a, unit_b, block, id."""
+    first = bulk.select("id", "size", "large").withColumn("key", F.explode("large")).withColumn("first", F.element_at("large", 1))
     groups = first.groupBy("key", "first").agg(F.count("*").alias("g"), F.sum("size").alias("w"))
-    groups = groups.withColumn("label", F.when((F.col("g") * 4 >= BLOCK) & (F.col("first") < F.col("key")), F.col("first")))
+    groups = stored(groups.withColumn("label", F.when((F.col("g") * 4 >= BLOCK) & (F.col("first") < F.col("key")), F.col("first"))), "join-groups")
     sizes = groups.groupBy("key", "label").agg(F.greatest(F.ceil(F.sum("g") / BLOCK), F.ceil(F.sum("w") / (BLOCK * SHINGLES))).cast("int").alias("blocks"))
     named = lambda label, j: F.xxhash64(F.coalesce(label, F.lit(-1)), j)
     labelled = first.join(groups.select("key", "first", "label"), ["key", "first"])
     s = sizes.select(F.col("key").alias("k"), F.col("label").alias("l"), "blocks")
-    placed = labelled.join(s, (F.col("key") == F.col("k")) & F.col("label").eqNullSafe(F.col("l"))).select("key", "id", "size", "child", named(F.col("label"), F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")).alias("block"))
+    placed = labelled.join(s, (F.col("key") == F.col("k")) & F.col("label").eqNullSafe(F.col("l"))).withColumn("block", named(F.col("label"), F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")))
     blocks = sizes.select("key", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).select("key", "label", named(F.col("label"), F.col("j")).alias("block"))
     a, b = blocks.select("key", F.col("label").alias("la"), F.col("block").alias("unit_a")), blocks.select("key", F.col("label").alias("lb"), F.col("block").alias("unit_b"))
     # Two blocks of nodes that share one earlier bucket were met there.
     pairs = a.join(b, "key").filter((F.col("unit_a") <= F.col("unit_b")) & ~F.coalesce(F.col("la") == F.col("lb"), F.lit(False))).select("key", "unit_a", "unit_b")
-    pairs = stored(pairs, "join-units")
-    left = placed.join(pairs.withColumn("block", F.col("unit_a")), ["key", "block"])
-    right = placed.join(pairs.filter("unit_a <> unit_b").withColumn("block", F.col("unit_b")), ["key", "block"])
-    return left.unionByName(right)
+    own = pairs.select("key", F.explode(F.array_distinct(F.array("unit_a", "unit_b"))).alias("block"), "unit_a", "unit_b")
+    own = own.groupBy("key", "block").agg(F.collect_list(F.struct("unit_a", "unit_b")).alias("units"))  # as many as the bucket has blocks
+    return placed.join(own, ["key", "block"]).withColumn("u", F.explode("units")).select("key", "u.unit_a", "u.unit_b", "block", "id")
 
 
 def links(docs: DataFrame, own: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -310,66 +315,40 @@ def links(docs: DataFrame, own: DataFrame, id_col: str, text_col: str, threshold
     least = prefix_length(threshold)
     trie = forest(own, least)
     weight = own.select("id", "copies")
-    last = _buckets(trie, least)
-    # Whatever the last level may compare: pairs of any level are among these.
-    every = trie.select("tree", F.expr(f"substring(sig, 1, {2 * least})").alias("p"), "id", "size")
-    sizes = every.groupBy("tree", "p").agg(F.min("size").alias("x"), F.max("size").alias("y"), F.count("*").alias("n"))
-    near = every.join(sizes, ["tree", "p"])
-    few_ids = near.filter(F.col("n") <= SMALL)
-    left, right = few_ids.select("tree", "p", F.col("id").alias("a"), F.col("size").alias("sa")), few_ids.select("tree", "p", "id", "size")
-    met = left.join(right, ["tree", "p"]).filter((F.col("a") != F.col("id")) & (F.least("sa", "size") >= F.greatest("sa", "size") * F.lit(threshold)))
-    held = _shingled(docs, own, met.select("id").union(near.filter(F.col("n") > SMALL).select("id")).distinct(), id_col, text_col)
+    held = _shingled(docs, own, trie.select("id").distinct(), id_col, text_col)
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    ways = lambda rows: rows.select(F.col("a").alias("id"), F.col("b").alias("other")).union(rows.select(F.col("b").alias("id"), F.col("a").alias("other")))
 
     seen = np.zeros(BINS)
     tried: list[DataFrame] = []
-    counted: list[DataFrame] = []
     edges: list[DataFrame] = []
-    keys: DataFrame | None = None
     for depth in range(DEPTH, least - 1, -1):
-        members = stored(last if depth == least else _buckets(trie, depth), "join-members")
-        many = members.filter(F.col("n") > SMALL)
-        now = many.select("id", "key")
-        keys = now if keys is None else keys.union(now)
-        bulk = stored(keys.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("large")), "join-large")  # TREES keys a node and level at most
-        keys = bulk.select("id", F.explode("large").alias("key"))
-
+        members = _buckets(trie, depth)
         pairs = _pairs(members.filter(F.col("n") <= SMALL), threshold)
-        for before in tried:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        shares = lambda c: bulk.select(F.col("id").alias(c), F.col("large").alias(f"l{c}"))
-        pairs = pairs.join(shares("a"), "a", "left").join(shares("b"), "b", "left").filter(~F.coalesce(F.arrays_overlap("la", "lb"), F.lit(False))).select("a", "b")
-        pairs = stored(pairs, "join-pairs")  # pairs that share a large bucket are counted there
+        pairs = stored(pairs.join(union(tried), ["a", "b"], "left_anti") if tried else pairs, "join-pairs")
+        tried.append(pairs)
         met = pairs.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         met = met.withColumn("common", F.size(F.array_intersect("x", "y"))).withColumn("all", F.size("x") + F.size("y") - F.col("common"))
-        similarity = (F.col("common") / F.col("all")).alias("s")
-        found = stored(met.filter(F.col("common") >= F.lit(threshold) * F.col("all") - 1e-6).select("a", "b", similarity), "join-links")
-        ends = found.select(F.col("a").alias("id"), F.col("b").alias("other")).union(found.select(F.col("b").alias("id"), F.col("a").alias("other")))
-        counted.append(ends.join(weight.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.count("*").alias("texts"), F.sum("copies").alias("documents")))
-        edges.append(found.select(F.col("a").alias("id"), F.col("b").alias("other")))
+        found = stored(met.filter(F.col("common") >= F.lit(threshold) * F.col("all") - 1e-6).select("a", "b", (F.col("common") / F.col("all")).alias("s")), "join-links")
+        edges.append(found.select("a", "b"))
         place = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("s") - threshold) / max(1 - threshold, 1e-9) * BINS)))
         for r in found.groupBy(place.alias("bin")).count().collect():
             seen[r["bin"]] += r["count"]
-
-        if not many.isEmpty():
-            units = _units(many, bulk).join(held, "id").join(bulk, "id").join(weight, "id")
-            both = [p.select(F.col(x).alias("id"), F.col(y).alias("o")) for p in tried for x, y in (("a", "b"), ("b", "a"))]
-            if both:
-                partners = both[0]
-                for more in both[1:]:
-                    partners = partners.union(more)
-                units = units.join(partners.join(many.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_list("o").alias("tried")), "id", "left")
-            else:
-                units = units.withColumn("tried", F.lit(None).cast("array<long>"))
-            blocked = stored(units.groupBy("key", "unit_a", "unit_b").applyInPandas(lambda g: _block_links(g, threshold), _LINKS), "join-blocks")
-            counted.append(blocked.select("id", "texts", "documents"))
-            edges.append(blocked.select("id", "other"))
-            for r in blocked.select(F.posexplode("bins").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect():
-                seen[r["bin"]] += r["n"] / 2
-        tried.append(pairs)
         if depth == least or seen.sum() >= LEAST_LINKS and recall_so_far(seen, depth, threshold) >= RECALL:
             break
-    union = lambda parts: reduce(DataFrame.unionByName, parts)
-    return union(counted).groupBy("id").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents")), union(edges)
+
+    ends = ways(union(edges))
+    counted = [ends.join(weight.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.count("*").alias("texts"), F.sum("copies").alias("documents"))]
+    # Any node of a large bucket of this length, longer ones' included: they lie within.
+    large = _whole(trie, depth).filter(F.col("n") > SMALL)
+    bulk = stored(large.groupBy("id").agg(F.first("size").alias("size"), F.sort_array(F.collect_set("key")).alias("large")), "join-large")  # TREES keys a node at most
+    if not bulk.isEmpty():
+        partners = ways(union(tried)).join(bulk.select("id"), "id", "left_semi").groupBy("id").agg(F.collect_list("other").alias("tried"))
+        bulk = stored(bulk.join(weight, "id").join(held, "id").join(partners, "id", "left"), "join-bulk")
+        blocked = stored(_units(bulk).join(bulk, "id").groupBy("key", "unit_a", "unit_b").applyInPandas(lambda g: _block_links(g, threshold), _LINKS), "join-blocks")
+        counted.append(blocked.select("id", "texts", "documents"))
+        edges.append(blocked.select(F.col("id").alias("a"), F.col("other").alias("b")))
+    return union(counted).groupBy("id").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents")), union(edges).toDF("id", "other")
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
