@@ -74,11 +74,23 @@ def _blocks(spark, sf):
     return rows.withColumn("page_num", (F.col("doc_id") / 3).cast("int")).withColumn("block_type", F.when(F.col("content").contains("|"), "table").otherwise("text"))
 
 
+def _grouped(spark, sf):
+    scored = C.merge_scores(C.block_features(_blocks(spark, sf)), ["source"], ["page_num", "doc_id"])
+    return C.greedy_groups(scored, ["source"], ["page_num", "doc_id"])
+
+
 @query()
 def q04_semantic_chunks(spark, sf):
-    scored = C.merge_scores(C.block_features(_blocks(spark, sf)), ["source"], ["page_num", "doc_id"])
-    grouped = C.greedy_groups(scored, ["source"], ["page_num", "doc_id"])
-    return C.chunks(grouped, ["source"], ["page_num", "doc_id"]).select("source", "chunk", "block_count", "token_estimate", "semantic_type", "quality_score", F.array_join("field_names", ",").alias("field_names"), "anchor", "content_snapshot")
+    return C.chunks(_grouped(spark, sf), ["source"], ["page_num", "doc_id"]).select("source", "chunk", "block_count", "token_estimate", "semantic_type", "quality_score", F.array_join("field_names", ",").alias("field_names"), "anchor", "content_snapshot")
+
+
+def q04_semantic_chunks_full(spark, sf):
+    """(chunks with their ids, counts and blocks, blocks): what the selection of chunks takes."""
+    grouped = _grouped(spark, sf)
+    name = F.concat_ws(":", "source", "chunk")
+    blocks = grouped.groupBy(name.alias("chunk_id")).agg(F.array_sort(F.collect_list("doc_id")).alias("block_ids"))
+    chunks = C.chunks(grouped, ["source"], ["page_num", "doc_id"]).withColumn("chunk_id", name).join(blocks, "chunk_id")
+    return chunks, _blocks(spark, sf).select(F.col("doc_id").alias("block_id"), "content")
 
 
 @query()
