@@ -135,3 +135,41 @@ def test_small_pieces(spark):
     rows = spark.createDataFrame([("q", "a"), ("", "b")], "question string, answer string")
     assert S.training_set_checks(rows, ["question", "x"]) == ["missing columns: x"] and S.training_set_checks(rows, ["question"]) == ["row 1: question is blank"]
     assert S.training_set_checks(rows.limit(0), ["question"]) == ["no rows"]
+
+
+def test_message_evaluation(spark):
+    from weftline.operators import evaluation as V
+
+    schema = "message_id int, field_name string, value string"
+    reference = spark.createDataFrame([(1, "ALT", "100"), (1, "MODE", "ON"), (1, "GONE", "x")], schema)
+    converted = spark.createDataFrame([(1, "alt", "90"), (1, "Mode", "on"), (1, "EXTRA", "1")], schema)
+    weights = spark.createDataFrame([(1, "ALT", 2.0), (1, "MODE", 1.0), (1, "GONE", 1.0)], "message_id int, field_name string, weight double")
+    scores = V.field_scores(converted, reference, weights).cache()
+    got = {r["field_name"]: r for r in scores.collect()}
+    text = difflib.SequenceMatcher(None, "ALT=90", "ALT=100").ratio()
+    meaning = text * 0.4 + 0.9 * 0.6
+    assert got["ALT"]["numeric_similarity"] == 90.0 and got["ALT"]["field_correctness_score"] == round(100 * (0.2 + 0.6 * meaning), 4)
+    assert got["MODE"]["exact_match"] and got["GONE"]["information_loss_score"] == 100.0 and not got["GONE"]["present"]
+    m = V.message_scores(scores, converted).first()
+    assert m["conversion_rate"] == round(100 / 3, 4) and m["missing_fields"] == ["GONE"] and m["unexpected_fields"] == ["EXTRA"]
+    assert abs(m["correctness_score"] - sum(got[f]["field_correctness_score"] * w for f, w in (("ALT", 2), ("MODE", 1), ("GONE", 1))) / 4) < 1e-3
+    t = V.trace_summary(scores, reference.filter("field_name = 'ALT'")).first()
+    assert (t["covered_field_count"], t["coverage_gap_count"], t["rule_hit_count"], t["conversion_success_count"]) == (2, 1, 1, 1)
+
+
+def test_preferences_and_verbosity(spark):
+    from weftline.operators import evaluation as V
+
+    rows = [
+        ("a", "m1", 100.0, 100.0, 100.0, None, False, "value * 2", "value * 2"), ("a", "m2", 10.0, 10.0, 0.0, None, False, "value*3", "value*3"), ("a", "m3", 20.0, 0.0, 0.0, "bad", False, "nonsense", None),
+        ("b", "m1", 0.0, 0.0, 0.0, None, True, "x", "x"), ("c", "m1", 0.0, 0.0, 0.0, None, False, "x", "x"), ("d", "m1", 50.0, 50.0, 50.0, None, False, "1=A", "1=A"),
+    ]
+    results = spark.createDataFrame(rows, "case_id string, model_name string, correctness_score double, conversion_rate double, fragment_hit_rate double, rule_extraction_error string, source_incomplete boolean, raw_output string, formula string")
+    cases = spark.createDataFrame([("a", "value * 2", "transcoding"), ("b", "y", "mapping"), ("d", None, "mapping")], "case_id string, expected_formula string, conversion_mode string")
+    pairs, summary = V.preference_pairs(results, cases)
+    got = [(r["case_id"], r["chosen"], r["rejected"], r["chosen_source"], r["rejected_score"]) for r in pairs.orderBy("pair_rank").collect()]
+    assert got == [("a", "value * 2", "nonsense", "expected_formula", -8.0), ("a", "value * 2", "value*3", "expected_formula", 9.0)]
+    s = summary.first()
+    assert (s["total_cases"], s["pair_count"], s["skipped_source_incomplete_cases"], s["skipped_missing_case"], s["skipped_missing_chosen_cases"], s["skipped_missing_rejected_cases"]) == (4, 2, 1, 1, 0, 1)
+    says = lambda raw, formula, mode: one(spark, V.verbose_output(F.lit(raw), F.lit(formula), F.lit(mode)))[0]
+    assert says("value * 2\nbecause it doubles", "value * 2", "transcoding") and not says("value*2", "value * 2", "transcoding") and not says("2->B, 1=A", "1=A,2=B", "mapping")

@@ -176,3 +176,25 @@ def m29_m30_branched_codec(spark, sf):
     out = rows.withColumn("payload", B.encoder(PROTOCOL)("m")).withColumn("d", B.decoder(PROTOCOL)("payload"))
     sequence = B.sequence_of([("S2", [(["kind"], ["1"]), (["many"], ["1"])]), ("S1", [(["kind"], ["1"])])], {"kind": F.col("d.kind"), "many": (F.col("d.n") > 2).cast("int")})
     return out.select("doc_id", "d.*", F.octet_length("payload").alias("n_bytes"), sequence.alias("sequence"))
+
+
+@query("""WITH s AS (SELECT l_returnflag AS message_id, l_quantity > 5 AS p, l_discount = 0 AS e, 100 - l_discount * 400 AS c, l_discount * 400 AS l FROM lineitem),
+g AS (SELECT message_id, count(*) AS n, count(*) FILTER (p) AS covered_field_count, count(*) FILTER (e) AS conversion_success_count, count(*) FILTER (c >= 80) AS high_confidence_count, count(*) FILTER (l <= 20) AS low_loss_count, round(avg(l), 4) AS information_loss_rate FROM s GROUP BY 1)
+SELECT * EXCLUDE (n), n AS expected_field_count, CAST(0 AS BIGINT) AS rule_hit_count, n - covered_field_count AS coverage_gap_count, round(covered_field_count * 100.0 / n, 4) AS field_coverage_rate, round(conversion_success_count * 100.0 / n, 4) AS conversion_success_rate,
+round((covered_field_count * 35.0::DOUBLE + conversion_success_count * 25.0::DOUBLE + high_confidence_count * 20.0::DOUBLE + low_loss_count * 10.0::DOUBLE) / n, 4) AS conversion_rate FROM g""")
+def a30_trace_summary(spark, sf):
+    from weftline.operators import evaluation as V
+
+    rows = table(spark, sf, "lineitem").selectExpr("l_returnflag AS message_id", "string(l_linenumber) AS field_name", "l_quantity > 5 AS present", "l_discount = 0 AS exact_match", "100 - l_discount * 400 AS field_correctness_score", "l_discount * 400 AS information_loss_score")
+    return V.trace_summary(rows)
+
+
+@query()
+def j16_field_scores(spark, sf):
+    """Parts as messages: the brand, type and size of each against those of the part before."""
+    from weftline.operators import evaluation as V
+
+    flat = F.explode(F.create_map(F.lit("BRAND"), "p_brand", F.lit("TYPE"), "p_type", F.lit("SIZE"), F.col("p_size").cast("string"))).alias("field_name", "value")
+    own = table(spark, sf, "part").select(F.col("p_partkey").alias("message_id"), flat)
+    before = own.withColumn("message_id", F.col("message_id") + 1)
+    return V.message_scores(V.field_scores(before, own), before).select("message_id", "conversion_rate", "matched_field_count", F.size("missing_fields").alias("n_missing"), F.size("unexpected_fields").alias("n_unexpected"))

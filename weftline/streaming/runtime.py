@@ -18,10 +18,14 @@ def repeat_gate(messages: DataFrame, repeats: int, cycle_ms: int, ttl_ms: int |
     """Of each name (name, ts, payload) the run of its latest payload after every batch.
 
     ``fires`` once the payload has come ``repeats`` times (exactly so if ``exact``) with every gap
-    above ``cycle_ms``; the run is then consumed. A run older than ``ttl_ms`` at the next message is dropped.
+    above ``cycle_ms``; the run is then consumed. A run older than ``ttl_ms`` at the next message is dropped, and
+    a timer drops the state of a name that no message came for in that time.
     """
 
     def update(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         payload, n, since, until, gap = state.get if state.exists else (None, 0, 0, 0, None)
         rows = pd.concat(list(batches)).assign(ms=lambda d: d["ts"].astype("datetime64[ms]").astype("int64")).sort_values("ms", kind="stable")
         out = []
@@ -37,9 +41,12 @@ def repeat_gate(messages: DataFrame, repeats: int, cycle_ms: int, ttl_ms: int |
             if fires:
                 n, gap = 0, None
         state.update((payload, n, since, until, -1 if gap is None else gap))
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CACHE.split(", ")])
 
-    return messages.groupBy("name").applyInPandasWithState(update, CACHE, "payload binary, n long, since long, until long, gap long", "append", GroupStateTimeout.NoTimeout)
+    timer = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return messages.groupBy("name").applyInPandasWithState(update, CACHE, "payload binary, n long, since long, until long, gap long", "append", timer)
 
 
 def joint(left: DataFrame, right: DataFrame, key: str, window_ms: int, late: str = "1 minute") -> DataFrame:
