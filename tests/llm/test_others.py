@@ -344,3 +344,22 @@ def test_long_pages_are_read_whole():
     long = pages[0].replace("</h1>", "</h1>" + "".join(f"<p>part {k} of many</p><ul><li>a {k}</li></ul>" for k in range(3000)))
     got = html_wrapper.extract(long, html_wrapper.infer([*pages, long]))
     assert got.count("of many") == 3000 and got.endswith(texts[0].split("\n")[-1])
+
+
+def test_copies_take_no_places(spark, monkeypatch):
+    """A third of the rows is one vector that scores high; true neighbours are found beside it, in blocks beyond the fit."""
+    rng = np.random.default_rng(14)
+    monkeypatch.setattr(ann, "INDEX_BLOCK", 700)
+    x = rng.normal(size=(1400, 16))
+    copy = x[0] * 1.01
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, copy.tolist()) for i in range(700)]
+    own = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = ann.search(own, own.filter("vec_id % 100 = 0 AND vec_id < 1400"), k=10, rerank=60, fit_rows=400).collect()
+    hits = total = 0
+    for q in range(0, 1400, 100):
+        best = sorted([(-float(x[q] @ x[i]), i) for i in range(1400) if i != q] + [(-float(x[q] @ copy), 5000 + i) for i in range(10)])[:10]
+        mine = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [m for m, _ in mine] == list(range(1, 11))
+        hits += len({i for _, i in best} & {i for _, i in mine})
+        total += 10
+    assert hits / total >= 0.9

@@ -6,8 +6,9 @@ squares; a vector's codes come from a beam search over the codebooks, so a
 later codeword can make up for an earlier one. The index stores the codes
 and the norms of vector and reconstruction. A query is scored against all
 codes by lookup tables of its inner products with the codewords; per block of
-the index the RERANK best are scored again on the original vectors in double
-precision, and the best K of all blocks are the result. For cosine and
+the index the RERANK best of its different vectors are scored again on the
+original vectors in double precision, with all copies of each, and the best K
+of all blocks are the result. So copies take no places from other vectors. For cosine and
 distance the stored norms turn the table sums into those measures.
 
 The codebooks are fitted on at most FIT_ROWS vectors, those of least keyed
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import stored, table
 
 BOOKS, WORDS, BEAM, REFITS = 16, 128, 4, 1
-FIT_ROWS, K, RERANK = 4_096, 20, 640
+FIT_ROWS, K, RERANK = 4_096, 20, 400
 INDEX_BLOCK, QUERY_BLOCK = 16_384, 2_048
 
 
@@ -55,6 +56,8 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
 
 class AdditiveQuantiser:
     def __init__(self, books: np.ndarray):
+        if books.shape[1] > 256:
+            raise ValueError("a code is one byte: at most 256 codewords a book")
         self.books = books  # M x K x D
         flat = books.reshape(-1, books.shape[2])
         self.products = flat @ flat.T
@@ -172,28 +175,29 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, rerank: int = RERANK
         codes = np.frombuffer(b"".join(own["codes"]), np.uint8).reshape(len(own), -1)
         norms, coded_norms = own["norm"].to_numpy(), own["coded_norm"].to_numpy()
         q_ids, q = ask["vec_id"].to_numpy(), np.stack(ask["vector"])
+        # Equal vectors are scored once.
+        plain = np.ascontiguousarray(x + 0.0)  # no negative zeros
+        _, first, same = np.unique(plain.view(np.dtype((np.void, plain.itemsize * plain.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        by_vector = np.argsort(same, kind="stable")
+        ends = np.searchsorted(same[by_vector], np.arange(len(first) + 1))
         out = []
         for i in range(0, len(q), 16):
             part, part_ids = q[i : i + 16], q_ids[i : i + 16]
             lookup = quantiser.tables(part).astype(np.float32)
-            rough = np.zeros((len(part), len(own)), np.float32)
+            rough = np.zeros((len(part), len(first)), np.float32)
             for m in range(codes.shape[1]):
-                rough += lookup[:, m, :][:, codes[:, m]]
+                rough += lookup[:, m, :][:, codes[first, m]]
             lengths = np.linalg.norm(part, axis=1)
-            rough = measures(rough, lengths, coded_norms, kind)
+            rough = measures(rough, lengths, coded_norms[first], kind)
             for j, query_id in enumerate(part_ids):
-                score = rough[j]
-                score[ids == query_id] = -np.inf
-                if len(score) > rerank:
-                    edge = np.partition(score, len(score) - rerank)[len(score) - rerank]
-                    above = np.flatnonzero(score > edge)
-                    chosen = np.concatenate([above, np.flatnonzero(score == edge)[: rerank - len(above)]])
-                else:
-                    chosen = np.arange(len(score))
-                chosen = np.sort(chosen[score[chosen] > -np.inf])
-                exact = measures((x[chosen] * part[j]).sum(axis=1)[None, :], lengths[j : j + 1], norms[chosen], kind)[0]
-                best = np.lexsort((ids[chosen], -exact))[:k]
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[chosen][best], "score": exact[best]}))
+                near = np.sort(np.argpartition(-rough[j], rerank - 1)[:rerank]) if len(first) > rerank else np.arange(len(first))
+                exact = measures((x[first[near]] * part[j]).sum(axis=1)[None, :], lengths[j : j + 1], norms[first[near]], kind)[0]
+                sizes = ends[near + 1] - ends[near]
+                rows = np.concatenate([by_vector[a:b] for a, b in zip(ends[near], ends[near + 1], strict=True)])
+                score = np.repeat(exact, sizes)
+                score, rows = score[ids[rows] != query_id], rows[ids[rows] != query_id]
+                best = np.lexsort((ids[rows], -score))[:k]
+                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[rows][best], "score": score[best]}))
         return pd.concat(out)
 
     found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(near, schema)
