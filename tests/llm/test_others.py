@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -363,3 +364,86 @@ def test_copies_take_no_places(spark, monkeypatch):
         hits += len({i for _, i in best} & {i for _, i in mine})
         total += 10
     assert hits / total >= 0.9
+
+
+def test_shards_equal_brute_force(spark):
+    """Global numbers by sorting, the permutation value by value."""
+    rng = random.Random(31)
+    rows = [(rng.choice([None, *range(60)]), rng.choice([None, "", "a", "bb é", "ccc"])) for _ in range(150)]
+    got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["size"], r["shard"], r["slot"]) for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 7).collect()))
+    plain = sorted((i is not None, i or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 16) for i, t in rows)
+    assert [g[:4] for g in got] == plain
+    for i, own in enumerate(plain):
+        if plain.count(own) == 1:  # equal rows are interchangeable
+            p = int(sharding.permute(np.array([i]), 150, "shards")[0])
+            assert next(g[4:] for g in got if g[:4] == own) == (p % 7, p // 7)
+    # Row numbers are permuted one to one: every (shard, slot) of 150 rows in 7 shards occurs once.
+    assert sorted((s, o) for *_, s, o in got) == sorted((p % 7, p // 7) for p in range(150))
+
+
+def test_copies_row_by_row(spark):
+    """Copies of every row worked out one after the other from the sources' budgets."""
+    rng = random.Random(32)
+    rows = [(i, " ".join("w" * 1 for _ in range(rng.randrange(0, 30))), s) for i, s in enumerate(["a"] * 400 + ["b"] * 90 + ["c"] * 30 + [None] * 20)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r for r in mixing.counted(docs, max_repeat=1.4).withColumn("h", F.xxhash64(F.lit(7).cast("long"), "doc_id", "text")).collect()}
+    tokens = {i: len(t.split()) for i, t, _ in rows}
+    total = sum(tokens.values())
+    for source in ("a", "b", "c", None):
+        own = [i for i, _, s in rows if s == source]
+        n = sum(tokens[i] for i in own)
+        budget = math.floor(got[own[0]]["__mix_weight"] * total)
+        passes, rest = divmod(budget, n)
+        blocks = {}
+        for i in own:
+            blocks.setdefault(got[i]["h"] % mixing.BLOCKS, []).append(i)
+        copies, run, open_ = {i: passes for i in own}, 0, True
+        for b in sorted(blocks):
+            size = sum(tokens[i] for i in blocks[b])
+            if not open_:
+                break
+            if run + size <= rest:
+                run += size
+                for i in blocks[b]:
+                    copies[i] += 1
+                continue
+            open_ = False
+            for i in sorted(blocks[b], key=lambda i: got[i]["h"]):
+                if run + tokens[i] > rest:
+                    break
+                run += tokens[i]
+                copies[i] += 1
+        assert {i: got[i]["__mix_copies"] for i in own} == copies
+
+
+def test_expectation_maximisation_by_hand():
+    """Each round raises the penalised likelihood, written out pattern by pattern, and the posterior is Bayes' rule."""
+    rng = np.random.default_rng(33)
+    truth = rng.random(4000) < 0.7
+    votes = np.where(rng.random((4000, 4)) < 0.8, np.where(truth, 1, -1)[:, None], np.where(rng.random((4000, 4)) < 0.5, 0, np.where(truth, -1, 1)[:, None]))
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+
+    def objective(share, rates):
+        out = np.log(rates).sum()  # the pseudo-count a vote
+        for v, n in zip(patterns, counts, strict=True):
+            bad = (1 - share) * math.prod(rates[j, 0, x + 1] for j, x in enumerate(v))
+            good = share * math.prod(rates[j, 1, x + 1] for j, x in enumerate(v))
+            out += n * math.log(bad + good)
+        return out
+
+    steps = [objective(*weak_labels.expectation_maximisation(patterns, counts.astype(float), rounds=r)) for r in (1, 2, 4, 8, 40)]
+    assert all(b >= a - 1e-6 for a, b in zip(steps, steps[1:], strict=False))
+    share, rates = weak_labels.expectation_maximisation(patterns, counts.astype(float))
+    p = weak_labels.posterior(patterns, share, rates)
+    for v, x in zip(patterns, p, strict=True):
+        bad, good = ((1 - share) * math.prod(rates[j, 0, k + 1] for j, k in enumerate(v)), share * math.prod(rates[j, 1, k + 1] for j, k in enumerate(v)))
+        assert abs(x - good / (bad + good)) < 1e-9
+    assert abs(share - 0.7) < 0.05 and abs(rates[0, 1, 2] - 0.8) < 0.05
+
+
+def test_weak_labels_train_on_null_and_repeated_ids(spark):
+    good = [(None, f"A fine sentence number {chr(97 + i % 26)} about the river. It ends well here.", "s") for i in range(40)]
+    bad = [(7, "%%% &&& " * 12 + str(i), "s") for i in range(20)]
+    docs = spark.createDataFrame(good + bad, SCHEMA)
+    got = weak_labels.scored(docs, weak_labels.fit(docs)).collect()
+    assert all(r["kept"] == (r["doc_id"] is None) for r in got) and len({round(r["score"], 6) for r in got}) > 1

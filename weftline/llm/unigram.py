@@ -67,16 +67,23 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 def read_model(path: str) -> tuple[list[tuple[str, float, int]], bool]:
-    """(piece, score, type) by id, and whether a marker is put before a text."""
-    pieces, prefix = [], True
+    """(piece, score, type) by id, and whether a marker is put before a text.
+
+    A model that rewrites characters, drops spaces or leaves them as they are is refused, for its ids would differ.
+    """
+    pieces, prefix, normal = [], True, {}
     with open(path, "rb") as file:
         for number, value in _fields(file.read()):
+            if number == 3:
+                normal = dict(_fields(value))
             if number == 1:
                 own = dict(_fields(value))
                 score = struct.unpack("<f", own[2])[0] if 2 in own else 0.0
                 pieces.append((own[1].decode(), score, own.get(3, NORMAL)))
             elif number == 3:
                 prefix = bool(dict(_fields(value)).get(3, 1))
+    if normal.get(2) or normal.get(4, 1) or not normal.get(5, 1):
+        raise ValueError("the model normalises texts (character map, extra spaces or bare spaces), which this encoder does not")
     return pieces, prefix
 
 

@@ -9,8 +9,9 @@ word shapes, and bands of the labellers' figures), and the scorer rates
 every text: it also tells texts apart on which no labeller votes.
 
 Counts cover all rows: patterns are summed before they are shuffled, and
-there are at most 3 to the number of labellers. At most FIT_ROWS rows, those
-of least keyed hash, train the scorer. Ground-truth labels are never read.
+there are at most 3 to the number of labellers. At most FIT_ROWS different
+texts, those of least keyed hash, train the scorer, whatever their ids; the
+driver gets their hashed features. Ground-truth labels are never read.
 
 A null or empty text has no words; the labeller of short texts votes on it
 as on any other. Whole texts are read. Repeated rows score alike; an empty
@@ -181,14 +182,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_row
     found = rows.select("text").mapInPandas(count, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
     patterns = np.array([r["votes"] for r in found], dtype=np.int64).reshape(-1, len(LABELLERS))
     share, rates = expectation_maximisation(patterns, np.array([r["n"] for r in found], dtype=float))
-    least = rows.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(41), "doc_id"), "doc_id").limit(fit_rows)
-    sample = stored(rows.join(F.broadcast(least), "doc_id"), "quality-sample")  # fit_rows ids at most
+    # Different texts, whatever their ids: null and repeated ids neither lose nor multiply them.
+    named = rows.select("text", F.md5(F.coalesce("text", F.lit(""))).alias("same"))
+    least = stored(named.select("same").distinct().orderBy(F.xxhash64(F.lit(41), "same"), "same").limit(fit_rows), "quality-sample")
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for same, text in zip(batch["same"], batch["text"], strict=True):
+                x = measure(text)
+                v, f = votes(x)
+                at, weight = features(x, f)
+                out.append((same, list(v), at.astype(np.int32).tobytes(), weight.astype(np.float32).tobytes()))
+            yield pd.DataFrame(out, columns=["same", "votes", "at", "weight"])
+
+    sample = named.join(F.broadcast(least), "same").dropDuplicates(["same"])  # fit_rows rows at most
     own, target = [], []
-    for r in sample.orderBy("doc_id", F.xxhash64("text")).toLocalIterator():
-        x = measure(r["text"])
-        v, f = votes(x)
-        own.append(features(x, f))
-        target.append(float(posterior(np.array([v]), share, rates)[0]))
+    for r in sample.mapInPandas(describe, "same string, votes array<int>, at binary, weight binary").orderBy("same").toLocalIterator():
+        own.append((np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["weight"], np.float32).astype(float)))
+        target.append(float(posterior(np.array([r["votes"]]), share, rates)[0]))
     return Model(share, rates, train(own, np.array(target)))
 
 
