@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from weftline.functions import text as X
 
+#: The budget's slack and the least score, as well as the weights in merge_scores() and chunks().
 HARD_BUDGET, LEAST_SCORE = 1.35, 3
 FOLD_ROWS = 100_000
 

@@ -63,7 +63,7 @@ def snippets(candidates: DataFrame, queries: list[str], k: int, title: str = "ti
         tokens = sorted({t for t in low.replace("_", " ").split() if len(t) > 1})
         held = sum((F.when(F.lower(F.col(text)).contains(t), 1).otherwise(0) for t in tokens), F.lit(0))
         score = score + F.when(F.lower(F.col(title)).contains(low), 4.0).otherwise(0.0) + F.when(F.lower(F.col(text)).contains(low), 2.0).otherwise(0.0) + 0.4 * F.least(held, F.lit(4))
-    return candidates.withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), F.asc(title), F.asc(text)).limit(k)
+    return candidates.withColumn("score", score).filter("score > 0").orderBy(F.desc(F.round("score", 6)), F.asc(title), F.asc(text)).limit(k)
 
 
 def two_stage(vectors: DataFrame, query: list[float], query_text: str, id_col: str, vector_col: str, text_col: str, k: int = 20, n: int = 5) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,7 +42,7 @@ def formula_valid(formula: Column, rule_type: Column) -> Column:
 
 
 def field_text(fields: DataFrame) -> Column:
-    """What the similarity of two fields compares."""
+    """What the similarity of two fields compares; the labels are fixed values."""
     parts = [F.concat(F.lit("字段名:"), "field_name"), F.concat(F.lit("路径:"), "path"), F.concat(F.lit("协议:"), "protocol"), F.concat(F.lit("文件:"), "file_name"), F.concat(F.lit("位宽:"), F.col("bit_length").cast("string")),
              F.concat(F.lit("默认值:"), F.col("default_value").cast("string")), F.concat(F.lit("语义组:"), "semantic_group")]
     return F.concat_ws(" | ", *parts)
@@ -134,13 +132,6 @@ def graph_rules(edges: DataFrame, nodes: DataFrame, concepts: DataFrame) -> Data
     return edges.filter(F.lower("status").isin("approved", "verified")).join(s, "source_node_id").join(t, "target_node_id", "left").join(c, "concept_id", "left")
 
 
-def source_score(target: Column, source: Column, same_width: Column, same_group: Column, conflict: Column, exact: Column, ratio: Column) -> Column:
-    """How well a source field fits a target (M19): name ratio, shared tokens, groups, width."""
-    shared = F.size(F.array_intersect(F.split(F.upper(target), "_"), F.split(F.upper(source), "_")))
-    bonus = [(exact, 32.0), (same_group, 12.0), (conflict, -14.0), (same_width, 10.0)]
-    return 56.0 * ratio + 8.0 * shared + reduce(lambda a, b: a + b, [F.when(F.coalesce(c, F.lit(False)), p).otherwise(0.0) for c, p in bonus])
-
-
 def expanded_to_instances(rules: DataFrame, instances: DataFrame) -> DataFrame:
     """Rules of a concept bound to its instances (P12): a named instance binds one, a sole instance binds, others go."""
     counted = instances.withColumn("n", F.count("*").over(Window.partitionBy("concept")))

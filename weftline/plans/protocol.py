@@ -61,7 +61,10 @@ def m27_bit_fields(spark, sf):
     return table(spark, sf, "documents").select("doc_id", B.read_bits(payload, 0, 12).alias("high"), B.read_bits(payload, 12, 4).alias("low"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id, doc_id % 1024 AS a, n_chars % 512 AS b FROM documents),
+c AS (SELECT doc_id, a::VARCHAR AS t, 65535 AS crc, 1 AS i, 0 AS k FROM d UNION ALL
+ SELECT doc_id, t, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 40961) ELSE x >> 1 END, CASE WHEN k = 7 THEN i + 1 ELSE i END, (k + 1) % 8 FROM (SELECT *, CASE WHEN k = 0 THEN xor(crc, ascii(substr(t, i, 1))) ELSE crc END AS x FROM c) WHERE i <= length(t))
+SELECT d.doc_id, printf('%06X', ((a << 9) | b) << 5) AS payload, printf('%04X', crc) AS crc, true AS round_trip FROM d JOIN c ON c.doc_id = d.doc_id AND i > length(t)""")
 def m28_m32_codec(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 1024).alias("a"), (F.col("n_chars") % 512).alias("b"))
     coded = rows.withColumn("payload", B.encoder([10, 9])("a", "b")).withColumn("crc", B.crc16(F.col("a").cast("string")))
@@ -93,7 +96,9 @@ def q04_semantic_chunks_full(spark, sf):
     return chunks, _blocks(spark, sf).select(F.col("doc_id").alias("block_id"), "content")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT source, length(regexp_replace(coalesce(text, ''), '$^', '')) // 3 AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+p AS (SELECT source, n, tokens, 0 AS pack, tokens AS total FROM r WHERE n = 1 UNION ALL SELECT r.source, r.n, r.tokens, CASE WHEN p.total + r.tokens > 1024 THEN p.pack + 1 ELSE p.pack END, CASE WHEN p.total + r.tokens > 1024 THEN r.tokens ELSE p.total + r.tokens END FROM p JOIN r ON r.source = p.source AND r.n = p.n + 1)
+SELECT source, CAST(pack AS BIGINT) AS pack, count(*) AS blocks, CAST(sum(tokens) AS BIGINT) AS tokens FROM p GROUP BY 1, 2""")
 def w04_token_packing(spark, sf):
     rows = _blocks(spark, sf).select("source", "doc_id", X.token_estimate(F.col("content")).alias("tokens"))
     return C.packed(rows, ["source"], ["doc_id"]).groupBy("source", "pack").agg(F.count("*").alias("blocks"), F.sum("tokens").alias("tokens"))
@@ -164,9 +169,12 @@ def m15_cosine(spark, sf):
 
 @query()
 def p18_sections(spark, sf):
-    """Pages' titles and paragraphs as Markdown, then its heading tree."""
-    title, body = F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1), F.regexp_extract_all("html", F.lit(r"(?s)<p>([^<]{3,})</p>"), F.lit(1))
-    lines = F.concat(F.lit("# "), title, F.lit("\n"), F.array_join(F.transform(body, lambda x, i: F.concat(F.when(i % 3 == 0, F.lit("## Part\n")).otherwise(F.lit("")), x)), "\n"))
+    """Whole pages as Markdown (headings, blocks as lines), then their heading tree."""
+    bare = X.replace_all(F.coalesce("html", F.lit("")), r"(?is)<(script|style|title)\b.*?</\1\s*>|<!--.*?-->")
+    flat = X.replace_all(bare, r"\s*\n\s*", " ")
+    for level in range(6, 0, -1):
+        flat = X.replace_all(flat, rf"(?i)<h{level}\b[^>]*>", "\n" + "#" * level + " ")
+    lines = X.replace_all(X.replace_all(flat, r"(?i)</?(?:p|br|div|li|ul|ol|tr|table|article|nav|header|footer|section|h[1-6])\b[^>]*>", "\n"), r"<[^>]*>")
     return retrieval.sections(table(spark, sf, "pages").withColumn("text", lines), "page_id", "text").select("page_id", "section", "level", "title", "path", "parent", F.length("text").alias("n_chars"))
 
 
@@ -180,7 +188,9 @@ def p20_paragraphs(spark, sf):
     return retrieval.paragraphs(table(spark, sf, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("paragraphs"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, source AS title, lower(coalesce(text, '')) AS t, text FROM documents), s AS (SELECT doc_id, title, text, (CASE WHEN contains(lower(title), 'src3') THEN 4.0 ELSE 0 END + CASE WHEN contains(t, 'src3') THEN 2.0 ELSE 0 END + 0.4::DOUBLE * contains(t, 'src3')::INT
+ + CASE WHEN contains(t, 'the quick part') THEN 2.0 ELSE 0 END + 0.4::DOUBLE * (contains(t, 'the')::INT + contains(t, 'quick')::INT + contains(t, 'part')::INT) + CASE WHEN contains(t, 'die der') THEN 2.0 ELSE 0 END + 0.4::DOUBLE * (contains(t, 'die')::INT + contains(t, 'der')::INT))::DOUBLE AS score FROM d)
+SELECT doc_id, title, score FROM (SELECT * FROM s WHERE score > 0 ORDER BY round(score, 6) DESC, title, text LIMIT 10)""")
 def q15_evidence(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), "text")
     return retrieval.snippets(rows, ["src3", "the quick part", "die der"], 10).select("doc_id", "title", "score")

@@ -64,9 +64,9 @@ def j05_first_rule_of_target(spark, sf):
     return table(spark, sf, "part").join(first, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", "l_orderkey", "l_linenumber")
 
 
-@query("SELECT c_custkey, 'missing_rule' AS status FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, 'missing_rule' AS status FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def j06_targets_without_rule(spark, sf):
-    own = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    own = table(spark, sf, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     return S.missing(table(spark, sf, "customer").select("c_custkey"), own, "c_custkey").withColumn("status", F.lit("missing_rule"))
 
 
@@ -97,9 +97,9 @@ def o05_prefer_primary(spark, sf):
     return S.prefer_primary(a, b, ["nation"])
 
 
-@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem")
+@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity = 50")
 def o06_missing_targets(spark, sf):
-    return S.missing(table(spark, sf, "part").select("p_partkey"), table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct(), "p_partkey")
+    return S.missing(table(spark, sf, "part").select("p_partkey"), table(spark, sf, "lineitem").filter("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey")).distinct(), "p_partkey")
 
 
 @query("SELECT p_name, count(DISTINCT p_brand) AS contents FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
