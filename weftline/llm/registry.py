@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import ann, fim, html_wrapper, mixing, ngram_join, pii, quality_rules, sharding, toxicity, unigram, weak_labels
+from weftline.llm import ann, fim, html_wrapper, mixing, ngram_join, pii, quality_rules, sharding, toxicity, turn_repair, unigram, weak_labels
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_weak_labels": weak_labels.op8_weak_labels,
         "op9_unigram_encode": unigram.op9_unigram_encode,
         "op10_html_wrappers": html_wrapper.op10_html_wrappers,
+        "op11_turn_repair": turn_repair.op11_turn_repair,
         "op13_fill_in_middle": fim.op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_rule_cascade": quality_rules.OP2_SQL, "op13_fill_in_middle": fim.OP13_SQL}
+    return {"op2_rule_cascade": quality_rules.OP2_SQL, "op11_turn_repair": turn_repair.OP11_SQL, "op13_fill_in_middle": fim.OP13_SQL}
