@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,15 +32,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[str] = []
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors. by: a column that later reads filter on."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    _paths[again] = path
+    return again
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what stored() wrote for these, which nothing reads any more."""
+    for frame in frames:
+        name = _paths.pop(frame)
+        _written.remove(name)
+        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_stored(spark: SparkSession) -> int:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import ann, fim, html_wrapper, mixing, ngram_join, pii, quality_rules, sharding, toxicity, turn_repair, unigram, weak_labels
+from weftline.llm import ann, fim, html_wrapper, mixing, ngram_join, pii, pitman_yor, quality_rules, sharding, toxicity, turn_repair, unigram, weak_labels
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_unigram_encode": unigram.op9_unigram_encode,
         "op10_html_wrappers": html_wrapper.op10_html_wrappers,
         "op11_turn_repair": turn_repair.op11_turn_repair,
+        "op12_pitman_yor": pitman_yor.op12_pitman_yor,
         "op13_fill_in_middle": fim.op13_fill_in_middle,
     }
 
