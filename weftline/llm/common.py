@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/tables"
 
 
+#: Shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[str] = []
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -39,28 +41,42 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors. by: a column that later reads filter on."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    kept = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept) if kept else spark.conf.unset(CLEANUP)
     _written.append(path)
     again = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     _paths[again] = path
     return again
 
 
+def _delete(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes what stored() wrote for these, which nothing reads any more."""
     for frame in frames:
         name = _paths.pop(frame)
         _written.remove(name)
-        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(frame.sparkSession, name)
+
+
+def discard_parts(frame: DataFrame, *values: object) -> None:
+    """Deletes the parts of such kinds of what stored(by="kind") wrote, which nothing reads any more."""
+    for value in values:
+        _delete(frame.sparkSession, f"{_paths[frame]}/kind={value}")
 
 
 def drop_stored(spark: SparkSession) -> int:
     """Deletes the tables that stored() wrote in this process, once no result that reads them is needed; how many."""
     gone = 0
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+        gone += bool(_delete(spark, _written.pop()))
     return gone
 
 
