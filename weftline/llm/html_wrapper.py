@@ -45,7 +45,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -55,8 +55,8 @@ from weftline.llm.common import small_batches, stored, table
 
 #: The widest group that folds, and streams that one task aligns.
 WIDEST, BUCKET = 12, 64
-#: Cells of the alignment's table.
-TABLE = 4_000_000
+#: Bits of the alignment's rows that are kept at once; longer streams are halved.
+TABLE = 1 << 29
 BROADCAST_HOSTS, BROADCAST_BYTES, SALT = 50_000, 16_000_000, 32
 
 _TOKEN = re.compile(
@@ -77,6 +77,8 @@ ARTICLE_TAGS = ("article", "main")
 #: Elements that can be an article without a name of their own, and headings, which may be links.
 SECTIONS = frozenset("html body article main section".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that carry prose: repeated ones are paragraphs and items, other repeated elements form a list of entries.
+PROSE = HEADINGS | frozenset("p li ul ol dl dt dd pre blockquote table thead tbody tfoot tr td th caption figure figcaption address".split())
 #: Names by which even an <article> is not the page's own.
 REMARKS = frozenset("comment comments reply replies related teaser".split())
 
@@ -137,13 +139,17 @@ def unpacked(own: list | str) -> Node:
 def named(tag: str, attributes: str) -> tuple[str, bool]:
     """A tag's name with its class or id, and whether tag or name say that it is not the article."""
     words: list[str] = []
-    for _, a, b, c in _NAMED.findall(attributes) if "=" in attributes else ():
-        words += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower())
-    first = ".".join(words[:2])
+    names: list[str] = []
+    for key, a, b, c in _NAMED.findall(attributes) if "=" in attributes else ():
+        value = html_module.unescape(a or b or c)
+        words += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+        # The number in an id only tells elements of a page or pages of a host apart, as long numbers in a class do.
+        names += [re.sub(r"\d+" if key.lower() == "id" else r"\d{3,}", "#", x) for x in re.sub(r"[.\x00-\x1f]", "_", value.lower()).split()]
+    first = ".".join(dict.fromkeys(names))
     if tag in ("html", "body"):
         return tag, False
-    names = REMARKS if tag in ARTICLE_TAGS else OUT_NAMES
-    return f"{tag}.{first}" if first else tag, tag in OUT_TAGS or not names.isdisjoint(words)
+    shut = REMARKS if tag in ARTICLE_TAGS else OUT_NAMES
+    return f"{tag}.{first}" if first else tag, tag in OUT_TAGS or not shut.isdisjoint(words)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
@@ -171,14 +177,16 @@ class Open:
     tag: str
     name: str
     out: bool
+    number: int
 
 
-def pieces(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, str | None]]:
-    """(names of the open elements, out, in a link, text) of every text; None as text where a block starts or ends."""
+def pieces(page: str) -> Iterator[tuple[tuple[Open, ...], bool, bool, str | None]]:
+    """(open elements, out, in a link, text) of every text; None as text where a block starts or ends."""
     stack: list[Open] = []
+    number = 0
     for kind, value, out in tokens(page):
         if kind == "text":
-            yield tuple(x.name for x in stack), bool(stack) and stack[-1].out, any(x.tag == "a" for x in stack), value
+            yield tuple(stack), bool(stack) and stack[-1].out, any(x.tag == "a" for x in stack), value
             continue
         tag = value.split(".")[0]
         if kind == "open":
@@ -193,13 +201,14 @@ def pieces(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, str | None]
                 if menu := [x for x in stack if x.tag in ("nav", "header", "footer") and x.out]:
                     at = next(i for i, x in enumerate(stack) if x is menu[0])
                     before = at > 0 and stack[at - 1].out  # a menu that was never closed does not hold the article
-                    stack[at:] = [Open(x.tag, x.name, before) for x in stack[at:] if x.tag not in ("nav", "header", "footer")]
+                    stack[at:] = [Open(x.tag, x.name, before, x.number) for x in stack[at:] if x.tag not in ("nav", "header", "footer")]
             if tag in VOID:
                 continue
             around = bool(stack) and stack[-1].out
             if tag == "header" and any(x.tag in ARTICLE_TAGS for x in stack):
                 out = False  # an article's own heading
-            stack.append(Open(tag, value, around or out))
+            number += 1
+            stack.append(Open(tag, value, around or out, number))
         else:
             if tag not in INLINE:
                 yield (), False, False, None
@@ -208,17 +217,21 @@ def pieces(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, str | None]
                     pass
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], bool, int, int, str]]:
-    """(names of the open block elements, out, words, words in links, text) of every block of text in page order."""
-    found: list[tuple[tuple[str, ...], bool, int, int, str]] = []
+Block = tuple[tuple[str, ...], bool, int, int, str, tuple[int, ...]]
+
+
+def blocks(page: str) -> list[Block]:
+    """(names of the open block elements, out, words, words in links, text, numbers of these elements) of every block of text in page order."""
+    found: list[Block] = []
     now: list[str] = []
     links: list[str] = []
     place: tuple[tuple[str, ...], bool] | None = None
+    numbers: tuple[int, ...] = ()
 
     def close() -> None:
         nonlocal place
         if place is not None and (text := _SPACE.sub(" ", html_module.unescape("".join(now))).strip()):
-            found.append((*place, text.count(" ") + 1, len("".join(links).split()), text))
+            found.append((*place, text.count(" ") + 1, len("".join(links).split()), text, numbers))
         now.clear()
         links.clear()
         place = None
@@ -229,12 +242,13 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, int, int, str]]:
         elif not path and text == " " and place is not None:
             now.append(text)  # a line break
         else:
-            own = tuple(x for x in path if x.split(".")[0] not in INLINE), out
+            held = [x for x in path if x.tag not in INLINE]
+            own = tuple(x.name for x in held), out
             if own != place:
                 if place is not None and (not text.strip() or own == (place[0], True)):
                     continue  # white space, or an inline advert within a block
                 close()
-                place = own
+                place, numbers = own, tuple(x.number for x in held)
             now.append(text)
             if link:
                 links.append(text)
@@ -292,29 +306,82 @@ def common(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
     end = 0
     while end < min(len(x), len(y)) - start and x[-1 - end] == y[-1 - end]:
         end += 1
-    n, m = len(x) - start - end, len(y) - start - end
-    if n * m > TABLE:  # a common sequence without the quadratic table, perhaps not the longest
-        met = SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
-        return [(a + k, b + k) for a, b, size in met for k in range(size)]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below, own = best[i], best[i + 1], x[start + i]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if own == y[start + j] else max(below[j], row[j + 1])
-    out, i, j = [(k, k) for k in range(start)], 0, 0
-    while i < n and j < m:
-        if x[start + i] == y[start + j]:
-            out.append((start + i, start + j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
+    middle = _longest(x[start : len(x) - end], y[start : len(y) - end])
+    return [(k, k) for k in range(start)] + [(start + i, start + j) for i, j in middle] + [(len(x) - end + k, len(y) - end + k) for k in range(end)]
+
+
+def _rows(x: list[str], y: list[str]) -> Iterator[int]:
+    """For each prefix of x the places of y (bits) at which its longest common sequence with y's prefix does not grow."""
+    places: dict[str, int] = {}
+    for j, sign in enumerate(y):
+        places[sign] = places.get(sign, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row = full
+    for sign in x:
+        met = row & places.get(sign, 0)
+        row = (row + met | row - met) & full
+        yield row
+
+
+def _longest(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """The places of a longest common sequence: rows of bits, halves of x where they would be too many."""
+    if not x or not y:
+        return []
+    if len(x) * len(y) > TABLE and len(x) > 1:
+        half, left, right = len(x) // 2, 0, 0
+        for left in _rows(x[:half], y):
+            pass
+        for right in _rows(x[half:][::-1], y[::-1]):
+            pass
+        # Common length of the first half with y[:j] and of the second with y[j:], for each j.
+        ahead = list(accumulate((1 - (left >> j & 1) for j in range(len(y))), initial=0))
+        behind = list(accumulate((1 - (right >> j & 1) for j in range(len(y))), initial=0))[::-1]
+        j = max(range(len(y) + 1), key=lambda j: ahead[j] + behind[j])
+        return _longest(x[:half], y[:j]) + [(half + a, j + b) for a, b in _longest(x[half:], y[j:])]
+    rows = [(1 << len(y)) - 1, *_rows(x, y)]
+    i, j, out = len(x), len(y), []
+    while i and j:
+        if rows[i] >> j - 1 & 1:
+            j -= 1
+        elif not rows[i - 1] >> j - 1 & 1:
+            i -= 1
         else:
-            j += 1
-    return out + [(len(x) - end + k, len(y) - end + k) for k in range(end)]
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def bodies(nodes: list[Node]) -> list[list[str]]:
+    """The signs of the repeated groups, inner ones first."""
+    found: dict[tuple[str, ...], None] = {}
+    for x in nodes:
+        if x.kind == "group":
+            for own in bodies(x.body):
+                found[tuple(own)] = None
+            if x.repeated:
+                found[tuple(y.sign for y in x.body)] = None
+    return [list(f) for f in found]
+
+
+def gathered(nodes: list[Node], repeated: list[list[str]]) -> list[Node]:
+    """What stands once here and repeatedly elsewhere becomes a group here too, so that the two meet."""
+    nodes = [Node("group", None, gathered(x.body, [o for o in repeated if len(o) < len(x.body)]), x.optional, x.repeated) if x.kind == "group" else x for x in nodes]
+    for own in repeated:
+        i, out, signs = 0, [], [x.sign for x in nodes]
+        while i < len(nodes):
+            if signs[i] == own[0] and signs[i : i + len(own)] == own:
+                out.append(Node("group", None, nodes[i : i + len(own)]))
+                i += len(own)
+            else:
+                out.append(nodes[i])
+                i += 1
+        nodes = out
+    return nodes
 
 
 def align(wrapper: list[Node], page: list[Node]) -> list[Node]:
     """The wrapper that accepts what both accept: common tokens stay, others become optional groups."""
+    wrapper, page = gathered(wrapper, bodies(page)), gathered(page, bodies(wrapper))
     out: list[Node] = []
 
     def spare(nodes: list[Node]) -> None:
@@ -334,21 +401,42 @@ def align(wrapper: list[Node], page: list[Node]) -> list[Node]:
     return fold(out)
 
 
-def stream(found: list[tuple[tuple[str, ...], bool, int, int, str]]) -> list[Node]:
+def stream(found: list[Block]) -> list[Node]:
     """The folded tokens of a page's blocks."""
     nodes: list[Node] = []
-    before: tuple[str, ...] = ()
-    for k, (path, out, words, linked, text) in enumerate(found):
+    before: tuple[int, ...] = ()
+    for k, (path, out, words, linked, text, numbers) in enumerate(found):
         same = 0
-        while same < min(len(path), len(before)) and path[same] == before[same]:
+        while same < min(len(numbers), len(before)) and numbers[same] == before[same]:
             same += 1
-        # An element that closed and opened again under the same name shows as a new one only by its text.
-        nodes += [Node(name) for name in path[same if same < len(path) else -1 :]]
+        nodes += [Node(name) for name in path[same:]]
         nodes.append(Node("text", text, path=path, out=out, words=words, linked=min(linked, words), blocks=(k,)))
-        before = path
+        before = numbers
     return fold(nodes)
 
 
+def repeated_groups(nodes: list[Node]) -> Iterator[Node]:
+    for x in nodes:
+        if x.repeated:
+            yield x
+        yield from repeated_groups(x.body)
+
+
+def entry_texts(wrapper: list[Node]) -> dict[int, bool]:
+    """Text nodes of repeated groups that open more than prose (by id), and whether an entry looks like a remark: a short text, such as an
+    author or a date, that is no heading, and a longer one."""
+    found: dict[int, bool] = {}
+    for group in repeated_groups(wrapper):
+        if all(e.kind.split(".")[0] in PROSE for e in group.elements()):
+            continue
+        own = list(group.texts())
+        plain = [x for x in own if not HEADINGS.intersection(y.split(".")[0] for y in x.path[-1:])]
+        remark = len(plain) == len(own) > 1 and 4 * min(x.words for x in plain[:2]) <= max(x.words for x in plain)
+        for x in own:
+            found[id(x)] = found.get(id(x), False) or remark
+    return found
+
+
 def verdicts(wrapper: list[Node]) -> tuple[list[bool], str]:
     """Whether each text node of a wrapper is content, and the name of the article's element."""
     nodes = [t for x in wrapper for t in x.texts()]
@@ -356,16 +444,26 @@ def verdicts(wrapper: list[Node]) -> tuple[list[bool], str]:
     loose = [x for x in nodes if not x.out and id(x) not in menu]
     total = sum(x.words for x in loose)
     by: dict[tuple[str, ...], int] = {}
+    entries = entry_texts(wrapper)
+    # Entries of lists (comments, teasers) do not say where the article is, unless all but a tenth of the words are in them.
+    if 10 * sum(x.words for x in loose if id(x) not in entries) > total:
+        loose = [x for x in loose if id(x) not in entries]
+        total = sum(x.words for x in loose)
+    else:
+        entries = {}
     for x in loose:
         for k in range(len(x.path) + 1):
             by[x.path[:k]] = by.get(x.path[:k], 0) + x.words
-    again = {e.kind for x in wrapper if x.repeated for e in x.elements()}  # what opens once a paragraph or item is no article
+    again = {e.kind for x in repeated_groups(wrapper) for e in x.elements()}  # what opens once a paragraph or item is no article
     tagged = {p: n for p, n in by.items() if p and p[-1].split(".")[0] in ARTICLE_TAGS}
     root: tuple[str, ...] = ()
     if total and sum(n for p, n in tagged.items() if not any(q != p and p[: len(q)] == q for q in tagged)) >= 0.3 * total:
         root = max(tagged, key=lambda p: (tagged[p], -len(p)))
     elif total:
-        root = max((p for p, n in by.items() if n >= 0.6 * total and (not p or p[-1] not in again and ("." in p[-1] or p[-1] in SECTIONS))), key=len)
+        able = [p for p in by if not p or p[-1] not in again and ("." in p[-1] or p[-1] in SECTIONS)]
+        title = [x.path for x in loose if x.path and x.path[-1].split(".")[0] == "h1"]
+        # The innermost element that holds most of the words, or, with the page's one title, at least some.
+        root = max((p for p in able if by[p] >= 0.6 * total or len(set(title)) == 1 and by[p] >= 0.3 * total and title[0][: len(p)] == p), key=len)
     # Several elements may bear the article's name; the path to it may differ a little between pages.
     name = root[-1] if root else ""
     inside = [x for x in nodes if not name or name in x.path]
@@ -373,7 +471,8 @@ def verdicts(wrapper: list[Node]) -> tuple[list[bool], str]:
     varied = sum(x.words for x in inside if x.text is None)
     template = {id(x) for x in inside if x.text is not None and x.pages >= 3} if varied > fixed else set()
     within = {id(x) for x in inside}
-    return [id(x) in within and id(x) not in template and id(x) not in menu and not x.out for x in nodes], name
+    remarks = {id(x) for x in inside if id(x) in entries and entries[id(x)]} if entries else set()
+    return [id(x) in within and id(x) not in template | menu | remarks and not x.out for x in nodes], name
 
 
 def finished(wrapper: list[Node]) -> dict:
@@ -395,7 +494,7 @@ class Wrapper:
 
     def __init__(self, own: dict):
         self.tree = [unpacked(x) for x in own.get("tree", [])]
-        self.article = own.get("article", "")
+        self.article, self.bodies = own.get("article", ""), bodies(self.tree)
         for node, keep in zip((t for x in self.tree for t in x.texts()), own.get("keep", []), strict=True):
             node.words = keep
         self.seen: dict[str, list[bool | None]] = {}
@@ -410,8 +509,10 @@ class Wrapper:
             if len(self.seen) > 1000:
                 self.seen.clear()
             met: dict[int, bool] = {}
-            for i, j in common(self.tree, nodes):
-                for a, b in zip(self.tree[i].texts(), nodes[j].texts(), strict=True):
+            nodes = gathered(nodes, self.bodies)
+            tree = gathered(self.tree, bodies(nodes))
+            for i, j in common(tree, nodes):
+                for a, b in zip(tree[i].texts(), nodes[j].texts(), strict=True):
                     met[id(b)] = bool(a.words)
             self.seen[key] = [met.get(id(x)) for t in nodes for x in t.texts()]
         kept: set[int] = set()
