@@ -62,10 +62,9 @@ def test_chunk_of_field_definitions(spark):
     assert chunk["semantic_type"] == "field_definition" and chunk["quality_score"] == round(8 + 10.6 * 0.35 - 4 * 0.8, 4)
 
 
-def test_groups_are_the_plain_fold(spark, monkeypatch):
+def test_groups_are_the_plain_fold(spark):
     import random
 
-    monkeypatch.setattr(chunking, "FOLD_ROWS", 7)
     rng = random.Random(3)
     rows = [(p, i, rng.choice([None, 1, 3, 4, 5, 6]), rng.randrange(5, 60)) for p in "ab" for i in range(80)]
     got = {(r["k"], r["i"]): r["chunk"] for r in chunking.greedy_groups(spark.createDataFrame(rows, "k string, i int, merge_score int, tokens int"), ["k"], ["i"], 100).collect()}

@@ -1,10 +1,9 @@
 """Ordered grouping of blocks into chunks, token packing, table continuation and chunk aggregates.
 
-The merge score of two neighbours needs only the row before, so it is a lag;
-the token budget depends on the group so far, so the grouping itself folds in
-order. Only keys, order, score and tokens go to the fold, never texts; a
-project is cut wherever a score below LEAST_SCORE starts a new group whatever
-the budget, and pieces of about FOLD_ROWS rows are folded as pandas groups.
+The merge score of two neighbours needs only the row before; the token budget
+depends on the group so far, so the grouping is a fold in order. Both run over
+pieces of bounded size (see ``folding``), so that a project may hold any share
+of the blocks. Only features, keys and order go there, never texts.
 """
 
 from __future__ import annotations
@@ -16,10 +15,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weftline.functions import text as X
+from weftline.operators import folding
 
 #: The budget's slack and the least score, as well as the weights in merge_scores() and chunks().
 HARD_BUDGET, LEAST_SCORE = 1.35, 3
-FOLD_ROWS = 100_000
 
 
 def block_features(blocks: DataFrame, content: str = "content", fields: str | None = None) -> DataFrame:
@@ -46,10 +45,17 @@ def block_features(blocks: DataFrame, content: str = "content", fields: str | No
     return rows.withColumn("evidence", evidence).drop("__text")
 
 
+def _pieces(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    return rows if folding.PIECE in rows.columns else folding.in_pieces(rows, keys, order, name)
+
+
 def merge_scores(features: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """features with merge_score: what speaks for joining a block to the one before, the token budget aside."""
-    own = Window.partitionBy(*keys).orderBy(*order)
-    before = {c: F.lag(c).over(own) for c in ("anchor", "names", "page_num", "block_type", "hint", "formulas", "evidence")}
+    """features with merge_score: what speaks for joining a block to the one before, the token budget aside.
+
+    The features are stored in pieces; leave out columns that nothing reads, such as the text.
+    """
+    own = folding.with_previous(_pieces(features, keys, order, "features"), keys, order, ["anchor", "names", "page_num", "block_type", "hint", "formulas", "evidence"])
+    before = {c: F.col("__previous")[c] for c in ("anchor", "names", "page_num", "block_type", "hint", "formulas", "evidence")}
     structural = lambda c: c.isin("table", "code")
     gap = F.greatest(F.col("page_num") - before["page_num"], F.lit(0))
     parts = [
@@ -65,7 +71,7 @@ def merge_scores(features: DataFrame, keys: list[str], order: list[str]) -> Data
     total = F.lit(0)
     for p in parts:
         total = total + F.coalesce(p, F.lit(0))
-    return features.withColumn("merge_score", F.when(before["page_num"].isNotNull(), total))
+    return own.withColumn("merge_score", F.when(before["page_num"].isNotNull(), total)).drop("__previous")
 
 
 def greedy_groups(scored: DataFrame, keys: list[str], order: list[str], max_tokens: int = 1024) -> DataFrame:
@@ -73,49 +79,18 @@ def greedy_groups(scored: DataFrame, keys: list[str], order: list[str], max_toke
 
     keys and order together name a row.
     """
-    own = Window.partitionBy(*keys).orderBy(*order)
-    apart = F.col("merge_score").isNull() | (F.col("merge_score") < LEAST_SCORE)
-    narrow = scored.select(*keys, *order, "merge_score", "tokens", F.row_number().over(own).alias("__at")).withColumn("__apart", F.coalesce(apart, F.lit(True)))
-    last = F.max(F.when(F.col("__apart"), F.col("__at"))).over(own.rowsBetween(Window.unboundedPreceding, 0))
-    narrow = narrow.withColumn("__piece", F.floor(last / FOLD_ROWS))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("__at")
-        starts, tokens = [], 0
-        for parted, score, n in zip(rows["__apart"], rows["merge_score"], rows["tokens"], strict=True):
-            total = tokens + n
-            joins = not parted and total <= int(max_tokens * HARD_BUDGET) and score - (2 if total > max_tokens else 0) >= LEAST_SCORE
-            tokens = total if joins else n
-            starts.append(not joins)
-        return rows[[*keys, *order, "__at"]].assign(__starts=starts)
-
-    schema = T.StructType([scored.schema[c] for c in [*keys, *order]] + [T.StructField("__at", T.IntegerType()), T.StructField("__starts", T.BooleanType())])
-    folded = narrow.groupBy(*keys, "__piece").applyInPandas(fold, schema)
-    numbered = folded.withColumn("chunk", F.sum(F.col("__starts").cast("long")).over(Window.partitionBy(*keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return scored.join(numbered.drop("__at", "__starts"), [*keys, *order])
-
-
-def _with(schema: T.StructType, name: str) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField(name, T.LongType())])
+    pieces = _pieces(scored, keys, order, "scored")
+    score = F.col("merge_score")
+    numbered = folding.budget_groups(pieces, keys, order, "tokens", score.isNull() | (score < LEAST_SCORE), score - 2 < LEAST_SCORE, max_tokens, int(max_tokens * HARD_BUDGET), "chunk")
+    return pieces.drop(folding.PIECE).join(numbered, [*keys, *order])
 
 
 def packed(rows: DataFrame, keys: list[str], order: list[str], tokens: str = "tokens", max_tokens: int = 1024, out: str = "pack") -> DataFrame:
     """Rows in order, a new pack where the next one would not fit; an oversize row is alone (W04, W05). keys and order together name a row."""
-
-    narrow = rows.select(*keys, *order, tokens)
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        packs, pack, total = [], -1, max_tokens + 1
-        for own in group[tokens]:
-            if total + own > max_tokens:
-                pack, total = pack + 1, 0
-            total += own
-            packs.append(pack)
-        return group.assign(**{out: packs}).drop(columns=[tokens])
-
-    schema = _with(T.StructType([narrow.schema[c] for c in [*keys, *order]]), out)
-    return rows.join(narrow.groupBy(*keys).applyInPandas(fold, schema), [*keys, *order])
+    pieces = folding.in_pieces(rows.select(*keys, *order, tokens), keys, order, "packing")
+    first = folding.with_previous(pieces, keys, order, [tokens])
+    numbered = folding.budget_groups(first, keys, order, tokens, F.col("__previous").isNull(), F.lit(False), max_tokens, max_tokens, out)
+    return rows.join(numbered, [*keys, *order])
 
 
 def tables_continued(tables: DataFrame, keys: list[str]) -> DataFrame:

@@ -33,10 +33,11 @@ def best_checkpoint(log: DataFrame, keys: list[str], accuracy: str, loss: str, t
 
 
 def history(log: DataFrame, keys: list[str], step: str, order: str, values: list[str], limit: int = 2000) -> DataFrame:
-    """The last row of each step, of the last ``limit`` steps."""
-    last = log.groupBy(*keys, step).agg(*[F.max_by(v, order).alias(v) for v in values])
-    own = Window.partitionBy(*keys).orderBy(F.desc(step))
-    return last.withColumn("__r", F.row_number().over(own)).filter(F.col("__r") <= limit).drop("__r")
+    """Keys, order, step and values of the last row of each run of one step, of the last ``limit`` runs."""
+    own = Window.partitionBy(*keys).orderBy(order)
+    ends = log.withColumn("__next", F.lead(F.struct(step)).over(own)).filter(F.col("__next").isNull() | ~F.col("__next")[step].eqNullSafe(F.col(step)))
+    last = Window.partitionBy(*keys).orderBy(F.desc(order))
+    return ends.withColumn("__r", F.row_number().over(last)).filter(F.col("__r") <= limit).select(*keys, order, step, *values)
 
 
 def checkpoints(log: DataFrame, keys: list[str], order: list[str], step: str, every: int) -> DataFrame:

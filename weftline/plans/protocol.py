@@ -8,8 +8,9 @@ from weftline.functions import bits as B
 from weftline.functions import formula as E
 from weftline.functions import text as X
 from weftline.operators import chunking as C
+from weftline.operators import folding
 from weftline.operators import metrics as M
-from weftline.operators import retrieval, rules, sinks
+from weftline.operators import retrieval, rules, similarity, sinks
 from weftline.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -78,8 +79,22 @@ def _blocks(spark, sf):
 
 
 def _grouped(spark, sf):
-    scored = C.merge_scores(C.block_features(_blocks(spark, sf)), ["source"], ["page_num", "doc_id"])
-    return C.greedy_groups(scored, ["source"], ["page_num", "doc_id"])
+    blocks, keys, order = _blocks(spark, sf), ["source"], ["page_num", "doc_id"]
+    grouped = C.greedy_groups(C.merge_scores(C.block_features(blocks).drop("content"), keys, order), keys, order)
+    return grouped.join(blocks.select(*keys, *order, "content"), [*keys, *order])
+
+
+@query("""WITH RECURSIVE r AS (SELECT source, doc_id, n_chars % 7 AS score, n_chars % 400 AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+p AS (SELECT source, doc_id, n, tokens AS total, CAST(0 AS BIGINT) AS chunk FROM r WHERE n = 1 UNION ALL
+ SELECT source, doc_id, n, CASE WHEN joins THEN total + tokens ELSE tokens END, CASE WHEN joins THEN chunk ELSE chunk + 1 END
+ FROM (SELECT r.*, p.total, p.chunk, r.score >= 3 AND p.total + r.tokens <= 1382 AND (p.total + r.tokens <= 1024 OR r.score - 2 >= 3) AS joins FROM p JOIN r ON r.source = p.source AND r.n = p.n + 1))
+SELECT source, doc_id, chunk FROM p""")
+def w03_greedy_groups(spark, sf):
+    """The fold alone, over scores and token counts taken from the lengths."""
+    rows = table(spark, sf, "documents").select("source", "doc_id", F.col("n_chars").alias("n"))
+    pieces = folding.with_previous(folding.in_pieces(rows, ["source"], ["doc_id"]), ["source"], ["doc_id"], ["n"])
+    scored = pieces.withColumn("merge_score", F.when(F.col("__previous").isNotNull(), F.col("n") % 7)).withColumn("tokens", F.col("n") % 400)
+    return C.greedy_groups(scored, ["source"], ["doc_id"]).select("source", "doc_id", "chunk")
 
 
 @query()
@@ -216,9 +231,22 @@ def k14_documents(spark, sf):
     return sinks.documents(_blocks(spark, sf).withColumnRenamed("source", "file_name").withColumn("block_id", F.col("doc_id")), ["page_num", "doc_id"])
 
 
+def _names(spark, sf):
+    part = table(spark, sf, "part")
+    return part.select(F.concat_ws(" ", "p_type", "p_name").alias("text")), part.select(F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("text"))
+
+
 @query()
 def j04_similarity_join(spark, sf):
-    a = table(spark, sf, "benchmark").select(F.col("item_id").alias("target_id"), F.col("text").alias("t"))
-    b = a.select(F.col("target_id").alias("source_id"), F.col("t").alias("s"))
-    pairs = a.join(b, (F.col("target_id") < F.col("source_id")) & (M.ratio_bound(F.col("t"), F.col("s")) >= 0.5))
-    return pairs.withColumn("similarity", M.text_similarity("t", "s")).filter("similarity >= 0.5").select("target_id", "source_id", "similarity")
+    """Types with names against types with names and brands, by matched runs of characters."""
+    left, right = _names(spark, sf)
+    return similarity.similar_texts(left, right, 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""WITH a AS (SELECT DISTINCT p_type || ' ' || p_name AS a FROM part), b AS (SELECT DISTINCT p_type || ' ' || p_name || ' ' || p_brand AS b FROM part),
+ca AS (SELECT a, c, count(*) AS n FROM (SELECT a, unnest(string_split(a, '')) AS c FROM a) GROUP BY 1, 2), cb AS (SELECT b, c, count(*) AS n FROM (SELECT b, unnest(string_split(b, '')) AS c FROM b) GROUP BY 1, 2)
+SELECT a, b, round(2.0::DOUBLE * sum(least(ca.n, cb.n)) / (length(a) + length(b)), 6) AS similarity FROM ca JOIN cb USING (c) GROUP BY a, b HAVING 2.0::DOUBLE * sum(least(ca.n, cb.n)) / (length(a) + length(b)) >= 0.8""")
+def j04_equal_characters(spark, sf):
+    """The same by equal characters."""
+    left, right = _names(spark, sf)
+    return similarity.similar_texts(left, right, 0.8, "equal").select("a", "b", F.round("similarity", 6).alias("similarity"))

@@ -10,6 +10,7 @@ from weftline.operators import monitor as L
 from weftline.operators import ranking as R
 from weftline.operators import sets as S
 from weftline.session import table
+from weftline.streaming import jobs, joint
 
 QUERIES, ORACLE = {}, {}
 
@@ -201,10 +202,11 @@ def w13_best_checkpoint(spark, sf):
     return L.best_checkpoint(log, ["user_id"], "value", "loss", "event_id").select("user_id", "event_id", "value")
 
 
-@query("SELECT * FROM (SELECT user_id, CAST(floor(value) AS BIGINT) AS step, arg_max(event_id, event_id) AS event_id FROM events GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY step DESC) <= 20")
+@query("""WITH e AS (SELECT user_id, CAST(floor(value / 60) AS BIGINT) AS step, event_id, lead(CAST(floor(value / 60) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS n, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS m FROM events)
+SELECT user_id, step, event_id FROM e WHERE m IS NULL OR n IS DISTINCT FROM step QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 20""")
 def w16_history(spark, sf):
-    log = table(spark, sf, "events").select("user_id", F.floor("value").cast("long").alias("step"), "event_id", F.col("event_id").alias("at"))
-    return L.history(log, ["user_id"], "step", "at", ["event_id"], 20)
+    log = table(spark, sf, "events").select("user_id", F.floor(F.col("value") / 60).cast("long").alias("step"), "event_id")
+    return L.history(log, ["user_id"], "step", "event_id", [], 20)
 
 
 @query("""WITH o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 3 AS step FROM events), c AS (SELECT *, coalesce(lag(step) OVER (PARTITION BY user_id ORDER BY step), 0) b FROM o)
@@ -236,6 +238,33 @@ def j20_joint_interval_join(spark, sf):
     return L.joint_pairs(rows.filter("event_type = 'click'"), rows.filter("event_type = 'error'"), "user_id", "ts", 3600.0).select("l_event_id", "r_event_id")
 
 
+@query("""WITH e AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events)
+SELECT a.user_id AS key, a.ms AS ms_0, a.event_id AS payload_0, b.ms AS ms_1, b.event_id AS payload_1, c.ms AS ms_2, c.event_id AS payload_2 FROM e a JOIN e b ON a.user_id = b.user_id JOIN e c ON a.user_id = c.user_id
+WHERE a.event_type = 'click' AND b.event_type = 'view' AND c.event_type = 'error' AND greatest(a.ms, b.ms, c.ms) - least(a.ms, b.ms, c.ms) <= 14400000
+AND CASE WHEN 3600000 + (a.ms - b.ms) > 0 THEN 1 ELSE 0 END + 1 + CASE WHEN 1800000 + (b.ms - c.ms) > 0 THEN 1 ELSE 0 END = 2""")
+def j20_three_sources(spark, sf):
+    """Clicks, views and errors of a user within four hours, exactly two of three pairs passing the time matrix."""
+    kinds = F.array(*[F.lit(k) for k in ("click", "view", "error")])
+    rows = table(spark, sf, "events").filter(F.array_contains(kinds, F.col("event_type"))).select("user_id", "ts", "event_id", (F.array_position(kinds, F.col("event_type")) - 1).alias("source"))
+    return joint.joint_rows(rows, [[0, 3600000, -1], [0, 0, 1800000], [0, 0, 0]], 14_400_000, "user_id", "source", "ts", "event_id")
+
+
+@query("""WITH l AS (SELECT user_id, event_id, event_id // 20 + (event_id % 7) * 3 AS s, CASE WHEN event_id % 3 = 0 THEN event_id % 50 END AS lo, CASE WHEN event_id % 5 = 0 THEN event_id % 11 END AS ac FROM events),
+p AS (SELECT *, CAST(floor(s / 1000.0::DOUBLE * 100) AS INTEGER) AS pct FROM l),
+t AS (SELECT *, pct >= coalesce(max(pct) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM p),
+c AS (SELECT user_id, event_id, last_value(CASE WHEN taken THEN pct END IGNORE NULLS) OVER w AS percent, last_value(CASE WHEN taken THEN s END IGNORE NULLS) OVER w AS step, CAST(last_value(lo IGNORE NULLS) OVER w AS DOUBLE) AS loss, CAST(last_value(ac IGNORE NULLS) OVER w AS DOUBLE) AS acc FROM t
+      WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+k AS (SELECT *, max(step // 50) OVER (PARTITION BY user_id ORDER BY event_id) AS reached FROM c),
+n AS (SELECT *, CAST(reached - coalesce(lag(reached) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS INTEGER) AS checkpoints FROM k)
+SELECT CAST(user_id AS VARCHAR) AS job, event_id AS seq, percent, CAST(step AS BIGINT) AS step, loss, acc, checkpoints, CASE WHEN percent >= 100 THEN 'finish' WHEN checkpoints > 0 THEN 'checkpoint' ELSE 'update' END AS kind FROM n""")
+def q19_job_monitor(spark, sf):
+    """Log lines of the users' events, their steps going up and down, parsed and folded."""
+    at, rest = F.col("event_id"), lambda n, m, name: F.when(at % n == 0, F.concat(F.lit(f" {name}="), (at % m).cast("string")))
+    line = F.concat_ws("", F.concat(F.lit("step="), (F.floor(at / 20) + at % 7 * 3).cast("string"), F.lit("/1000")), rest(3, 50, "train_loss"), rest(5, 11, "acc"))
+    lines = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("job"), at.alias("seq"), line.alias("value"))
+    return jobs.job_events(lines, 50).select("job", "seq", "percent", "step", "loss", "acc", F.size("checkpoints").alias("checkpoints"), "kind")
+
+
 @query("""WITH p AS (SELECT user_id, CAST(epoch_ms(max(ts) FILTER (event_type = 'click')) AS BIGINT) a, CAST(epoch_ms(max(ts) FILTER (event_type = 'view')) AS BIGINT) b, CAST(epoch_ms(max(ts) FILTER (event_type = 'error')) AS BIGINT) c FROM events GROUP BY 1)
 SELECT user_id, (CASE WHEN 3600000 + (a - b) > 0 THEN 1 ELSE 0 END) + 1 + (CASE WHEN 7200000 + (b - c) > 0 THEN 1 ELSE 0 END) = 2 AS fires FROM p""")
 def r05_joint_gate(spark, sf):
