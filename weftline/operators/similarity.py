@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -90,10 +91,24 @@ def _prefixes(texts: DataFrame, ratio: float, pairs: bool, counts: np.ndarray) -
     return held.select("text", "n", F.explode(prefix("text")).alias("g")).select("text", "n", "g.gram", "g.place")
 
 
-@F.pandas_udf(T.IntegerType())
-def equal_characters(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Characters that two texts share, each as often as in both."""
-    return pd.Series([(Counter(x) & Counter(y)).total() for x, y in zip(a, b, strict=True)])
+def similarity_of(ratio: float, matched: bool):
+    """A function of two texts: their ratio, or null where it is below ``ratio``; matched runs are looked for only where equal characters allow."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out: list[float | None] = []
+        counts: dict[str, Counter] = {}
+        for x, y in zip(a, b, strict=True):
+            for text in (x, y):
+                if text not in counts:
+                    counts[text] = Counter(text)
+            value = 2.0 * sum(min(n, counts[y][c]) for c, n in counts[x].items()) / (len(x) + len(y))
+            if matched and value >= ratio - 1e-12:
+                value = SequenceMatcher(None, x, y).ratio()
+            out.append(value if value >= ratio else None)
+        return pd.Series(out, dtype="Float64")
+
+    return run
 
 
 def _met(sides: list[DataFrame], ratio: float, pairs: bool) -> DataFrame:
@@ -122,7 +137,6 @@ def similar_texts(left: DataFrame, right: DataFrame, ratio: float, measure: str
         met = _met(sides, ratio, False)
     # Pairs are few bytes but much work: as many tasks as the session has, not as many as the bytes suggest.
     tasks = max(met.sparkSession.sparkContext.defaultParallelism, int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = met.repartition(tasks, "a", "b").distinct().withColumn("equal", 2.0 * equal_characters("a", "b") / (F.length("a") + F.length("b"))).filter(F.col("equal") >= ratio - 1e-12)
-    found = found.withColumn("similarity", M.text_similarity("a", "b") if measure == "matched" else F.col("equal")).filter(F.col("similarity") >= ratio)
+    found = met.repartition(tasks, "a", "b").distinct().withColumn("similarity", similarity_of(ratio, measure == "matched")("a", "b")).filter("similarity IS NOT NULL")
     empty = sides[0].filter("text = ''").join(sides[1].filter("text = ''"), "text").select(F.col("text").alias("a"), F.col("text").alias("b"), F.lit(1.0).alias("similarity"))
     return found.select("a", "b", "similarity").unionByName(empty)
