@@ -1,8 +1,10 @@
 """Surrogates for personal data and secrets.
 
 Entities are found by pattern (e-mail, phone, IPv4 address, card, IBAN, US
-social security number, access key, quoted token, password, and persons named
-after a title) and replaced by keyed surrogates of their own type. Every
+social security number, IPv6 and MAC address, access key, quoted token, password
+also in an address, bearer token, private key, and persons: after a title or an
+introduction, by a known given name before a capitalised word, or by an e-mail
+address of first and last name) and replaced by keyed surrogates of their own type. Every
 surrogate comes from a permutation of the set of strings with the entity's
 format: characters keep their class (digits of a script, its vowels and
 consonants, case), separators and lengths stay, card and IBAN check digits and
@@ -20,8 +22,9 @@ if there are any.
 A given name is replaced by one of its own script and gender, as the lists have
 it, whatever title stands before it: one name, one surrogate.
 
-Texts without a digit, ``@``, ``=``, title, access key or secret's name before
-a colon pass unchanged and never leave the JVM. A null text stays null, an empty one empty; repeated rows are
+Texts without a digit, ``@``, ``=``, title, introduction, two capitalised words in
+a row, access key or secret's name before a colon pass unchanged and never leave
+the JVM. A null text stays null, an empty one empty; repeated rows are
 replaced alike; an empty table gives an empty result. Parts of one text are
 replaced left to right, of those that begin together the longer first and then
 the earlier pattern. Entities of any length are replaced whole, in texts of any
@@ -51,8 +54,14 @@ PIECE = 200
 
 #: Fixed lists: given names by script and gender.
 GIVEN = {
-    ("latin", "m"): "James John Robert Michael David Thomas Daniel Paul Peter Andreas Stefan Jürgen Pierre Louis Henri Antoine Carlos Juan Luis Miguel".split(),
-    ("latin", "f"): "Mary Anna Laura Sarah Emma Julia Claire Marie Sophie Camille Ursula Petra Sabine Heike Carmen Lucía Elena Isabel Rosa Teresa".split(),
+    ("latin", "m"): (
+        "James John Robert Michael David Thomas Daniel Paul Peter William Richard Joseph Charles Christopher Matthew Anthony Steven Andrew Kenneth George Kevin Brian Edward Ronald Timothy Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin Scott"
+        " Andreas Stefan Jürgen Klaus Wolfgang Hans Uwe Matthias Markus Pierre Louis Henri Antoine Jacques Olivier Laurent Mathieu Carlos Juan Luis Miguel Javier Fernando Pablo Diego"
+    ).split(),
+    ("latin", "f"): (
+        "Mary Anna Laura Sarah Emma Julia Claire Marie Sophie Camille Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Karen Nancy Lisa Margaret Sandra Ashley Kimberly Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen Amy"
+        " Ursula Petra Sabine Heike Monika Renate Brigitte Ingrid Isabelle Nathalie Sylvie Valérie Hélène Carmen Lucía Elena Isabel Rosa Teresa Pilar Dolores Marta Beatriz"
+    ).split(),
     ("cyrillic", "m"): "Иван Пётр Алексей Сергей Дмитрий Николай Андрей Михаил".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(),
     ("greek", "m"): "Γιώργος Νίκος Δημήτρης Κώστας Γιάννης Πέτρος".split(),
@@ -69,24 +78,41 @@ SURNAME_ENDINGS = ("ская", "ский", "ова", "ева", "ина", "ов",
 _CLASS = {c: a for a in ALPHABETS for c in a}
 
 _NAME = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
+_WORD = re.compile(_NAME)
 PATTERNS = {
     "email": re.compile(r"(?<![\w.+-])[\w+-][\w.+-]*+@(?:[\w-]+\.)+[^\W\d_]{2,}+(?![\w-])"),
-    "token": re.compile(r"(?i:\b(?:token|secret|api[_-]?key|apikey|auth|passwd|pwd)\b\s{0,4}[=:]\s{0,4}\")([^\s\"]{8,}+)(?=\")"),
-    "password": re.compile(r"(?i:\b(?:password|passwd|pwd|secret|api[_-]?key)\s{0,4}[=:]\s{0,4})([^\s\"'&*%$#|<>!,;]{6,}+)"),
+    # A secret's name may be part of a longer one, as in AWS_SECRET_KEY, and quoted, as in JSON.
+    "token": re.compile(r"(?i:(?<![a-z0-9])(?:token|secret|api[_-]?key|auth|password|passwd|pwd)(?:[_-]\w+)?[\"'`]?\s*+[=:]\s*+)(?:\"([^\"\n]{4,}+)\"|'([^'\n]{4,}+)'|`([^`\n]{4,}+)`)"),
+    "password": re.compile(r"(?i:(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)(?:[_-]\w+)?\s*+[=:]\s*+)([^\s\"'`&*%$#|<>!,;]{6,}+)"),
+    "bearer": re.compile(r"(?i:(?<![a-z0-9])bearer\s++)(?=[\w.~+/=-]*\d)([\w.~+/=-]{8,}+)"),
+    "url_password": re.compile(r"://[^/\s:@]++:([^/\s@]++)@"),
+    "private_key": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----([^-]++)-----END"),
     "access_key": re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)([A-Z0-9]{16})(?![A-Za-z0-9])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "card": re.compile(r"(?<![\w.+-])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{13})(?![\w-])"),
     "ssn": re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"),
+    "ipv6": re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,7}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*+)?|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*+)(?![\w:])"),
+    "mac": re.compile(r"(?<![\w:-])[0-9A-Fa-f]{2}([:-])(?:[0-9A-Fa-f]{2}\1){4}[0-9A-Fa-f]{2}(?![\w:-])"),
     "phone": re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}([-.])\d{3}\1\d{4})(?![\w-])"),
     "person": re.compile(rf"(?<!\w)({'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})\s+({_NAME}(?: {_NAME}){{0,2}})"),
 }
-#: What a text must hold to be searched, in the regular expressions of the JVM.
-SUSPECT = r"[0-9@=\p{Nd}]|(?=[" + "".join(sorted({t[0] for t in TITLES})) + r"])(?:" + "|".join(sorted(map(re.escape, TITLES))) + ")"
+#: Fixed list: words that introduce a person, whatever the name.
+CUES = (
+    r"[Mm]y name is|[Mm]ein Name ist|[Ii]ch heiße|[Jj]e m['’]appelle|[Mm]e llamo|[Mm]i nombre es|[Мм]еня зовут|[Μμ]ε λένε|[Ss]igned by|[Ss]igned:|[Ss]incerely,|[Rr]egards,|[Yy]ours truly,|[Ff]reundlichen Grüßen,?|[Cc]ordialement,|[Aa]tentamente,"
+)
+SECRETS = ("token", "password", "access_key", "bearer", "url_password", "private_key")
+PERSONS = {
+    "introduced": re.compile(rf"(?<!\w)(?:{CUES})\s+({_NAME}(?: {_NAME}){{0,3}})"),
+    "named": re.compile(rf"(?<!\w)({_NAME})(?= {_NAME})"),
+}
+#: What a text must hold to be searched, in the regular expressions of the JVM; two capitalised words may be a name.
+SUSPECT = r"[0-9@=\p{Nd}]|::|-----BEGIN|\p{Lu}[\p{L}'’-]+ \p{Lu}\p{L}|(?<!\p{L})(?:" + CUES + r")|(?<![\p{L}\p{Nd}])[A-Fa-f]{2}[:-][A-Fa-f]{2}[:-]|(?=[" + "".join(sorted({t[0] for t in TITLES})) + r"])(?:" + "|".join(sorted(map(re.escape, TITLES))) + ")"
 #: A secret may also stand after a colon or an access key's first letters, without any of these.
-SECRET_WORD = r"(?:token|secret|api[_-]?key|auth|passwd|pwd|password)[^\p{L}\p{Nd}]{0,4}:"
+SECRET_WORD = r"(?:token|secret|api[_-]?key|auth|passwd|pwd|password)(?:[_-][\p{L}\p{Nd}_]+)?[^\p{L}\p{Nd}]*:"
 ACCESS_KEYS = ("AKIA", "ASIA")
-_SECRET_WORD = re.compile(SECRET_WORD.replace(r"[^\p{L}\p{Nd}]", r"[\W_]"), re.I)
+_MAC = re.compile(r"(?<![^\W_])[A-Fa-f]{2}[:-][A-Fa-f]{2}[:-]")
+_SECRET_WORD = re.compile(SECRET_WORD.replace(r"[^\p{L}\p{Nd}]", r"[\W_]").replace(r"[\p{L}\p{Nd}_]", r"\w"), re.I)
 
 
 def _mac(key: str, *parts: object) -> int:
@@ -244,6 +270,13 @@ def _chained(text: str, key: str, own: list[str]) -> str:
     return "".join(out)
 
 
+def _hexadecimal(text: str, key: str) -> str:
+    """Digits for digits, letters for letters of their case; a first group of a reserved range (f...) stays."""
+    kept = len(text.split(":")[0]) if text[:1] in "fF" and text.count(":") and "-" not in text and len(text.split(":")[0]) == 4 else 0
+    own = [c if i < kept else "0123456789" if c.isdigit() else "abcdef" if c in "abcdef" else "ABCDEF" if c in "ABCDEF" else c for i, c in enumerate(text)]
+    return reshaped(text, key, "hex", own)
+
+
 def script(word: str) -> str:
     name = unicodedata.name(word[0], "LATIN")
     return "cyrillic" if name.startswith("CYRILLIC") else "greek" if name.startswith("GREEK") else "latin"
@@ -271,7 +304,7 @@ def person_word(word: str, key: str) -> str:
 
 @lru_cache(maxsize=20_000)
 def surrogate(kind: str, text: str, key: str = KEY) -> str:
-    own = {"email": _email, "card": _card, "iban": _iban, "ip": _ip, "phone": _phone, "token": _secret, "password": _secret, "access_key": _secret, "person": person_word}
+    own = {"email": _email, "card": _card, "iban": _iban, "ip": _ip, "phone": _phone, "ipv6": _hexadecimal, "mac": _hexadecimal, **dict.fromkeys(SECRETS, _secret), "person": person_word}
     return own[kind](text, key) if kind in own else reshaped(text, key, kind)
 
 
@@ -283,7 +316,7 @@ def _own_check(iban: str) -> bool:
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of what is replaced, in order and apart from each other."""
     found: list[tuple[int, int, str]] = []
-    if any(c.isdigit() for c in text) or "@" in text or "=" in text or any(k in text for k in ACCESS_KEYS) or ":" in text and _SECRET_WORD.search(text):
+    if any(c.isdigit() for c in text) or "@" in text or "=" in text or "-----BEGIN" in text or any(k in text for k in ACCESS_KEYS) or ":" in text and _SECRET_WORD.search(text) or _MAC.search(text):
         for kind, pattern in PATTERNS.items():
             if kind == "person" or kind == "email" and "@" not in text:
                 continue
@@ -292,14 +325,32 @@ def entities(text: str) -> list[tuple[int, int, str]]:
                     continue
                 if kind == "card" and len(re.sub(r"\D", "", m[0])) == 15 and _luhn(m[0][:-1]) != int(m[0][-1]):
                     continue
-                group = 1 if kind in ("token", "password", "access_key") else 0
+                if kind == "ipv6" and not any(c.isdigit() for c in m[0]):
+                    continue  # words of code, rather
+                group = m.lastindex if kind in SECRETS else 0
                 found.append((m.start(group), m.end(group), kind))
     names: dict[str, None] = {}
-    for m in PATTERNS["person"].finditer(text):
-        for word in m[2].split(" "):
+
+    def add(words: list[str]) -> None:
+        for word in words:
             if not word[0].isupper() or len(word) < 2:
                 break
             names[word] = None
+
+    for pattern, group in ((PATTERNS["person"], 2), (PERSONS["introduced"], 1)):
+        for m in pattern.finditer(text):
+            add(m[group].split(" "))
+    if " " in text:
+        for m in PERSONS["named"].finditer(text):  # a known given name before another capitalised word
+            if m[1] in LISTED:
+                after = _WORD.match(text, m.end() + 1)[0]
+                if after[0].isupper() and len(after) > 1 and not after.isupper():
+                    add([m[1], after])
+    for start, _, kind in list(found):
+        if kind == "email":  # Robert Brown, as robert.brown@...
+            parts = [p for p in re.split(r"[._-]", text[start:].split("@", 1)[0]) if len(p) > 1 and p.isalpha()]
+            if len(parts) == 2 and (full := re.search(rf"(?<!\w){re.escape(parts[0].capitalize())} {re.escape(parts[1].capitalize())}(?!\w)", text)):
+                add(full[0].split(" "))
     if names:  # later mentions without the title are the same person
         for m in re.finditer(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, names), key=len, reverse=True))})(?!\w)", text):
             found.append((m.start(), m.end(), "person"))
