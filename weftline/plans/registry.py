@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("cleaning", "relational", "protocol", "knowledge", "generation", "records")
+MODULES: tuple[str, ...] = ("cleaning", "relational", "protocol", "knowledge", "generation", "records", "generated")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
