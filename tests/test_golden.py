@@ -140,11 +140,12 @@ def test_cleaning_is_linear(spark):
 
 def test_nearest_blocks_agree(spark, monkeypatch):
     import numpy as np
+    from weftline.operators import vectors
 
     x = np.random.default_rng(1).normal(size=(60, 4))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
-    monkeypatch.setattr(metrics, "QUERIES", 3)
-    got = {(r["query_id"], r["rank"]): r["hit_id"] for r in metrics.nearest(rows, rows.filter("i % 10 = 0"), "i", "v", 4).collect()}
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    got = {(r["query_id"], r["rank"]): r["hit_id"] for r in vectors.nearest(rows, rows.filter("i % 10 = 0"), "i", "v", 4).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     for q in range(0, 60, 10):
         order = [int(i) for i in np.argsort(-(u @ u[q]), kind="stable") if i != q][:4]

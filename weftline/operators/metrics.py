@@ -3,17 +3,11 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
-from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
-
-QUERIES = 1000
 
 
 def numeric_similarity(a: Column, b: Column) -> Column:
@@ -86,46 +80,3 @@ def case_score(correctness: Column, conversion_rate: Column, fragment_hits: Colu
     of = lambda c: F.coalesce(c, F.lit(0.0))
     less = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0.0)
     return of(correctness) * 0.6 + of(conversion_rate) * 0.3 + of(fragment_hits) * 0.1 - less(extraction_error, 20.0) - less(source_incomplete, 50.0)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
-    """Exact cosine top-k of each query row against all other rows.
-
-    Every Arrow batch of vectors meets a block of at most QUERIES queries as one matrix product and keeps its own k
-    best a query; a query that has more blocks is never needed, so only k rows a query and batch are shuffled. The
-    queries are a stated set, collected block by block; further blocks are further passes.
-    """
-    from weftline.operators.ranking import top_k
-
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("vector")).withColumn("block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / QUERIES))
-    schema = T.StructType([T.StructField("query_id", vectors.schema[id_col].dataType), T.StructField("hit_id", vectors.schema[id_col].dataType), T.StructField("similarity", T.DoubleType())])
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).filter("vector IS NOT NULL")
-    n_blocks = -(-queries.count() // QUERIES)
-    parts = [rows.mapInPandas(_near(asked.filter(F.col("block") == b).filter("vector IS NOT NULL").drop("block").collect(), k), schema) for b in range(n_blocks)]
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    return top_k(reduce(DataFrame.unionByName, parts), ["query_id"], [F.desc("similarity"), F.asc("hit_id")], k)
-
-
-def _near(asked: list, k: int):
-    ids, held = [r["query_id"] for r in asked], np.array([r["vector"] for r in asked], dtype=np.float64)
-
-    def unit(x: np.ndarray) -> np.ndarray:
-        return x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1.0)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(ids) or batch.empty:
-                continue
-            own, score = batch["id"].to_numpy(), unit(held) @ unit(np.stack(batch["vector"])).T
-            score[np.array(ids)[:, None] == own[None, :]] = -np.inf
-            score = np.round(score, 12)
-            out = []
-            for i, s in enumerate(score):
-                edge = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-                near = np.flatnonzero((s >= edge) & (s > -np.inf))
-                near = near[np.lexsort((own[near], -s[near]))][:k]
-                out.append(pd.DataFrame({"query_id": ids[i], "hit_id": own[near], "similarity": s[near]}))
-            yield pd.concat(out)
-
-    return run

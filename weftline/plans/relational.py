@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline import storage
 from weftline.operators import metrics as M
 from weftline.operators import monitor as L
 from weftline.operators import ranking as R
 from weftline.operators import sets as S
+from weftline.operators import vectors as V
 from weftline.session import table
 from weftline.streaming import jobs, joint
 
@@ -186,7 +190,20 @@ def a14_conversion_rates(spark, sf):
 @query("SELECT * FROM (SELECT a.vec_id query_id, b.vec_id hit_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE rank <= 5")
 def j23_vector_top_k(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return M.nearest(rows, rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", 5).select("query_id", "hit_id", "rank")
+    return V.nearest(rows, rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", 5).select("query_id", "hit_id", "rank")
+
+
+@query("SELECT * FROM (SELECT a.vec_id query_id, b.vec_id hit_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM (SELECT * FROM embeddings WHERE vec_id % 7 <> 1 OR vec_id % 14 = 1) a JOIN (SELECT * FROM embeddings WHERE vec_id % 7 <> 1 OR vec_id % 14 = 1) b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE rank <= 5")
+def q17_vector_store(spark, sf):
+    """The same through a store: half of the rows appended, ids 1 modulo 7 deleted, those 1 modulo 14 inserted again; every list is read."""
+    rows, path = table(spark, sf, "embeddings").select("vec_id", "embedding"), f"{storage.shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    V.create(rows.filter("vec_id % 2 = 0"), path, "vec_id", "embedding", 64)
+    V.insert(rows.filter("vec_id % 2 = 1"), path, "vec_id", "embedding")
+    V.delete(rows.filter("vec_id % 7 = 1").select("vec_id"), path)
+    V.insert(rows.filter("vec_id % 14 = 1"), path, "vec_id", "embedding")
+    asked = rows.filter("vec_id % 100 = 0 AND (vec_id % 7 <> 1 OR vec_id % 14 = 1)")
+    return V.search(asked, path, "vec_id", "embedding", 5, probes=64).select("query_id", "hit_id", "rank")
+
 
 
 @query("SELECT event_id, user_id, last_value(CASE WHEN value > 100 THEN value END IGNORE NULLS) OVER w AS carried, max(value) OVER w AS progress FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
