@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import extraction as E
+from weftline.operators import evidence
 from weftline.operators import knowledge as K
 from weftline.session import table
 
@@ -58,3 +59,15 @@ SELECT upper(regexp_replace(s_name, '_?\\d+$', '')) AS concept, count(*) AS inst
 def p11_concept_groups(spark, sf):
     rows = table(spark, sf, "supplier").select(F.col("s_name").alias("field_name"), F.col("s_suppkey").alias("ordinal"), F.lit(None).cast("string").alias("description"), F.col("s_nationkey").alias("bit_length"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("default_value"))
     return K.concept_groups(rows).select("concept", F.size("instances").cast("long").alias("instances"), "default_value")
+
+
+@query("""WITH t AS (SELECT DISTINCT p_name AS task_id, upper(split_part(p_name, ' ', 1)) AS f, upper(split_part(p_name, ' ', 2)) AS s FROM part),
+d AS (SELECT doc_id, doc_id % 2 AS odd, coalesce(source, '') AS title, upper(coalesce(source, '') || chr(10) || coalesce(text, '')) AS x FROM documents),
+m AS (SELECT task_id, doc_id, title, CAST(CASE odd WHEN 0 THEN 12.0 ELSE 10.0 END AS DOUBLE) AS score FROM t JOIN d ON contains(x, CASE odd WHEN 0 THEN f ELSE s END))
+SELECT task_id, doc_id AS snippet_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, title, doc_id) AS rank FROM m) WHERE rank <= 6""")
+def j21_task_evidence(spark, sf):
+    """Whole documents as snippets, by turns of a target and of a source, for parts whose names are a field and its source."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("snippet_id"), F.when(F.col("doc_id") % 2 == 0, "target").otherwise("source").alias("role"), F.lit(None).cast("string").alias("query"), F.col("source").alias("title"), F.col("text").alias("content"), F.lit(0.0).alias("score"))
+    word = lambda k: F.split("p_name", " ")[k]
+    tasks = table(spark, sf, "part").select(F.col("p_name").alias("task_id"), word(0).alias("field_name"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("array<string>").alias("path_parts"), F.array(word(1)).alias("candidates")).distinct()
+    return evidence.task_evidence(docs, tasks)
