@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions import printer
+from weftline.functions import printer, registered
 from weftline.operators import payload
 from weftline.session import table
 
@@ -43,3 +43,11 @@ def q20_conversions(spark, sf):
     rules = table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("target_protocol"), F.col("p_name").alias("target_field"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("f"), F.col("p_size").cast("string"))).otherwise("value * 2").alias("formula"), source.alias("sources"))
     made = payload.conversions(rules, ["p_partkey"])
     return made.select("name", "mode", "target_protocol", F.array_join(F.transform("rules", lambda r: F.concat(r["target_field"], F.lit("="), r["formula"], F.lit(":"), r["rule_type"])), ";").alias("rules"))
+
+
+@query("""WITH n AS (SELECT event_type, user_id % 40 AS u, count(*) AS c FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY c DESC, CAST(u AS VARCHAR)) AS k FROM n)
+SELECT event_type, string_agg(CAST(u AS VARCHAR), ',' ORDER BY k) AS users FROM r WHERE k <= 3 GROUP BY 1""")
+def u07_registered_aggregate(spark, sf):
+    """The three most frequent groups of users of each kind of event, by a registered aggregate."""
+    rows = table(spark, sf, "events").select("event_type", (F.col("user_id") % 40).cast("string").alias("u"))
+    return registered.aggregated(rows, ["event_type"], "first_values", "u", "users").select("event_type", F.array_join("users", ",").alias("users"))
