@@ -21,14 +21,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from weftline.storage import stored
+from weftline.storage import discard, stored
 
 PIECE = "__piece"
 
 
 def in_pieces(rows: DataFrame, keys: list[str], order: list[str], name: str = "pieces") -> DataFrame:
     """rows with __piece, stored: pieces are ranges of (keys, order) in order of their numbers. keys and order together name a row."""
-    return stored(rows.repartitionByRange(*keys, *order).withColumn(PIECE, F.spark_partition_id()), name)
+    # Ranges are found by a pass over the rows; stored first, they are worked out once.
+    once = stored(rows, f"{name}-rows")
+    pieces = stored(once.repartitionByRange(*keys, *order).withColumn(PIECE, F.spark_partition_id()), name)
+    discard(once)
+    return pieces
 
 
 def with_previous(pieces: DataFrame, keys: list[str], order: list[str], columns: list[str], out: str = "__previous") -> DataFrame:

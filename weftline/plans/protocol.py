@@ -80,7 +80,10 @@ def _blocks(spark, sf):
 
 def _grouped(spark, sf):
     blocks, keys, order = _blocks(spark, sf), ["source"], ["page_num", "doc_id"]
-    grouped = C.greedy_groups(C.merge_scores(C.block_features(blocks).drop("content"), keys, order), keys, order)
+    # Features are costly: a table of fewer splits than the session has cores is spread over them first.
+    cores = spark.sparkContext.defaultParallelism
+    spread = blocks.repartition(cores) if blocks.rdd.getNumPartitions() < cores else blocks
+    grouped = C.greedy_groups(C.merge_scores(C.block_features(spread).drop("content"), keys, order), keys, order)
     return grouped.join(blocks.select(*keys, *order, "content"), [*keys, *order])
 
 
