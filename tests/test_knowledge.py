@@ -39,3 +39,15 @@ def test_graph_and_resolution(spark):
     templates = spark.createDataFrame([("J1.2", ["a"]), ("J2", ["b"]), ("default", ["c"])], "template string, fields array<string>")
     assert {r["message"]: r["template"] for r in K.schema_of(messages, templates).collect()} == {"J1.2": "J1.2", "J2.0": "J2", "Q": "default"}
     assert [r["reference"] for r in K.unknown_references(rules, spark.createDataFrame([("a",)], "field_name string")).collect()] == ["B"]
+
+
+def test_scores_of_messages_broadcast_no_side(spark):
+    """Messages grow with the data, so their joins are shuffled, also where the planner takes a side for small."""
+    from weftline.operators import evaluation as V
+
+    rows = spark.range(50).selectExpr("id AS message_id", "'F' AS field_name", "string(id) AS value")
+    weights = rows.select("message_id", "field_name").selectExpr("*", "2.0D AS weight").filter("message_id < 5")
+    scores = V.field_scores(rows.filter("message_id % 2 = 0"), rows, weights)
+    for found in (V.message_scores(scores, rows), V.trace_summary(scores, rows)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 50

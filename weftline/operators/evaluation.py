@@ -27,7 +27,7 @@ def expected_fields(reference: DataFrame, weights: DataFrame | None = None) -> D
     if weights is None:
         return own
     given = weights.select("message_id", _name(F.col("field_name")).alias("field_name"), F.col("weight").cast("double").alias("weight")).filter("field_name <> ''")
-    return given.unionByName(own.join(given.select("message_id").distinct(), "message_id", "left_anti"))
+    return given.unionByName(own.join(given.select("message_id").distinct().hint("merge"), "message_id", "left_anti"))
 
 
 def _name(c: Column) -> Column:
@@ -40,9 +40,11 @@ def field_scores(converted: DataFrame, reference: DataFrame, weights: DataFrame
     Where both values are numbers, meaning is .4 of the texts' and .6 of the numbers' likeness. Correctness is .20
     presence, .20 exactness, .35 meaning, .25 reranked likeness (meaning without a reranker). Loss is the rest, at
     least the numbers' unlikeness; all of it where the field is missing.
+
+    Messages grow with the data, but values made from a few bytes of a file look small to the planner: no side is broadcast.
     """
     of = lambda rows, name: rows.select("message_id", _name(F.col("field_name")).alias("field_name"), F.col("value").alias(name))
-    rows = expected_fields(reference, weights).join(of(reference, "reference_value"), ["message_id", "field_name"], "left").join(of(converted, "converted_value"), ["message_id", "field_name"], "left")
+    rows = expected_fields(reference, weights).join(of(reference, "reference_value").hint("merge"), ["message_id", "field_name"], "left").join(of(converted, "converted_value").hint("merge"), ["message_id", "field_name"], "left")
     c = F.col
     plain = lambda v: X.strip(F.coalesce(v, F.lit("")))
     present = c("converted_value").isNotNull()
@@ -66,16 +68,16 @@ def message_scores(scores: DataFrame, converted: DataFrame) -> DataFrame:
         F.round(F.count_if("exact_match") * 100.0 / F.greatest(F.count("*"), F.lit(1)), 4).alias("conversion_rate"), F.count("*").alias("expected_field_count"), F.count_if("exact_match").alias("matched_field_count"),
         F.array_sort(F.collect_list(F.when(~F.col("present"), F.col("field_name")))).alias("missing_fields"),
     )
-    stray = converted.select("message_id", _name(F.col("field_name")).alias("field_name")).join(scores.select("message_id", "field_name"), ["message_id", "field_name"], "left_anti")
+    stray = converted.select("message_id", _name(F.col("field_name")).alias("field_name")).join(scores.select("message_id", "field_name").hint("merge"), ["message_id", "field_name"], "left_anti")
     stray = stray.groupBy("message_id").agg(F.array_sort(F.collect_set("field_name")).alias("unexpected_fields"))
-    return own.join(stray, "message_id", "left").withColumn("unexpected_fields", F.coalesce("unexpected_fields", F.array().cast("array<string>")))
+    return own.join(stray.hint("merge"), "message_id", "left").withColumn("unexpected_fields", F.coalesce("unexpected_fields", F.array().cast("array<string>")))
 
 
 def trace_summary(scores: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """The twelve figures of a message's trace (A30); rules (message_id, field_name) are those that were hit."""
     hit = F.lit(False)
     if rules is not None:
-        scores = scores.join(rules.select("message_id", _name(F.col("field_name")).alias("field_name"), F.lit(True).alias("__hit")).distinct(), ["message_id", "field_name"], "left")
+        scores = scores.join(rules.select("message_id", _name(F.col("field_name")).alias("field_name"), F.lit(True).alias("__hit")).distinct().hint("merge"), ["message_id", "field_name"], "left")
         hit = F.coalesce(F.col("__hit"), F.lit(False))
     n = F.greatest(F.count("*"), F.lit(1))
     counts = {"covered_field_count": F.col("present"), "conversion_success_count": F.col("exact_match"), "high_confidence_count": F.col("field_correctness_score") >= 80, "low_loss_count": F.col("information_loss_score") <= 20, "rule_hit_count": hit}
