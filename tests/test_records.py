@@ -39,3 +39,17 @@ def test_settings_and_files(spark):
     assert [r["block_id"] for r in R.block_subset(blocks, ["a "], []).collect()] == [2, 1] and R.block_subset(blocks, [], [3]).count() == 1
     m = one(spark, R.best_metric({"final_loss": F.lit(0.5), "acc": F.lit(0.9)}).alias("m"))["m"]
     assert tuple(m) == (0.5, 0.9)
+
+
+def test_ties_of_merged_fields_go_to_the_first_row_of_the_table(spark, tmp_path):
+    """Lines of one order, number and quantity: the first file's hold, though Spark reads the larger file first."""
+    from weftline.plans.records import o03_merged_fields
+
+    schema = "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string"
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    for name, rows in (("a", [(k, 1, 5.0, "A") for k in range(20)]), ("b", [(k % 20, 1, 5.0, "R") for k in range(4000)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
+        next((tmp_path / name).glob("*.parquet")).rename(folder / f"{name}.parquet")
+    got = {(r["k"], r["field_name"]) for r in o03_merged_fields(spark, str(tmp_path)).collect()}
+    assert got == {(k, "A") for k in range(20)}

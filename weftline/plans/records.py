@@ -54,7 +54,9 @@ SELECT k, position, field_name, bit_start, 'rule' AS origin FROM a UNION ALL SEL
 def o03_merged_fields(spark, sf):
     from weftline.operators.ranking import first_of
 
-    lines = first_of(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), ["l_orderkey", "l_linenumber"], [F.asc("l_quantity")])
+    # Lines of one number may have one quantity, too, and other flags: the first in the table holds.
+    place = [F.col(f"_metadata.{c}").alias(f"__{c}") for c in ("file_path", "row_index")]
+    lines = first_of(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", *place), ["l_orderkey", "l_linenumber"], [F.asc_nulls_last("l_quantity"), F.asc("__file_path"), F.asc("__row_index")])
     rows = lines.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("position"), F.col("l_returnflag").alias("field_name"), (F.col("l_quantity").cast("int") % 5).alias("bit_start"), F.lit(None).cast("int").alias("bit_length"))
     more = rows.filter("position > 2").withColumn("field_name", F.lower("field_name"))
     return R.merged_fields(rows.filter("position <= 2"), more, "k").drop("bit_length")
