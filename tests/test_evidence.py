@@ -57,3 +57,15 @@ def test_candidates_come_once(spark):
     tree = spark.createDataFrame([("a", "T", "one"), ("a", "T", " ")], "path string, title string, snippet string")
     raw = spark.createDataFrame([("a", "Other", "one"), ("b", "B", "one")], tree.schema)
     assert sorted(tuple(r) for r in evidence.candidates(tree, raw).collect()) == [("a", "T", "one"), ("b", "B", "one")]
+
+
+def test_runs_of_characters_are_numbers():
+    """Different runs have different numbers, of characters beyond 16 bits and NUL too; each is given once."""
+    from weftline.operators.evidence import grams
+
+    for text in ("", "ab", "abcabcab", "a\0b\0\0a\0b", "x😀y😀xé一", "\U0010ffff\0\U0010ffff\0"):
+        for size in (1, 2, 3):
+            runs = {text[i : i + size] for i in range(len(text) - size + 1)}
+            numbers = {r: grams(r, size).tolist() for r in runs}
+            assert all(len(n) == 1 for n in numbers.values()) and len({n[0] for n in numbers.values()}) == len(runs)
+            assert sorted(grams(text, size).tolist()) == sorted(n[0] for n in numbers.values())

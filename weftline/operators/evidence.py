@@ -11,16 +11,20 @@ tasks share them.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import names as N
 from weftline.functions import text as X
+from weftline.operators.batches import in_slices
 from weftline.operators.ranking import top_k
 
 GRAM = 3
+#: Runs of up to so many names that texts are asked for are broadcast to the texts.
+BROADCAST_TERMS = 100_000
 #: What a query that is a name and a text that holds one are worth.
 WORTH = {"target": (20.0, 12.0), "source": (18.0, 10.0)}
 #: A frequent run of characters is divided over so many tasks.
@@ -43,25 +47,43 @@ def task_terms(tasks: DataFrame) -> DataFrame:
     return rows.select("task_id", "role", F.explode(F.array("n", N.family(F.col("n")))).alias("term")).filter("term <> ''").distinct()
 
 
-def _grams(size: int):
-    """A function of a text: its different runs of ``size`` characters."""
+def grams(text: str, size: int) -> np.ndarray:
+    """The different runs of ``size`` (3 at most) characters of a text, each as one number: 21 bits a character."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+    n = len(points) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    out = points[:n]
+    for k in range(1, size):
+        out = (out << 21) | points[k : n + k]
+    return np.unique(out)
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([list({t[i : i + size] for i in range(len(t) - size + 1)}) for t in texts])
 
-    return run
+def _runs(rows: DataFrame, keys: list[str], text: str, size: int) -> DataFrame:
+    """keys and gram (a number), a row each different run of ``size`` characters of a text."""
+    schema = T.StructType([*(rows.schema[c] for c in keys), T.StructField("gram", T.LongType())])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [grams(t, size) if t is not None else np.zeros(0, np.int64) for t in batch.column(text).to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(found)), [len(g) for g in found]))
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keys), pa.array(np.concatenate(found))], [*keys, "gram"])
+
+    return in_slices(rows.select(*dict.fromkeys([*keys, text])), run, schema)
 
 
 def holding(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """id, role, term of each term that a text of the same role holds; texts: id, role, text; terms: role, term, each once."""
-    runs = texts.select("id", "role", F.explode(_grams(GRAM)("text")).alias("gram"))
+    runs = _runs(texts, ["id", "role"], "text", GRAM)
     short = texts.join(terms.filter(F.length("term") < GRAM).select("role").distinct(), "role", "left_semi")
+    each = _runs(terms.filter(F.length("term") >= GRAM), ["role", "term"], "term", GRAM)
     for size in range(1, GRAM):
-        runs = runs.unionByName(short.select("id", "role", F.explode(_grams(size)("text")).alias("gram")))
+        runs = runs.unionByName(_runs(short, ["id", "role"], "text", size))
+        each = each.unionByName(_runs(terms.filter(F.length("term") == size), ["role", "term"], "term", size))
+    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        # Runs of no name are left out before they are shuffled.
+        runs = runs.join(F.broadcast(each.select("gram").distinct()), "gram", "left_semi")
     frequent = runs.groupBy("gram").agg(F.count("*").alias("n"))
-    whole = terms.withColumn("grams", F.when(F.length("term") < GRAM, F.array("term")).otherwise(_grams(GRAM)("term")))
-    each = whole.select("role", "term", F.size("grams").alias("wanted"), F.explode("grams").alias("gram"))
+    each = each.join(each.groupBy("role", "term").agg(F.count("*").alias("wanted")), ["role", "term"])
     filed = each.join(frequent, "gram").groupBy("role", "term", "wanted").agg(F.count("*").alias("found"), F.min_by(F.struct("gram", "n"), F.struct("n", "gram")).alias("g"))
     # A term one of whose runs occurs nowhere is in no text.
     filed = filed.filter(F.col("found") == F.col("wanted")).select("role", "term", F.col("g.gram").alias("gram"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
