@@ -58,3 +58,13 @@ def test_deleted_ids_go_and_come_back(spark, store):
     V.insert(table.filter(F.col("id") == first[0]), path, "id", "v")
     assert hits(V.search(asked, path, "id", "v", 3, 64))[7] == first
     assert V.present(spark, path).count() == 4000
+
+
+def test_queries_meet_a_block_few_at_a_time(spark, monkeypatch):
+    """A bound on the similarities held at once changes nothing in the result."""
+    rows = spark.range(300).selectExpr("id", "array(sin(id), cos(id * 3D), double(id % 7 - 3)) AS v")
+    asked = rows.filter("id % 4 = 0")
+    want = sorted(map(tuple, V.nearest(rows, asked, "id", "v", 6).collect()))
+    monkeypatch.setattr(V, "CELLS", 700)
+    assert sorted(map(tuple, V.nearest(rows, asked, "id", "v", 6).collect())) == want
+    assert len(want) == 75 * 6

@@ -26,6 +26,8 @@ from weftline.operators.ranking import top_k
 LISTS, SAMPLE, FITTING, PROBES = 1024, 32, 8, 10
 #: Vectors and queries of a block of exhaustive search; parts into which a list is divided, so that a large one is several tasks.
 BLOCK, QUERIES, PARTS = 50_000, 1000, 8
+#: Similarities that a task holds at once: as many queries meet a block together as fit in.
+CELLS = 1 << 21
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -33,8 +35,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def best(query_ids: list, asked: np.ndarray, ids: np.ndarray, held: np.ndarray, k: int) -> pd.DataFrame:
-    """The k most similar rows of each query but itself, ties to the smaller id."""
-    score = np.round(unit(asked) @ unit(held).T, 12)
+    """The k most similar rows of each query but itself, ties to the smaller id; vectors of length 1."""
+    score = asked @ held.T
+    np.round(score, 12, out=score)
     score[np.array(query_ids)[:, None] == ids[None, :]] = -np.inf
     out = []
     for query, s in zip(query_ids, score, strict=True):
@@ -53,9 +56,9 @@ def _found(rows: DataFrame, asked: DataFrame, by: list[str], k: int) -> DataFram
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "hit_id": [], "similarity": []})
-        ids, held = left["id"].to_numpy(), np.stack(left["vector"]).astype(np.float64)
-        steps = range(0, len(right), QUERIES)
-        return pd.concat([best(right["id"].iloc[i : i + QUERIES].tolist(), np.stack(right["vector"].iloc[i : i + QUERIES]).astype(np.float64), ids, held, k) for i in steps])
+        ids, held = left["id"].to_numpy(), unit(np.stack(left.pop("vector")).astype(np.float64))
+        step = max(1, min(QUERIES, CELLS // len(ids)))
+        return pd.concat([best(right["id"].iloc[i : i + step].tolist(), unit(np.stack(right["vector"].iloc[i : i + step]).astype(np.float64)), ids, held, k) for i in range(0, len(right), step)])
 
     near = rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(meet, schema)
     return top_k(near, ["query_id"], [F.desc("similarity"), F.asc("hit_id")], k)
