@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import textwrap
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weftline.functions import text as X
+from weftline.operators.batches import with_lists
 from weftline.operators.metrics import cosine
 from weftline.operators.ranking import top_k
 
@@ -40,9 +39,8 @@ def sections(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 PARAGRAPH = 800
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _wrapped(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [x.strip() for x in textwrap.wrap(t, width=PARAGRAPH, break_long_words=False, break_on_hyphens=False) if x.strip()])
+def _wrapped(text: str) -> list[str]:
+    return [x.strip() for x in textwrap.wrap(text, width=PARAGRAPH, break_long_words=False, break_on_hyphens=False) if x.strip()]
 
 
 def paragraphs(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -50,7 +48,7 @@ def paragraphs(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\r\n"), F.lit("\n"))
     rows = documents.select(id_col, F.posexplode(F.filter(F.transform(F.split(text, r"\n\s*\n"), X.strip), lambda p: p != "")).alias("__p", "paragraph"))
     short = rows.filter(F.length("paragraph") <= PARAGRAPH).withColumn("__part", F.lit(0))
-    long = rows.filter(F.length("paragraph") > PARAGRAPH).select(id_col, "__p", F.posexplode(_wrapped("paragraph")).alias("__part", "paragraph"))
+    long = with_lists(rows.filter(F.length("paragraph") > PARAGRAPH), "paragraph", "__parts", _wrapped).select(id_col, "__p", F.posexplode("__parts").alias("__part", "paragraph"))
     own = Window.partitionBy(id_col).orderBy("__p", "__part")
     return short.unionByName(long).select(id_col, (F.row_number().over(own) - 1).alias("position"), "paragraph")
 
