@@ -8,14 +8,13 @@ of the blocks. Only features, keys and order go there, never texts.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weftline.functions import text as X
 from weftline.operators import folding
+from weftline.operators.batches import with_lists
 
 #: The budget's slack and the least score, as well as the weights in merge_scores() and chunks().
 HARD_BUDGET, LEAST_SCORE = 1.35, 3
@@ -174,14 +173,9 @@ SIZES = {"pdf": (1000, 100), "txt": (800, 80), "docx": (800, 80), "md": (800, 10
 def resplit(blocks: DataFrame, content: str, kind: str = "general", limit: int = 1000) -> DataFrame:
     """Blocks above the limit cut into pieces that carry chunk_index and total_chunks; blank ones go."""
     size, overlap = SIZES.get(kind, (500, 50))
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([split_text(t, size, overlap) for t in texts])
-
     # Short blocks never reach Python.
     short = blocks.filter(F.length(content) <= limit).withColumn("__parts", F.array(content))
-    long = blocks.filter(F.length(content) > limit).withColumn("__parts", cut(content))
-    rows = short.unionByName(long).withColumn("total_chunks", F.size("__parts"))
+    long = with_lists(blocks.filter(F.length(content) > limit), content, "__parts", lambda t: split_text(t, size, overlap))
+    rows = short.drop(content).unionByName(long).withColumn("total_chunks", F.size("__parts"))
     rows = rows.select(*[c for c in blocks.columns if c != content], "total_chunks", F.posexplode("__parts").alias("chunk_index", content))
     return rows.filter(X.strip(F.col(content)) != "")
