@@ -173,3 +173,12 @@ def test_preferences_and_verbosity(spark):
     assert (s["total_cases"], s["pair_count"], s["skipped_source_incomplete_cases"], s["skipped_missing_case"], s["skipped_missing_chosen_cases"], s["skipped_missing_rejected_cases"]) == (4, 2, 1, 1, 0, 1)
     says = lambda raw, formula, mode: one(spark, V.verbose_output(F.lit(raw), F.lit(formula), F.lit(mode)))[0]
     assert says("value * 2\nbecause it doubles", "value * 2", "transcoding") and not says("value*2", "value * 2", "transcoding") and not says("2->B, 1=A", "1=A,2=B", "mapping")
+
+
+def test_chunks_for_questions_are_scored_once(spark):
+    """All quotas read the stored scores, none the tables behind them."""
+    from weftline.plans.generation import q05_chunks_for_questions
+
+    found = q05_chunks_for_questions(spark, "/root/testdata/sf0.001")
+    assert all("/chunk-scores-" in f for f in found.inputFiles())
+    assert found.count() == 16
