@@ -68,6 +68,27 @@ def test_numbers_of_tables_are_drawn_with_the_chances_of_all_seatings():
         assert np.abs(seen / seen.sum() - expected).max() < 0.03
 
 
+def test_tables_of_large_dishes_are_drawn_as_those_of_small_ones(monkeypatch):
+    rng = np.random.default_rng(5)
+    c, z, chance = rng.integers(2, 1000, 3000), np.exp(rng.uniform(-8, 14, 3000)), rng.random(3000)
+    for discount in (P.DISCOUNT, P.ROOT_DISCOUNT):
+        drawn = []
+        for tabled in (16, 200, 1000):
+            monkeypatch.setattr(P, "TABLED", tabled)
+            monkeypatch.setattr(P, "_stirling", {})
+            drawn.append(P.dish_tables(c, z, discount, chance).tolist())
+        assert drawn[0] == drawn[1] == drawn[2]
+
+
+def test_tables_given_a_gamma_number_have_the_chances_of_all_seatings():
+    for c, parent in itertools.product((2, 5), (0.02, 0.4)):
+        expected, t, key = exact_tables(c, 7, parent, 0.75, 1.0), np.ones(40_000, np.int64), np.arange(40_000)
+        for k in range(12):
+            x = P.gammas(1 / 0.75 + 7 + t, key, k, 1)
+            t = P.dish_tables(np.full(40_000, c), x * parent, 0.75, P.chances(key, k, 2))
+        assert np.abs(np.bincount(t, minlength=c + 1) / 40_000 - expected).max() < 0.01
+
+
 class Plain:
     """The same model, every customer at a table of its own restaurant."""
 
@@ -169,6 +190,15 @@ def test_scores_are_those_of_the_plain_sampler(spark):
             assert abs(r.score - expected) < 0.05 + 0.02 * abs(expected), (text, r.score, expected)
 
 
+def test_scores_do_not_depend_on_how_contexts_are_divided(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    found = []
+    for sizes in ({}, {"split": 40}, {"bucket_tokens": 60, "block_tokens": 150, "split": 7}):
+        rows = P.scores(docs, P.held_out(), bucket_words=4, **sizes).collect()
+        found.append(sorted((str(r.doc_id), r.n_tokens, round(r.score, 9)) for r in rows))
+    assert found[0] == found[1] == found[2]
+
+
 def test_held_out_text_is_foretold_better_than_by_the_base(spark):
     docs = spark.createDataFrame([(k, f"the {a} of the {b} is {a}") for k, (a, b) in enumerate(itertools.product(["sea", "sun", "sky", "old man", "tree"], repeat=2))] * 4, "doc_id long, text string")
     figures = {r.held_out: r for r in P.perplexity(P.scores(docs, P.held_out())).collect()}

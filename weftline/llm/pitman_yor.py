@@ -9,12 +9,17 @@ restaurant gives a dish the probability
     (c_w - d t_w + (strength + d t) parent(w)) / (strength + c).
 
 Seatings are sampled by Gibbs, a sweep being one pass over the contexts and one
-over the parent. A dish of up to EXACT customers is reseated as a whole: the
-number of its tables is drawn from its exact conditional distribution, in
-which generalised Stirling numbers count the seatings. The customers of larger
-dishes are reseated one by one, MOVES of them a sweep, from a first seating whose
-number of tables follows the limit of these distributions for many customers.
-Probabilities are averaged over SAMPLES sweeps after BURN_IN.
+over the parent. A restaurant first draws x from the gamma distribution of shape
+strength / d + its tables. Given x its dishes do not depend on one another: the
+number of a dish's tables is drawn from
+
+    p(t) ~ Stirling(c, t) (d x parent)^t,
+
+in which generalised Stirling numbers count the seatings of c customers. One rule
+holds for dishes and contexts of any size. Only where the Stirling numbers come
+from differs: up to TABLED customers from a table, beyond from an integral, which
+agree, so that TABLED is no switch of results. Probabilities are averaged over
+SAMPLES sweeps after BURN_IN.
 
 Scale: texts become blocks of some BLOCK_TOKENS tokens, cut at documents. All
 that moves are messages, packed arrays addressed to a block or a bucket:
@@ -27,10 +32,11 @@ that moves are messages, packed arrays addressed to a block or a bucket:
 Pairs are counted in their block before they travel, so a word or context that
 holds a third of all tokens sends a row a block. Contexts of more than SPLIT
 customers are divided by their next words over several buckets, which share
-their number of tables through the word buckets. The number of buckets grows
-with the tokens; the driver holds sums alone. Tables of a context's other dishes
-are those of the sweep's begin (of its last quarter, within a bucket), and the
-parent is held during the pass over the contexts.
+their number of tables through the word buckets, and so draw the same x. Random
+numbers are hashes of context, word and sweep, so that it makes no difference
+where a dish is drawn: results depend neither on SPLIT nor on the number of context
+buckets. The number of buckets grows with the tokens; the driver holds sums
+alone. The parent is held during the pass over the contexts.
 
 Words are compared by 64-bit hashes. A null text is an empty one, with the end
 as its only token. Equal rows score alike; a null id trains the model, as crc32
@@ -40,6 +46,7 @@ own. An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,8 +61,8 @@ from weftline.llm.common import discard, discard_parts, quoted, small_batches, s
 DISCOUNT, STRENGTH = 0.75, 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.5, 10.0
 BURN_IN, SAMPLES = 2, 3
-#: Customers of the largest dish that is reseated as a whole; customers of larger ones reseated a sweep; groups of a restaurant's dishes.
-EXACT, MOVES, ROUNDS = 256, 64, 4
+#: Customers of the largest dish whose Stirling numbers are tabled; points of the integral for larger ones, and of an interpolation.
+TABLED, POINTS = 1024, 24
 BLOCK_TOKENS, BUCKET_TOKENS, BUCKET_WORDS, SPLIT = 1 << 20, 1 << 20, 1 << 19, 1 << 20
 UNKNOWN, START, FIRST_WORD = 0, 1, 2  # numbers of words
 END_HASH = 1
@@ -261,20 +268,148 @@ def stirling(discount: float, size: int) -> np.ndarray:
 _stirling: dict[float, np.ndarray] = {}
 
 
-def draw_tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes of c customers, 1 to EXACT, from p(t) ~ Stirling(c, t) (strength + d others)(strength + d (others + 1))... parent^t."""
+def _tabled(discount: float) -> np.ndarray:
     if discount not in _stirling:
-        _stirling[discount] = stirling(discount, EXACT)
+        _stirling[discount] = stirling(discount, TABLED)
+    return _stirling[discount]
+
+
+def _place(before: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Where, from -80 up to 0, before ceases to hold, by halving on a scale that is fine near 0."""
+    low, high = np.full(size, math.log(80)), np.full(size, -30.0)
+    for _ in range(22):
+        middle = (low + high) / 2
+        left = before(-np.exp(middle))
+        low, high = np.where(left, middle, low), np.where(left, high, middle)
+    return -np.exp((low + high) / 2)
+
+
+def log_seatings(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """Logarithms of Stirling(c, t) d^t t! / c! for large c: of the coefficient of u^c in (1 - (1 - u)^d)^t, by Cauchy's integral.
+
+    The contour is a parabola around the cut from 1 on through the saddle, or, up to POINTS customers that share a table, a circle around 0.
+    """
+    out = np.empty(len(c))
+    near = c - t <= POINTS
+    C, T = c[near].astype(float), t[near].astype(float)
+    # (1 - (1 - u)^d) / u grows as d exp((1 - d) u / 2) near 0.
+    r = np.minimum((C - T + 0.5) / np.maximum(T * (1 - discount) / 2, 1), 0.5)
+    u = r[:, None] * np.exp(1j * np.pi * (np.arange(2 * POINTS) + 0.5) / (2 * POINTS))
+    f = T[:, None] * np.log(-np.expm1(discount * np.log1p(-u)) / u) - (C - T)[:, None] * np.log(u)
+    top = f.real.max(axis=1, initial=-np.inf)
+    out[near] = top + np.log(np.exp(f - top[:, None]).real.mean(axis=1))
+
+    C, T = c[~near].astype(float), t[~near].astype(float)
+    v = np.exp(_place(lambda v: T * discount * np.expm1(v) * np.exp((discount - 1) * v) / np.expm1(discount * v) > C + 1, len(C)))
+    v = np.maximum(v, 1 / (C + 2))
+    p = 1 - v**discount
+    bend = -T * discount * ((discount - 1) * v ** (discount - 2) * p + discount * v ** (2 * discount - 2)) / p**2 + (C + 1) / (1 - v) ** 2
+    scale = 1 / np.sqrt(np.maximum(4 * v * v * bend, 2 * C * v * (1 - discount)))
+    step = np.arcsinh(np.sqrt(45 / (C * v * (1 - discount))) / scale) / POINTS
+    y = (np.arange(POINTS) + 0.5) * step[:, None]
+    way = 1 + 1j * scale[:, None] * np.sinh(y)
+    at = v[:, None] * way**2
+    top = T * np.log(p) - (C + 1) * np.log1p(-v)
+    f = np.exp(T[:, None] * np.log(1 - at**discount) - (C + 1)[:, None] * np.log(1 - at) - top[:, None]) * way * np.cosh(y)
+    out[~near] = top + np.log(np.maximum(f.real.sum(axis=1) * step * v * scale * 2 / np.pi, 1e-300))
+    return out
+
+
+def _chosen(weight: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """The place in each row of logarithms of weights that its chance falls on."""
+    weight -= weight.max(axis=1, keepdims=True)
+    sums = np.cumsum(np.exp(weight, out=weight), axis=1, out=weight)
+    return (sums < chance[:, None] * sums[:, -1:]).sum(axis=1)
+
+
+def dish_tables(c: np.ndarray, z: np.ndarray, discount: float, chance: np.ndarray) -> np.ndarray:
+    """Tables of dishes of c customers, 1 or more, from p(t) ~ Stirling(c, t) (d z)^t: those that the chances, from 0 to 1, fall on."""
     out = np.ones(len(c), np.int64)
+    table, each = _tabled(discount), np.log(discount * z)
     order = np.argsort(c, kind="stable")
-    edges = np.searchsorted(c[order], np.arange(2, EXACT + 2))
-    for size, begin, end in zip(range(2, EXACT + 1), edges, edges[1:], strict=False):
+    size = len(table) - 1
+    edges = np.searchsorted(c[order], np.arange(2, size + 2))
+    for n, begin, end in zip(range(2, size + 1), edges, edges[1:], strict=False):
+        step = max(1, 500_000 // n)
+        for k in range(begin, end, step):
+            rows = order[k : min(k + step, end)]
+            out[rows] = 1 + _chosen(each[rows][:, None] * np.arange(1, n + 1) + table[n, 1 : n + 1], chance[rows])
+    large = order[edges[-1] :]
+    if len(large):
+        out[large] = _large_tables(c[large], z[large], discount, chance[large])
+    return out
+
+
+def _large_tables(c: np.ndarray, z: np.ndarray, discount: float, chance: np.ndarray) -> np.ndarray:
+    """As dish_tables. Tables are a sum of independent yes-or-no numbers, so their variance is at most their mean, and 8 deviations hold them."""
+    # The mean is near z (1 - v^d), where z d (1 - v) v^(d - 1) = c, and at most one more.
+    mean = np.minimum(z * -np.expm1(discount * _place(lambda v: z * discount * -np.expm1(v) * np.exp((discount - 1) * v) > c, len(c))), c)
+    first = np.clip(np.floor(mean - 8 * np.sqrt(mean + 1) - 4), 1, c).astype(np.int64)
+    last = np.clip(np.ceil(mean + 8 * np.sqrt(mean + 1) + 12), 1, c).astype(np.int64)
+    width, out = last - first + 1, np.empty(len(c), np.int64)
+    smooth = (width > POINTS) & (c - last > width)
+    angles = np.pi * (np.arange(POINTS) + 0.5) / POINTS
+    series = np.cos(np.outer(angles, np.arange(POINTS))) * np.where(np.arange(POINTS) > 0, 2, 1) / POINTS
+    for kind in (False, True):
+        order = np.flatnonzero(smooth == kind)
+        order = order[np.argsort(width[order], kind="stable")]
+        begin = 0
+        while begin < len(order):
+            # Rows of much the same width, filled up to the widest; some 20,000 integers at a time.
+            least = int(width[order[begin]])
+            rows = order[begin : min(np.searchsorted(width[order], least * 1.25, "right"), begin + max(1, 20_000 // least))]
+            begin += len(rows)
+            t = first[rows][:, None] + np.arange(width[rows].max())
+            inside, steps = t <= last[rows][:, None], np.log(t)
+            weight = t * np.log(z[rows])[:, None] - np.cumsum(steps, axis=1)
+            if kind:  # Chebyshev polynomials in t of what, but for a factor t, varies slowly
+                middle, half = ((last + first) / 2)[rows][:, None], ((last - first) / 2)[rows][:, None]
+                at = middle + half * np.cos(angles)
+                values = log_seatings(np.repeat(c[rows], POINTS), at.ravel(), discount).reshape(at.shape) - np.log(at)
+                weight += steps + np.polynomial.chebyshev.chebval((t - middle) / half, (values @ series).T[:, :, None], tensor=False)
+            else:
+                weight[inside] += log_seatings(np.broadcast_to(c[rows][:, None], t.shape)[inside], t[inside], discount)
+            out[rows] = first[rows] + _chosen(np.where(inside, weight, -np.inf), chance[rows])
+    return out
+
+
+def chances(key: np.ndarray, *salt: int) -> np.ndarray:
+    """Numbers between 0 and 1, each settled by its key and the salt, wherever it is drawn."""
+    x = key.astype(np.uint64)
+    for s in salt:
+        x = _mixed(x + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    return ((x >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def gammas(shape: np.ndarray, key: np.ndarray, *salt: int) -> np.ndarray:
+    """Numbers of gamma distributions of shapes above 1 (Marsaglia and Tsang), settled as chances are."""
+    out, rows, a, k = np.empty(len(shape)), np.arange(len(shape)), shape - 1 / 3, 0
+    while len(rows):
+        one, two, three = (chances(key[rows], *salt, k + j) for j in range(3))
+        normal = np.sqrt(-2 * np.log(one)) * np.cos(2 * np.pi * two)
+        v = np.maximum(1 + normal / np.sqrt(9 * a[rows]), 1e-100) ** 3
+        good = np.log(three) < normal**2 / 2 + a[rows] * (1 - v + np.log(v))
+        out[rows[good]] = (a[rows] * v)[good]
+        rows, k = rows[~good], k + 3
+    return out
+
+
+# One restaurant seen alone, its customers seated one by one: what the sampler above is held against.
+
+
+def draw_tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes of c customers, 1 to TABLED, from p(t) ~ Stirling(c, t) (strength + d others)(strength + d (others + 1))... parent^t."""
+    table = _tabled(discount)
+    out = np.ones(len(c), np.int64)
+    order = np.argsort(c, kind="stable")
+    edges = np.searchsorted(c[order], np.arange(2, TABLED + 2))
+    for size, begin, end in zip(range(2, TABLED + 1), edges, edges[1:], strict=False):
         step = max(1, 500_000 // size)
         for k in range(begin, end, step):
             rows = order[k : min(k + step, end)]
             weight = np.log((strength + discount * others[rows])[:, None] + discount * np.arange(size)) + np.log(parent[rows])[:, None]
             weight = np.cumsum(weight, axis=1, out=weight)
-            weight += _stirling[discount][size, 1 : size + 1]
+            weight += table[size, 1 : size + 1]
             weight -= weight.max(axis=1, keepdims=True)
             chance = np.cumsum(np.exp(weight, out=weight), axis=1, out=weight)
             out[rows] = 1 + (chance < rng.random(len(rows))[:, None] * chance[:, -1:]).sum(axis=1)
@@ -334,28 +469,6 @@ def reseat(sizes: dict[int, int], c: int, others: int, parent: float, discount:
         change(x + 1, 1)
 
 
-class Large:
-    """Seatings of the dishes of more than EXACT customers."""
-
-    def __init__(self, parts: list[bytes] | None = None) -> None:
-        self.seats: list[dict[int, int]] = []
-        if parts:
-            kinds, sizes, tables = (unpack(p) for p in parts)
-            ends = np.cumsum(kinds)
-            self.seats = [dict(zip(sizes[e - k : e].tolist(), tables[e - k : e].tolist(), strict=True)) for e, k in zip(ends, kinds, strict=True)]
-
-    def parts(self) -> list[bytes]:
-        flat = [x for s in self.seats for x in sorted(s.items())]
-        return [pack(np.array([len(s) for s in self.seats], np.int64)), pack(np.array([x for x, _ in flat], np.int64)), pack(np.array([m for _, m in flat], np.int64))]
-
-    def sweep(self, k: int, c: int, others: int, parent: float, discount: float, strength: float, rng: np.random.Generator) -> int:
-        if k == len(self.seats):
-            self.seats.append(first_seating(c, others, parent, discount, strength, rng))
-        sizes = self.seats[k]
-        reseat(sizes, c, others, parent, discount, strength, MOVES, rng)
-        return sum(sizes.values())
-
-
 def lay_out(bucket: int, asked: list[tuple[int, list[bytes]]], words: int, split: int) -> Iterator[Message]:
     """The restaurants of a context bucket from all blocks' pairs.
 
@@ -407,8 +520,6 @@ def split_totals(bucket: int, contexts: np.ndarray, customers: np.ndarray, table
 
 def sweep_root(bucket: int, messages: list[tuple[int, int, list[bytes]]], words: int, vocabulary: int, all_tables: int, seed: tuple[int, int]) -> Iterator[Message]:
     """A pass over a word bucket of the parent. ROOT: customers that never change, customers, tables."""
-    rng = np.random.default_rng((*seed, 1, bucket))
-    base = 1 / (vocabulary + 1)
     ups = [(source, [unpack(p) for p in parts]) for kind, source, parts in messages if kind == UP]
     totals = [(source, [unpack(p) for p in parts]) for kind, source, parts in messages if kind == TOTALS]
     old = next((parts for kind, _, parts in messages if kind == ROOT), None)
@@ -419,16 +530,10 @@ def sweep_root(bucket: int, messages: list[tuple[int, int, list[bytes]]], words:
     for (_, p), r in zip(ups, rank, strict=True):
         np.add.at(more if p[0][0] else fixed, r, p[2])
     c = fixed + more
-    t = np.minimum(unpack(old[2]), c) if old else np.minimum(c, 1)
-    others = np.maximum(all_tables - t, 0)
-    exact = np.flatnonzero((c > 0) & (c <= EXACT))
-    t[exact] = draw_tables(c[exact], others[exact], np.full(len(exact), base), ROOT_DISCOUNT, ROOT_STRENGTH, rng)
-    # Customers of the parent come and go: a large dish is seated afresh and then reseated.
-    for k in np.flatnonzero(c > EXACT):
-        seats = first_seating(int(c[k]), int(others[k]), base, ROOT_DISCOUNT, ROOT_STRENGTH, rng)
-        reseat(seats, int(c[k]), int(others[k]), base, ROOT_DISCOUNT, ROOT_STRENGTH, MOVES, rng)
-        t[k] = sum(seats.values())
-    t[c == 0] = 0
+    t = np.zeros(size, np.int64)
+    served = np.flatnonzero(c)
+    x = gammas(np.array([ROOT_STRENGTH / ROOT_DISCOUNT + all_tables]), np.zeros(1), *seed, 1)
+    t[served] = dish_tables(c[served], np.repeat(x / (vocabulary + 1), len(served)), ROOT_DISCOUNT, chances(FIRST_WORD + served * words + bucket, *seed, 2))
     yield bucket, ROOT, seed[1], [pack(fixed), pack(c), pack(t)]
     yield bucket, CUSTOMERS, int(c.sum()), []
     yield bucket, TABLES, int(t.sum()), []
@@ -444,14 +549,11 @@ def sweep_root(bucket: int, messages: list[tuple[int, int, list[bytes]]], words:
 
 
 def sweep_contexts(bucket: int, messages: list[tuple[int, int, list[bytes]]], words: int, vocabulary: int, root: tuple[int, int], cut: int, seed: tuple[int, int]) -> Iterator[Message]:
-    """A pass over a context bucket. SEATED: tables of the dishes of more than one customer, of the contexts; the divided contexts, their places; seatings of the large."""
-    rng = np.random.default_rng((*seed, 2, bucket))
+    """A pass over a context bucket. SEATED: tables of the dishes of more than one customer, of the contexts; the divided contexts, their places."""
     contexts, customers, singles, u, at, dishes, c = (unpack(p) for p in next(parts for kind, _, parts in messages if kind == FIXED))
     old = next((parts for kind, _, parts in messages if kind == SEATED), None)
-    large = Large(old[4:] if old else None)
-    t = unpack(old[0]).copy() if old else np.ones(len(c), np.int64)
+    totals = unpack(old[1]).copy() if old else singles + np.bincount(u, minlength=len(contexts))
     numerator = np.zeros(len(dishes))
-    totals = singles + np.bincount(u, t, len(contexts)).astype(np.int64)
     for kind, _, parts in messages:
         if kind == DOWN:
             asked, root_c, root_t = (unpack(p) for p in parts)
@@ -459,22 +561,13 @@ def sweep_contexts(bucket: int, messages: list[tuple[int, int, list[bytes]]], wo
         elif kind == SHARED:
             divided, tables = (unpack(p) for p in parts)
             totals[np.searchsorted(contexts, divided)] = tables
-    parent = ((numerator + (ROOT_STRENGTH + ROOT_DISCOUNT * root[1]) / (vocabulary + 1)) / (ROOT_STRENGTH + root[0]))[at]
-    begins = np.searchsorted(u, np.arange(len(contexts)))
-    turn = (np.arange(len(u)) - begins[u]) % ROUNDS
-    number = np.cumsum(c > EXACT) - 1
-    for k in range(ROUNDS):
-        rows = np.flatnonzero((turn == k) & (c <= EXACT))
-        new = draw_tables(c[rows], totals[u[rows]] - t[rows], parent[rows], DISCOUNT, STRENGTH, rng)
-        np.add.at(totals, u[rows], new - t[rows])
-        t[rows] = new
-    for k in np.flatnonzero(c > EXACT):
-        new = large.sweep(int(number[k]), int(c[k]), int(totals[u[k]] - t[k]), float(parent[k]), DISCOUNT, STRENGTH, rng)
-        totals[u[k]] += new - t[k]
-        t[k] = new
+    parent = (numerator + (ROOT_STRENGTH + ROOT_DISCOUNT * root[1]) / (vocabulary + 1)) / (ROOT_STRENGTH + root[0])
+    x = gammas(STRENGTH / DISCOUNT + totals, contexts, *seed, 3)
+    pair = _mixed(contexts.astype(np.uint64))[u] + dishes[at].astype(np.uint64)
+    t = dish_tables(c, x[u] * parent[at], DISCOUNT, chances(pair, *seed, 4))
     own = singles + np.bincount(u, t, len(contexts)).astype(np.int64)
     divided = np.flatnonzero(customers > cut)
-    yield bucket, SEATED, seed[1], [pack(t), pack(totals), pack(contexts[divided]), pack(divided), *large.parts()]
+    yield bucket, SEATED, seed[1], [pack(t), pack(own), pack(contexts[divided]), pack(divided)]
     yield from sent_up(bucket, dishes, np.bincount(at, t, len(dishes)).astype(np.int64), words, 0)
     yield from split_totals(bucket, contexts, customers, own, words, cut)
 
@@ -484,7 +577,7 @@ def context_answers(bucket: int, messages: list[tuple[int, int, list[bytes]]]) -
     samples = []
     for kind, k, parts in messages:
         if kind == SEATED:
-            t, totals, divided, places = (unpack(p) for p in parts[:4])
+            t, totals, divided, places = (unpack(p) for p in parts)
             for _, _, (asked, tables) in (m for m in messages if m[:2] == (SHARED, k)):
                 totals[places[np.searchsorted(divided, unpack(asked))]] = unpack(tables)
             samples.append((t, totals))
