@@ -121,3 +121,28 @@ def test_files(spark, tmp_path):
     assert checks["a.txt"]["passed"] and not checks["bad.pdf"]["authentic"] and checks["b.docx"]["authentic"]
     (tmp_path / "r.json").write_text('{"conversions": [{"name": "c", "mode": "simple", "sources": [{"alias": "a", "protocol": "p"}], "target": {"protocol": "t"}, "rules": [{"target_field": "x", "formula": "a.y"}]}]}')
     assert files.conversion_rules(spark, str(tmp_path / "r.json")).first()["formula"] == "a.y"
+
+
+def test_field_names_of_chunks_are_those_of_the_plain_pattern_with_a_filter(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+    from weftline.functions import text as X
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("AABb_./-0 ,") for _ in range(60)) for _ in range(400)] + ["A_B ABC A.B./CD FIELD Value field_x", "", "A__ _AB AB_ A-B"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, t string").select("n", X.chunk_field_names(F.col("t")).alias("names")).collect()
+    for n, names in rows:
+        plain = re.findall(r"\b[A-Z][A-Z0-9_./\-]{2,}\b", texts[n].upper())
+        assert names == sorted({x for x in plain if (len(x) >= 4 or "_" in x) and x not in X.COMMON_NAMES}), texts[n]
+
+
+def test_noise_counts_letters_once_and_names_are_sorted_by_their_type(spark):
+    from pyspark.sql import functions as F
+    from weftline.functions import text as X
+
+    rows = spark.range(1).select(F.col("id").cast("string").alias("t"))
+    plan = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan(X.noise_penalty(F.col("t"), F.lit("text"), F.lit(False))).count("[^\\p{L}\\p{N}]+") == 1
+    assert "sort_array(" in plan(X.chunk_field_names(F.col("t"))) and "array_sort(" not in plan(X.chunk_field_names(F.col("t")))

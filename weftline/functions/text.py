@@ -185,7 +185,7 @@ def nonempty_lines(c: Column) -> Column:
 
 
 #: Patterns and words of chunk features, and their weights below.
-CHUNK_FIELD = r"(?U)\b[A-Z][A-Z0-9_./\-]{2,}\b"
+CHUNK_FIELD = r"(?U)\b[A-Z](?:[A-Z0-9_./\-]{3,}|_[A-Z0-9_./\-]|[A-Z0-9_./\-]_)\b"
 CHUNK_PAIR = r"-?\d+\s*(?:=|->|→)\s*[A-Za-z_][A-Za-z0-9_./\-]*"
 FORMULA_HINT = ("formula", "公式", "convert", "转换", "resolution", "分辨率")
 RULE_EVIDENCE = ("formula", "公式", "mapping", "映射", "range", "范围", "resolution", "分辨率", "bit", "位", "->", "→", "=")
@@ -214,9 +214,10 @@ def block_semantic_type(c: Column, block_type: Column) -> Column:
 
 
 def chunk_field_names(c: Column) -> Column:
-    """Plausible ones (see plausible_field_name): of what the pattern finds, those with four characters or an underscore."""
-    found = F.array_distinct(F.regexp_extract_all(F.upper(c), F.lit(CHUNK_FIELD), F.lit(0)))
-    return F.array_sort(F.filter(found, lambda x: ((F.length(x) >= 4) | x.contains("_")) & ~x.isin(*COMMON_NAMES)))
+    """Plausible ones (see plausible_field_name): names of three characters or more, those of three with an underscore."""
+    found = F.array_except(F.regexp_extract_all(F.upper(c), F.lit(CHUNK_FIELD), F.lit(0)), F.array(*map(F.lit, COMMON_NAMES)))
+    # sort_array compares by the type's own order; array_sort would evaluate an expression for each comparison.
+    return F.sort_array(found)
 
 
 def formula_hint(low: Column) -> Column:
@@ -240,14 +241,15 @@ def noise_penalty(c: Column, block_type: Column, has_fields: Column) -> Column:
         lines = x["lines"]
         n = F.greatest(F.size(lines), F.lit(1))
         share = lambda test: F.size(F.filter(lines, test))
-        letters = F.length(replace_all(x["text"], r"[^\p{L}\p{N}]+"))
+        letters = x["letters"]
         marks = F.length(F.translate(x["text"], SPACES, "")) - letters
         size = F.greatest(F.length(x["text"]), F.lit(1))
+        header = lambda l: holds_any(F.lower(l), HEADER_WORDS) & l.rlike(HEADER_FOOTER)
         points = [
             F.when(block_type.isin("image", "figure"), 6.0),
             F.when((n >= 4) & (share(lambda l: F.length(l) <= 6) / n >= 0.55), 5.0),
             F.least(F.lit(4.0), share(lambda l: l.rlike(SEPARATOR_LINE)) * 1.5),
-            F.when(holds_any(x["low"], HEADER_WORDS), F.least(F.lit(6.0), share(lambda l: l.rlike(HEADER_FOOTER)) * 2.0)),
+            F.when(holds_any(x["low"], HEADER_WORDS), F.least(F.lit(6.0), share(header) * 2.0)),
             F.when(marks / size >= 0.32, 3.0),
             F.when(letters / size <= 0.38, 2.0),
             F.when((F.length(x["text"]) < 36) & ~rule_evidence(x["low"]), 4.0),
@@ -255,7 +257,8 @@ def noise_penalty(c: Column, block_type: Column, has_fields: Column) -> Column:
         ]
         return F.when(x["text"] == "", F.lit(18.0)).otherwise(F.round(reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0.0)) for p in points]), 4))
 
-    return let(text, lambda t: let(F.struct(t.alias("text"), F.lower(t).alias("low"), nonempty_lines(t).alias("lines")), scored))
+    letters = lambda t: F.length(replace_all(t, r"[^\p{L}\p{N}]+"))
+    return let(text, lambda t: let(F.struct(t.alias("text"), F.lower(t).alias("low"), nonempty_lines(t).alias("lines"), letters(t).alias("letters")), scored))
 
 
 def evidence_score(c: Column, block_type: Column, anchor: Column, names: Column, formulas: Column, pairs: Column, bits: Column, ranges: Column) -> Column:

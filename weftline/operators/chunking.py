@@ -32,10 +32,10 @@ def block_features(blocks: DataFrame, content: str = "content", fields: str | No
     held = lambda test: F.size(F.filter(own, test)) if fields else F.lit(0)
     filled = lambda c: X.strip(F.coalesce(c, F.lit(""))) != ""
     of_fields = F.aggregate(own, F.lit(0), lambda s, f: s + X.chunk_pairs(f["formula"]) + X.chunk_pairs(f["meaning"])) if fields else F.lit(0)
-    names = F.filter(F.transform(own, lambda f: F.upper(X.strip(F.coalesce(f["field_name"], F.lit(""))))), X.plausible_field_name) if fields else F.array().cast("array<string>")
+    names = F.filter(F.transform(own, lambda f: F.upper(X.strip(F.coalesce(f["field_name"], F.lit(""))))), X.plausible_field_name) if fields else None
     given = held(lambda f: filled(f["formula"]))
     rows = rows.withColumns({
-        "tokens": X.token_estimate(text), "anchor": X.protocol_anchor(text), "names": F.array_sort(F.array_distinct(F.concat(X.chunk_field_names(text), names))),
+        "tokens": X.token_estimate(text), "anchor": X.protocol_anchor(text), "names": F.sort_array(F.array_distinct(F.concat(X.chunk_field_names(text), names))) if fields else X.chunk_field_names(text),
         "pairs": (X.chunk_pairs(text) + of_fields).cast("int"), "formulas": (given + F.when(X.let(F.lower(text), X.formula_hint) | (given > 0), 1).otherwise(0)).cast("int"),
         "bits": held(lambda f: f["bit_start"].isNotNull() | f["bit_length"].isNotNull()), "ranges": held(lambda f: f["range_min"].isNotNull() | f["range_max"].isNotNull()),
         "hint": X.block_semantic_type(text, kind), "noise": X.noise_penalty(text, kind, F.size(own) > 0 if fields else F.lit(False)),
@@ -118,9 +118,9 @@ def row_shape_similarity(a: Column, b: Column) -> Column:
 def chunks(grouped: DataFrame, keys: list[str], order: list[str], content: str = "content") -> DataFrame:
     """One row a chunk: blocks, snapshot, type and quality from the blocks' features."""
     first = F.struct(*order)
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.coalesce(F.col(content), F.lit("")).alias("__t"))))
+    ordered = F.sort_array(F.collect_list(F.struct(*order, F.coalesce(F.col(content), F.lit("")).alias("__t"))))
     rows = grouped.groupBy(*keys, "chunk").agg(
-        F.count("*").alias("block_count"), F.sum("tokens").alias("token_estimate"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("all_names"),
+        F.count("*").alias("block_count"), F.sum("tokens").alias("token_estimate"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("names")))).alias("all_names"),
         F.sum("formulas").alias("formula_count"), F.sum("pairs").alias("mapping_pair_count"), F.sum("bits").alias("bit_coverage_count"), F.sum("ranges").alias("range_coverage_count"), F.round(F.sum("evidence"), 4).alias("evidence_score"), F.round(F.sum("noise"), 4).alias("noise_penalty"),
         F.count_if(F.col("noise") >= 8).alias("noisy_block_count"), F.count_if(F.col("block_type") == "table").alias("table_count"),
         F.min_by("anchor", F.when(F.col("anchor") != "", first)).alias("anchor"), ordered.alias("__o"),
