@@ -53,3 +53,21 @@ def test_ties_of_merged_fields_go_to_the_first_row_of_the_table(spark, tmp_path)
         next((tmp_path / name).glob("*.parquet")).rename(folder / f"{name}.parquet")
     got = {(r["k"], r["field_name"]) for r in o03_merged_fields(spark, str(tmp_path)).collect()}
     assert got == {(k, "A") for k in range(20)}
+
+
+def test_merged_fields_equal_their_sql_on_parts_and_nulls(spark, tmp_path):
+    """Quantities with halves and below 0, and lines without a flag or quantity, against DuckDB with one thread."""
+    import duckdb
+
+    from weftline.plans.records import ORACLE, o03_merged_fields
+
+    schema = "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string"
+    quantities = [0.5, 1.5, 2.5, 3.5, 2.7, -1.0, -0.4, -2.5, 4.0, 9.0, None]
+    flags = ["A", "a", "R", "", None]
+    rows = [(k if k % 9 else None, 1 + (k * 5 + n) % 7 if (k + n) % 11 else None, quantities[(k * 7 + n * (k % 3 + 1)) % 11], flags[(k // 3 + n * (k % 4)) % 5]) for k in range(300) for n in range(8)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    by = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert by(o03_merged_fields(spark, str(tmp_path)).collect()) == by(con.execute(ORACLE["o03_merged_fields"]).fetchall())

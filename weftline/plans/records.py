@@ -57,7 +57,11 @@ def o03_merged_fields(spark, sf):
     # Lines of one number may have one quantity, too, and other flags: the first in the table holds.
     place = [F.col(f"_metadata.{c}").alias(f"__{c}") for c in ("file_path", "row_index")]
     lines = first_of(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", *place), ["l_orderkey", "l_linenumber"], [F.asc_nulls_last("l_quantity"), F.asc("__file_path"), F.asc("__row_index")])
-    rows = lines.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("position"), F.col("l_returnflag").alias("field_name"), (F.col("l_quantity").cast("int") % 5).alias("bit_start"), F.lit(None).cast("int").alias("bit_length"))
+    # As in the SQL: quantities are rounded, halves to even.
+    rows = lines.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("position"), F.col("l_returnflag").alias("field_name"), (F.rint("l_quantity").cast("int") % 5).alias("bit_start"))
+    # A field without a name or start equals none of the first two, and among the others only its like: a width of its own keeps it apart.
+    bare = F.col("field_name").isNull().cast("int") + 2 * F.col("bit_start").isNull().cast("int")
+    rows = rows.withColumn("bit_length", F.when(bare > 0, F.when(F.col("position") <= 2, -2).otherwise(bare)))
     more = rows.filter("position > 2").withColumn("field_name", F.lower("field_name"))
     return R.merged_fields(rows.filter("position <= 2"), more, "k").drop("bit_length")
 
