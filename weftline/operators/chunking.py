@@ -15,9 +15,10 @@ from pyspark.sql.window import Window
 from weftline.functions import text as X
 from weftline.operators import folding
 from weftline.operators.batches import with_lists
+from weftline.storage import stored
 
-#: The budget's slack and the least score, as well as the weights in merge_scores() and chunks().
-HARD_BUDGET, LEAST_SCORE = 1.35, 3
+#: The budget's slack, the least score, a chunk's names and the characters of its snapshot, as well as the weights in merge_scores() and chunks().
+HARD_BUDGET, LEAST_SCORE, CHUNK_NAMES, SNAPSHOT = 1.35, 3, 24, 500
 
 
 def block_features(blocks: DataFrame, content: str = "content", fields: str | None = None) -> DataFrame:
@@ -79,9 +80,32 @@ def greedy_groups(scored: DataFrame, keys: list[str], order: list[str], max_toke
     keys and order together name a row.
     """
     pieces = _pieces(scored, keys, order, "scored")
+    return pieces.drop(folding.PIECE).join(_numbered(pieces, keys, order, max_tokens), [*keys, *order])
+
+
+def _numbered(pieces: DataFrame, keys: list[str], order: list[str], max_tokens: int) -> DataFrame:
     score = F.col("merge_score")
-    numbered = folding.budget_groups(pieces, keys, order, "tokens", score.isNull() | (score < LEAST_SCORE), score - 2 < LEAST_SCORE, max_tokens, int(max_tokens * HARD_BUDGET), "chunk")
-    return pieces.drop(folding.PIECE).join(numbered, [*keys, *order])
+    return folding.budget_groups(pieces, keys, order, "tokens", score.isNull() | (score < LEAST_SCORE), score - 2 < LEAST_SCORE, max_tokens, int(max_tokens * HARD_BUDGET), "chunk")
+
+
+def grouped_features(features: DataFrame, keys: list[str], order: list[str], max_tokens: int = 1024) -> DataFrame:
+    """features with chunk, as of merge_scores() and greedy_groups(). Scores are stored apart, so that the features move
+    once for them and once for the numbers; leave out the texts, whose heads make the snapshots.
+
+    A block above the hard budget is a chunk alone whatever its score: of its names only those that its chunk shows are
+    kept, and more_names counts the others.
+    """
+    alone, every = F.col("tokens") > int(max_tokens * HARD_BUDGET), F.sort_array(F.array_distinct("names"))
+    kept = {"more_names": F.when(alone, F.greatest(F.size(F.array_distinct("names")) - CHUNK_NAMES, F.lit(0))).otherwise(0), "names": F.when(alone, F.slice(every, 1, CHUNK_NAMES)).otherwise(F.col("names"))}
+    pieces = _pieces(features.withColumns(kept), keys, order, "features")
+    scored = stored(merge_scores(pieces, keys, order).select(*keys, *order, folding.PIECE, "tokens", "merge_score"), "merge-scores")
+    rows, numbered = pieces.drop(folding.PIECE).alias("r"), _numbered(scored, keys, order, max_tokens).alias("n")
+    return rows.join(numbered, [F.col(f"r.{c}").eqNullSafe(F.col(f"n.{c}")) for c in [*keys, *order]]).select("r.*", "n.chunk")
+
+
+def head(content: Column) -> Column:
+    """As much of a block as a snapshot may need, and one character more, which shows that it is cut."""
+    return F.left(X.strip(F.coalesce(content, F.lit(""))), F.lit(SNAPSHOT + 1))
 
 
 def packed(rows: DataFrame, keys: list[str], order: list[str], tokens: str = "tokens", max_tokens: int = 1024, out: str = "pack") -> DataFrame:
@@ -115,24 +139,30 @@ def row_shape_similarity(a: Column, b: Column) -> Column:
     return F.aggregate(same, F.lit(0), lambda s, x: s + x) / F.greatest(F.size(a), F.size(b), F.lit(1))
 
 
-def chunks(grouped: DataFrame, keys: list[str], order: list[str], content: str = "content") -> DataFrame:
-    """One row a chunk: blocks, snapshot, type and quality from the blocks' features."""
+def chunks(grouped: DataFrame, keys: list[str], order: list[str], content: str = "content", heads: str | None = None, more: tuple[Column, ...] = ()) -> DataFrame:
+    """One row a chunk: blocks, snapshot, type and quality from the blocks' features.
+
+    heads, if named, holds the blocks' head() in place of their content: the snapshot is the same, the whole content
+    is left out. more: further aggregates of the blocks.
+    """
     first = F.struct(*order)
-    ordered = F.sort_array(F.collect_list(F.struct(*order, F.coalesce(F.col(content), F.lit("")).alias("__t"))))
+    others = F.sum("more_names") if "more_names" in grouped.columns else F.lit(0)
+    text = F.col(heads) if heads else X.strip(F.coalesce(F.col(content), F.lit("")))
+    ordered = F.sort_array(F.collect_list(F.struct(*order, text.alias("__t"))))
     rows = grouped.groupBy(*keys, "chunk").agg(
         F.count("*").alias("block_count"), F.sum("tokens").alias("token_estimate"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("names")))).alias("all_names"),
         F.sum("formulas").alias("formula_count"), F.sum("pairs").alias("mapping_pair_count"), F.sum("bits").alias("bit_coverage_count"), F.sum("ranges").alias("range_coverage_count"), F.round(F.sum("evidence"), 4).alias("evidence_score"), F.round(F.sum("noise"), 4).alias("noise_penalty"),
         F.count_if(F.col("noise") >= 8).alias("noisy_block_count"), F.count_if(F.col("block_type") == "table").alias("table_count"),
-        F.min_by("anchor", F.when(F.col("anchor") != "", first)).alias("anchor"), ordered.alias("__o"),
-    )
-    base = F.least(F.lit(40), F.size("all_names") * 3) + F.least(F.lit(20), F.col("formula_count") * 2) + F.least(F.lit(15), F.col("mapping_pair_count")) + F.least(F.lit(15), F.col("bit_coverage_count") + F.col("range_coverage_count")) + F.when(F.coalesce("anchor", F.lit("")) != "", 10).otherwise(0)
+        F.min_by("anchor", F.when(F.col("anchor") != "", first)).alias("anchor"), ordered.alias("__o"), others.alias("__others"), *more,
+    ).withColumn("field_count", F.size("all_names") + F.col("__others").cast("int"))
+    base = F.least(F.lit(40), F.col("field_count") * 3) + F.least(F.lit(20), F.col("formula_count") * 2) + F.least(F.lit(15), F.col("mapping_pair_count")) + F.least(F.lit(15), F.col("bit_coverage_count") + F.col("range_coverage_count")) + F.when(F.coalesce("anchor", F.lit("")) != "", 10).otherwise(0)
     quality = base + F.least(F.lit(24.0), F.col("evidence_score") * 0.35) - F.least(F.lit(24.0), F.col("noise_penalty") * 0.8) - F.col("noisy_block_count") * 1.5
     kind = F.when(F.col("mapping_pair_count") > 0, F.when(F.col("table_count") >= F.greatest(F.lit(1), F.floor(F.col("block_count") / 2)), "table_data").otherwise("conversion_rule"))
-    kind = kind.when(F.col("formula_count") >= 2, "conversion_rule").when((F.size("all_names") > 0) & (F.col("bit_coverage_count") + F.col("range_coverage_count") > 0), "field_definition")
+    kind = kind.when(F.col("formula_count") >= 2, "conversion_rule").when((F.col("field_count") > 0) & (F.col("bit_coverage_count") + F.col("range_coverage_count") > 0), "field_definition")
     kind = kind.when(F.col("table_count") > 0, "table_data").when(F.col("anchor") != "", "protocol_description").otherwise("general_content")
-    merged = F.array_join(F.filter(F.transform("__o", lambda x: X.strip(x["__t"])), lambda x: x != ""), "\n\n")
-    rows = rows.withColumns({"quality_score": F.greatest(F.lit(0.0), F.round(quality, 4)), "semantic_type": kind, "field_count": F.size("all_names"), "field_names": F.slice("all_names", 1, 24), "content": merged})
-    return rows.withColumn("content_snapshot", X.preview(F.col("content"), 500)).withColumn("anchor", F.coalesce("anchor", F.lit(""))).drop("__o", "all_names", "table_count")
+    merged = F.array_join(F.filter(F.transform("__o", lambda x: x["__t"]), lambda x: x != ""), "\n\n")
+    rows = rows.withColumns({"quality_score": F.greatest(F.lit(0.0), F.round(quality, 4)), "semantic_type": kind, "field_names": F.slice("all_names", 1, CHUNK_NAMES), "content": merged})
+    return rows.withColumn("content_snapshot", X.preview(F.col("content"), SNAPSHOT)).withColumn("anchor", F.coalesce("anchor", F.lit(""))).drop("__o", "__others", "all_names", "table_count", *(["content"] if heads else []))
 
 
 def target_blocks(blocks: DataFrame, keys: list[str], matches: Column, window: int) -> DataFrame:

@@ -47,7 +47,8 @@ def with_previous(pieces: DataFrame, keys: list[str], order: list[str], columns:
     same = F.col("__first") & (F.col(PIECE) == F.col("__p"))
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = here.join(seams, same, "left").withColumn(out, F.coalesce("__within", "__seam"))
+    # A piece has one seam at most, as only its first keys lie in the piece before, too: rows never move for the seams.
+    joined = here.join(F.broadcast(seams), same, "left").withColumn(out, F.coalesce("__within", "__seam"))
     return joined.drop("__within", "__first", "__seam", "__p", *[f"__k{i}" for i in range(len(keys))])
 
 

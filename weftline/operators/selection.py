@@ -56,16 +56,37 @@ def text_noise(c: Column) -> Column:
     return X.let(text, lambda t: X.let(F.struct(t.alias("text"), X.nonempty_lines(t).alias("lines")), scored))
 
 
-def adjusted(chunks: DataFrame, blocks: DataFrame, target: str) -> DataFrame:
+def _words(target: str) -> list[str]:
+    """What a text may name a target by: the whole name first."""
+    return [w for w in dict.fromkeys([target.strip().upper(), _major(target)]) if w]
+
+
+def block_signals(content: Column, target: str) -> dict[str, Column]:
+    """What a block's text gives for a target protocol: points of names, rule evidence, noise."""
+    words = _words(target)
+    up = F.upper(X.strip(F.coalesce(content, F.lit(""))))
+    named = [F.when(up.contains(w), 26.0 if w == words[0] else 14.0).otherwise(0.0) for w in words]
+    return {"__named": F.greatest(F.lit(0.0), F.lit(0.0), *named), "__signal": X.let(F.lower(content), X.rule_evidence), "__noise": text_noise(content)}
+
+
+def chunk_signals() -> tuple[Column, ...]:
+    """The aggregates of block_signals() that a chunk takes."""
+    return F.max("__named").alias("__named"), F.bool_or("__signal").alias("__signal"), F.max("__noise").alias("__noise")
+
+
+def adjusted(chunks: DataFrame, blocks: DataFrame | None, target: str) -> DataFrame:
     """chunks (chunk_id, block_ids, content_snapshot, anchor, field_names, semantic_type and COUNTS) with the bonuses
-    and the noise that their blocks (block_id, content) give for a target protocol (J03)."""
+    and the noise that their blocks (block_id, content) give for a target protocol (J03). blocks is None where chunks
+    hold chunk_signals() of theirs in place of block_ids."""
     t = F.lit(target.strip().upper())
-    words = [w for w in dict.fromkeys([target.strip().upper(), _major(target)]) if w]
+    words = _words(target)
     whole = lambda w: w == words[0]
-    flat = chunks.select("chunk_id", F.explode("block_ids").alias("block_id")).distinct().join(blocks.select("block_id", "content"), "block_id")
-    up = F.upper(X.strip(F.coalesce("content", F.lit(""))))
-    named = F.greatest(F.lit(0.0), *[F.when(up.contains(w), 26.0 if whole(w) else 14.0).otherwise(0.0) for w in words])
-    per = flat.groupBy("chunk_id").agg(F.max(named).alias("__named"), F.bool_or(X.let(F.lower("content"), X.rule_evidence)).alias("__signal"), F.max(text_noise(F.col("content"))).alias("__noise"))
+    rows = chunks
+    if blocks is not None:
+        # Signals are worked out where the texts lie; only they meet the chunks.
+        signals = blocks.withColumns(block_signals(F.col("content"), target)).select("block_id", "__named", "__signal", "__noise")
+        flat = chunks.select("chunk_id", F.explode("block_ids").alias("block_id")).distinct().join(signals, "block_id")
+        rows = chunks.join(flat.groupBy("chunk_id").agg(*chunk_signals()), "chunk_id", "left")
     matches = N.chunk_matches(F.col("content_snapshot"), F.col("anchor"), F.col("field_names"), t)
     anchor = N.upper(F.col("anchor"))
     text = F.upper(F.concat_ws(" ", F.coalesce("content_snapshot", F.lit("")), F.array_join("field_names", " ")))
@@ -73,7 +94,7 @@ def adjusted(chunks: DataFrame, blocks: DataFrame, target: str) -> DataFrame:
     by_text = [F.when(text.contains(w), 18.0 if whole(w) else 10.0).otherwise(0.0) for w in words]
     bonus = F.greatest(by_anchor, F.coalesce("__named", F.lit(0.0)), *by_text) if words else F.lit(0.0)
     formula = F.least(F.lit(18.0), _n("formula_count") * 2.2 + _n("mapping_pair_count") * 1.8)
-    rows = chunks.join(per, "chunk_id", "left").withColumns({"matches": matches, "target_bonus": bonus, "field_bonus": F.round(F.least(F.lit(16.0), _n("field_count") * 1.6), 4), "formula_bonus": F.round(F.when(F.col("__signal"), F.greatest(formula, F.lit(8.0))).otherwise(formula), 4)})
+    rows = rows.withColumns({"matches": matches, "target_bonus": bonus, "field_bonus": F.round(F.least(F.lit(16.0), _n("field_count") * 1.6), 4), "formula_bonus": F.round(F.when(F.col("__signal"), F.greatest(formula, F.lit(8.0))).otherwise(formula), 4)})
     rows = rows.withColumn("selection_bonus", F.round(F.col("target_bonus") + F.col("field_bonus") + F.col("formula_bonus") + F.least(F.lit(18.0), _n("evidence_score") * 0.35), 4))
     return rows.withColumn("block_noise", F.round(F.least(F.lit(24.0), F.greatest(_n("noise_penalty"), F.coalesce("__noise", F.lit(0.0)))), 4)).drop("__named", "__signal", "__noise")
 
@@ -85,7 +106,7 @@ def _major(target: str) -> str:
     return f"J{digits}" if text.startswith("J") and digits else ""
 
 
-def chunks_for_questions(chunks: DataFrame, blocks: DataFrame, kinds: tuple[str, ...], k: int, target: str = "") -> DataFrame:
+def chunks_for_questions(chunks: DataFrame, blocks: DataFrame | None, kinds: tuple[str, ...], k: int, target: str = "") -> DataFrame:
     """The k chunks for questions: a quota by the understanding score, one by the conversion score, the rest overall."""
     k = max(1, min(40, k))
     both = "protocol_understanding" in kinds and "protocol_conversion" in kinds

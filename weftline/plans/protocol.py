@@ -11,6 +11,7 @@ from weftline.operators import chunking as C
 from weftline.operators import folding
 from weftline.operators import metrics as M
 from weftline.operators import retrieval, rules, similarity, sinks
+from weftline.operators import selection as S
 from weftline.session import table
 
 QUERIES, ORACLE = {}, {}
@@ -78,13 +79,14 @@ def _blocks(spark, sf):
     return rows.withColumn("page_num", (F.col("doc_id") / 3).cast("int")).withColumn("block_type", F.when(F.col("content").contains("|"), "table").otherwise("text"))
 
 
-def _grouped(spark, sf):
+def _grouped(spark, sf, **more):
+    """Features of the blocks with their chunks, heads in place of texts; more: further columns of the blocks."""
     blocks, keys, order = _blocks(spark, sf), ["source"], ["page_num", "doc_id"]
     # Features are costly: a table of fewer splits than the session has cores is spread over them first.
     cores = spark.sparkContext.defaultParallelism
     spread = blocks.repartition(cores) if blocks.rdd.getNumPartitions() < cores else blocks
-    grouped = C.greedy_groups(C.merge_scores(C.block_features(spread).drop("content"), keys, order), keys, order)
-    return grouped.join(blocks.select(*keys, *order, "content"), [*keys, *order])
+    features = C.block_features(spread).withColumns({"head": C.head(F.col("content")), **more}).drop("content")
+    return C.grouped_features(features, keys, order)
 
 
 @query("""WITH RECURSIVE r AS (SELECT source, doc_id, n_chars % 7 AS score, n_chars % 400 AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
@@ -102,16 +104,14 @@ def w03_greedy_groups(spark, sf):
 
 @query()
 def q04_semantic_chunks(spark, sf):
-    return C.chunks(_grouped(spark, sf), ["source"], ["page_num", "doc_id"]).select("source", "chunk", "block_count", "token_estimate", "semantic_type", "quality_score", F.array_join("field_names", ",").alias("field_names"), "anchor", "content_snapshot")
+    return C.chunks(_grouped(spark, sf), ["source"], ["page_num", "doc_id"], heads="head").select("source", "chunk", "block_count", "token_estimate", "semantic_type", "quality_score", F.array_join("field_names", ",").alias("field_names"), "anchor", "content_snapshot")
 
 
-def q04_semantic_chunks_full(spark, sf):
-    """(chunks with their ids, counts and blocks, blocks): what the selection of chunks takes."""
-    grouped = _grouped(spark, sf)
-    name = F.concat_ws(":", "source", "chunk")
-    blocks = grouped.groupBy(name.alias("chunk_id")).agg(F.array_sort(F.collect_list("doc_id")).alias("block_ids"))
-    chunks = C.chunks(grouped, ["source"], ["page_num", "doc_id"]).withColumn("chunk_id", name).join(blocks, "chunk_id")
-    return chunks, _blocks(spark, sf).select(F.col("doc_id").alias("block_id"), "content")
+def q04_semantic_chunks_full(spark, sf, target):
+    """Chunks with their ids, counts and what their blocks give for a target. Texts are read once, for the features, and never moved."""
+    grouped = _grouped(spark, sf, **S.block_signals(F.col("content"), target))
+    chunks = C.chunks(grouped, ["source"], ["page_num", "doc_id"], heads="head", more=S.chunk_signals())
+    return chunks.withColumn("chunk_id", F.concat_ws(":", "source", "chunk"))
 
 
 @query("""WITH RECURSIVE r AS (SELECT source, length(regexp_replace(coalesce(text, ''), '$^', '')) // 3 AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
